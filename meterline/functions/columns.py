@@ -51,6 +51,16 @@ def ratio(num: Column, den: Column) -> Column:
     return dbl(num) / F.nullif(dbl(den), F.lit(0.0))
 
 
+def rounded(column: Column | str, digits: int) -> Column:
+    """Half-up rounding of a double by its decimal value.
+
+    A mean of 9.575 is stored slightly below that; rounded as a decimal it
+    gives 9.58, as the same arithmetic on decimals would.
+    """
+    column = F.col(column) if isinstance(column, str) else column
+    return F.round(column.cast("decimal(30,10)"), digits).cast("double")
+
+
 def month_of(column: Column | str) -> Column:
     return F.trunc(column, "month")
 
@@ -89,7 +99,8 @@ def pace_status(consumed: Column, elapsed: Column, t: PaceThresholds = PACE) ->
 
 def whole_days(number: Column, limit: int = 200000) -> Column:
     """Truncate towards zero; clamped first because an oversized cast raises."""
-    return F.least(F.greatest(number, F.lit(-float(limit))), F.lit(float(limit))).cast("int")
+    clamped = F.least(F.greatest(number, F.lit(-float(limit))), F.lit(float(limit)))
+    return F.when(number.isNotNull(), clamped).cast("int")
 
 
 def projected_end_date(start, commitment, days, consumed, end, cap: date = MAX_PROJECTED_END) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterline.functions.columns import before, day, dbl, ratio, since
+from meterline.functions.columns import before, day, dbl, ratio, rounded, since
 from meterline.operators.contracts import contract_costs
 
 
@@ -32,7 +32,7 @@ def daily_spikes(dashboard: DataFrame, as_of: date, days: int = 30, threshold: f
         .select(
             "usage_date", *keys, F.round("cost", 2).alias("today_cost"), F.round("previous", 2).alias("yesterday_cost"),
             F.round(F.col("cost") - F.col("previous"), 2).alias("cost_change"),
-            F.round(F.col("change") * 100, 1).alias("pct_change"),
+            rounded(F.col("change") * 100, 1).alias("pct_change"),
         )
     )
 
@@ -93,7 +93,7 @@ def workspace_spikes(dashboard: DataFrame, as_of: date, days: int = 30, threshol
         _with_previous(_daily(dashboard, as_of, days, ["workspace_id"]), ["workspace_id"])
         .filter((F.col("previous") > 0) & (F.col("change") > threshold))
         .select("usage_date", "workspace_id", F.round("cost", 2).alias("today_cost"),
-                F.round("previous", 2).alias("yesterday_cost"), F.round(F.col("change") * 100, 1).alias("pct_change"))
+                F.round("previous", 2).alias("yesterday_cost"), rounded(F.col("change") * 100, 1).alias("pct_change"))
         .orderBy(F.desc("pct_change"), "usage_date", "workspace_id")
         .limit(k)
     )
@@ -104,7 +104,7 @@ def day_over_day_change(dashboard: DataFrame, as_of: date, days: int = 7) -> Dat
     daily = _daily(dashboard, as_of, days, []).withColumn("previous", F.lag("cost").over(W.orderBy("usage_date")))
     return daily.select(
         "usage_date", F.round("cost", 2).alias("cost"), F.round(F.col("cost") - F.col("previous"), 2).alias("change"),
-        F.round(ratio(F.col("cost") - F.col("previous"), F.col("previous")) * 100, 1).alias("pct_change"),
+        rounded(ratio(F.col("cost") - F.col("previous"), F.col("previous")) * 100, 1).alias("pct_change"),
     )
 
 
@@ -120,7 +120,7 @@ def high_spend_alert(dashboard: DataFrame, as_of: date, days: int = 30, factor:
     )
     raised = F.col("yesterday_spend") > F.col("avg_daily_spend") * factor
     return totals.select(
-        F.round("yesterday_spend", 2).alias("yesterday_spend"), F.round("avg_daily_spend", 2).alias("avg_daily_spend"),
+        rounded("yesterday_spend", 2).alias("yesterday_spend"), rounded("avg_daily_spend", 2).alias("avg_daily_spend"),
         F.when(raised, "HIGH SPEND ALERT").otherwise("No alert").alias("alert_message"),
     )
 
@@ -152,7 +152,7 @@ def contract_overrun_alert(contracts: DataFrame, dashboard: DataFrame, as_of: da
     costs = contract_costs(contracts.filter(F.col("status") == "ACTIVE"), dashboard, as_of, until_as_of=True)
     spent = ratio(F.col("consumed"), F.col("total_value"))
     elapsed = ratio(F.datediff(day(as_of), "start_date"), F.datediff("end_date", "start_date"))
-    pct_spent, pct_time = F.round(spent * 100, 1), F.round(elapsed * 100, 1)
+    pct_spent, pct_time = rounded(spent * 100, 1), rounded(elapsed * 100, 1)
     return costs.filter(spent > elapsed * limit).select(
         "contract_id", pct_spent.alias("pct_spent"), pct_time.alias("pct_elapsed"),
         F.concat(F.lit("CONTRACT ALERT: "), F.col("contract_id"), F.lit(" is consuming faster than expected. "),

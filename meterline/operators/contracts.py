@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterline.functions.columns import (
-    before, business_unit_path, day, dbl, grouped_number, month_of, pace_status, projected_end_date, ratio, since, urgency,
-    whole_days,
+    before, business_unit_path, day, dbl, grouped_number, month_of,
+    pace_status, projected_end_date, ratio, rounded, since, urgency, whole_days,
 )
 from meterline.params import MAX_PROJECTED_END, PACE, PaceThresholds
 
@@ -70,8 +70,8 @@ def contract_burndown(contracts: DataFrame, dashboard: DataFrame, as_of: date) -
         (F.col("total_value") - F.col("cumulative_cost")).alias("remaining_budget"),
         (elapsed * dbl("total_value") / safe_total).alias("projected_linear_burn"),
         elapsed.alias("days_elapsed"), total.alias("total_contract_days"),
-        F.round(elapsed * 100.0 / safe_total, 2).alias("time_pct_complete"),
-        F.round(ratio(F.col("cumulative_cost"), F.col("total_value")) * 100, 2).alias("budget_pct_consumed"),
+        rounded(elapsed * 100.0 / safe_total, 2).alias("time_pct_complete"),
+        rounded(ratio(F.col("cumulative_cost"), F.col("total_value")) * 100, 2).alias("budget_pct_consumed"),
     )
 
 
@@ -88,7 +88,7 @@ def burndown_summary(burndown: DataFrame, as_of: date, cap: date = MAX_PROJECTED
     return latest.select(
         "contract_id", "cloud_provider", "start_date", "end_date", "commitment", "total_consumed",
         F.greatest(value - spent, F.lit(0)).alias("budget_remaining"),
-        F.round(ratio(spent, value) * 100, 2).alias("consumed_pct"), "days_into_contract",
+        rounded(ratio(spent, value) * 100, 2).alias("consumed_pct"), "days_into_contract",
         F.datediff("end_date", day(as_of)).alias("days_remaining"),
         pace_status(F.col("pct_consumed"), time_pct, pace).alias("pace_status"),
         projected_end_date(F.col("start_date"), value, days_in, spent, F.col("end_date"), cap).alias("projected_end_date"),
@@ -105,8 +105,8 @@ def contract_analysis(contracts: DataFrame, dashboard: DataFrame, as_of: date, p
     return costs.select(
         "contract_id", "cloud_provider", "start_date", "end_date", "total_value", F.round("consumed", 2).alias("consumed"),
         F.round(F.col("total_value") - F.col("consumed"), 2).alias("remaining"),
-        F.round(ratio(spent, value) * 100, 1).alias("consumed_pct"),
-        F.round(ratio(elapsed * 100.0, total), 1).alias("time_elapsed_pct"),
+        rounded(ratio(spent, value) * 100, 1).alias("consumed_pct"),
+        rounded(ratio(elapsed * 100.0, total), 1).alias("time_elapsed_pct"),
         F.datediff("end_date", day(as_of)).alias("remaining_days"),
         pace_status(ratio(spent, value), ratio(elapsed, total), pace).alias("pace_status"),
         F.date_add(day(as_of), whole_days(days_left)).alias("projected_end_date"),
@@ -122,8 +122,8 @@ def _shares(as_of: date) -> tuple[Column, Column]:
 def consumption_rate(contracts: DataFrame, dashboard: DataFrame, as_of: date) -> DataFrame:
     spent, elapsed = _shares(as_of)
     return contract_costs(_active(contracts), dashboard, as_of, until_as_of=True).select(
-        "contract_id", "total_value", F.round("consumed", 2).alias("spent"), F.round(spent * 100, 1).alias("pct_consumed"),
-        F.round(elapsed * 100, 1).alias("pct_elapsed"),
+        "contract_id", "total_value", F.round("consumed", 2).alias("spent"), rounded(spent * 100, 1).alias("pct_consumed"),
+        rounded(elapsed * 100, 1).alias("pct_elapsed"),
         F.when(spent > elapsed, "OVER PACE").when(spent < elapsed * 0.8, "UNDER PACE").otherwise("ON PACE").alias("consumption_status"),
     )
 
@@ -132,14 +132,14 @@ def contracts_with_consumption(contracts: DataFrame, dashboard: DataFrame, as_of
     consumed = F.coalesce("consumed", F.lit(0))
     return contract_costs(_active(contracts), dashboard, as_of, cost=cost).select(
         F.col("cloud_provider").alias("platform"), "contract_id", "start_date", "end_date", "total_value",
-        consumed.alias("consumed"), F.round(ratio(consumed, F.col("total_value")) * 100, 1).alias("consumed_pct"),
+        consumed.alias("consumed"), rounded(ratio(consumed, F.col("total_value")) * 100, 1).alias("consumed_pct"),
     )
 
 
 def combined_burndown(burndown: DataFrame, as_of: date, days: int = 365) -> DataFrame:
     return burndown.filter(since(as_of, days)).groupBy(F.col("usage_date").alias("date")).agg(
         F.sum("commitment").alias("total_commitment"), F.sum("cumulative_cost").alias("total_consumption"),
-        F.round(ratio(F.sum("cumulative_cost"), F.sum("commitment")) * 100, 1).alias("overall_pct_consumed"),
+        rounded(ratio(F.sum("cumulative_cost"), F.sum("commitment")) * 100, 1).alias("overall_pct_consumed"),
     )
 
 
@@ -148,13 +148,13 @@ def burndown_chart(burndown: DataFrame, as_of: date, days: int = 180) -> DataFra
         "contract_id",
         F.concat("contract_id", F.lit(" ("), grouped_number(F.col("commitment")), F.lit(")")).alias("contract_label"),
         F.col("usage_date").alias("date"), F.round("cumulative_cost", 2).alias("actual_consumption"),
-        F.round("projected_linear_burn", 2).alias("ideal_consumption"), F.round("commitment", 2).alias("contract_value"),
-        F.round("remaining_budget", 2).alias("remaining_budget"), F.round("budget_pct_consumed", 1).alias("pct_consumed"),
+        rounded("projected_linear_burn", 2).alias("ideal_consumption"), F.round("commitment", 2).alias("contract_value"),
+        F.round("remaining_budget", 2).alias("remaining_budget"), rounded("budget_pct_consumed", 1).alias("pct_consumed"),
     )
 
 
 def _percent(column: str) -> Column:
-    return F.concat(F.round(column, 1).cast("string"), F.lit("%"))
+    return F.concat(rounded(column, 1).cast("string"), F.lit("%"))
 
 
 def contract_summary_table(summary: DataFrame) -> DataFrame:
@@ -174,8 +174,8 @@ def daily_consumption(burndown: DataFrame, as_of: date) -> DataFrame:
 
 def pace_distribution(summary: DataFrame) -> DataFrame:
     return summary.groupBy("pace_status").agg(
-        F.count("*").alias("contract_count"), F.round(F.avg("consumed_pct"), 1).alias("avg_consumed_pct"),
-        F.round(F.avg("days_remaining"), 0).alias("avg_days_remaining"),
+        F.count("*").alias("contract_count"), rounded(F.avg("consumed_pct"), 1).alias("avg_consumed_pct"),
+        rounded(F.avg("days_remaining"), 0).alias("avg_days_remaining"),
     )
 
 
@@ -189,7 +189,7 @@ def budget_health(summary: DataFrame) -> DataFrame:
     projected, end = F.col("projected_end_date"), F.col("end_date")
     return summary.select(
         "contract_id", F.col("commitment").alias("value"), F.round("total_consumed", 2).alias("spent"),
-        F.round("consumed_pct", 1).alias("pct_used"), "pace_status", "days_remaining",
+        rounded("consumed_pct", 1).alias("pct_used"), "pace_status", "days_remaining",
         F.datediff(projected, end).alias("days_variance"),
         F.when(projected < end, "Will deplete early").when(projected > end, "Under budget").otherwise("On track").alias("budget_health"),
         projected.alias("est_depletion_date"), end.alias("contract_end_date"),
@@ -205,7 +205,7 @@ def expiring_contracts(contracts: DataFrame, as_of: date, days: int = 90) -> Dat
 
 def near_completion(summary: DataFrame, pct: float = 80, days: int = 30) -> DataFrame:
     return summary.filter((F.col("consumed_pct") > pct) | (F.col("days_remaining") < days)).select(
-        "contract_id", F.round("consumed_pct", 1).alias("pct_used"), "days_remaining", "pace_status"
+        "contract_id", rounded("consumed_pct", 1).alias("pct_used"), "days_remaining", "pace_status"
     )
 
 
@@ -213,10 +213,10 @@ def overrun_risk_ranking(contracts: DataFrame, dashboard: DataFrame, as_of: date
     """Contracts with their pace ratio; sort by ``pace_ratio`` for the ranking."""
     spent, elapsed = _shares(as_of)
     return contract_costs(_active(contracts), dashboard, as_of, until_as_of=True).select(
-        "contract_id", F.round("consumed", 2).alias("spent"), "total_value", F.round(spent * 100, 1).alias("pct_consumed"),
-        F.round(elapsed * 100, 1).alias("pct_elapsed"),
+        "contract_id", F.round("consumed", 2).alias("spent"), "total_value", rounded(spent * 100, 1).alias("pct_consumed"),
+        rounded(elapsed * 100, 1).alias("pct_elapsed"),
         F.when(spent > elapsed * 1.2, "OVERRUN RISK").when(spent > elapsed * 1.1, "MONITOR").otherwise("ON TRACK").alias("risk_status"),
-        F.round(ratio(spent, elapsed), 4).alias("pace_ratio"),
+        rounded(ratio(spent, elapsed), 4).alias("pace_ratio"),
     ).orderBy(F.desc_nulls_last("pace_ratio"), "contract_id")
 
 
@@ -237,7 +237,7 @@ def rolling_burn_rate_7d(series: DataFrame) -> DataFrame:
     """Seven-day mean of the gap-filled daily series ``(contract_id, ds, y)``."""
     window = W.partitionBy("contract_id").orderBy("ds").rowsBetween(-6, 0)
     y = F.col("y").cast("decimal(28,6)")
-    return series.select("contract_id", "ds", "y", F.round(dbl(F.sum(y).over(window)) / F.count(y).over(window), 4).alias("burn_rate_7d"))
+    return series.select("contract_id", "ds", "y", rounded(dbl(F.sum(y).over(window)) / F.count(y).over(window), 4).alias("burn_rate_7d"))
 
 
 def linear_exhaustion(burndown: DataFrame) -> DataFrame:
@@ -249,9 +249,9 @@ def linear_exhaustion(burndown: DataFrame) -> DataFrame:
     average = ratio(spent, F.col("days_elapsed"))
     left = F.when(average > 0, (value - spent) / F.nullif(average, F.lit(0.0)))
     return totals.filter((F.col("days_elapsed") > 0) & (F.col("spent") > 0)).select(
-        "contract_id", "commitment", F.round("spent", 2).alias("total_spent"), F.round(average, 2).alias("avg_daily_spend"),
-        F.round(value - spent, 2).alias("remaining_budget"), F.round(left, 1).alias("days_to_exhaustion"),
-        F.date_add("last_date", F.floor(F.greatest(F.least(left, F.lit(200000.0)), F.lit(-200000.0))).cast("int")).alias("projected_exhaustion_date"),
+        "contract_id", "commitment", F.round("spent", 2).alias("total_spent"), rounded(average, 2).alias("avg_daily_spend"),
+        F.round(F.col("commitment") - F.col("spent"), 2).alias("remaining_budget"), rounded(left, 1).alias("days_to_exhaustion"),
+        F.date_add("last_date", whole_days(F.floor(left).cast("double"))).alias("projected_exhaustion_date"),
     )
 
 

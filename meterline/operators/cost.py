@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterline.functions.columns import before, compute_category, day, dbl, product_category, ratio, since
+from meterline.functions.columns import before, compute_category, day, dbl, product_category, ratio, rounded, since
 from meterline.params import DEFAULT_UNIT_RATE, FALLBACK_UNIT_PRICE, LOOKBACK_DAYS
 
 ACCOUNT_COLUMNS = [
@@ -180,7 +180,7 @@ def compute_vs_other(dashboard: DataFrame, as_of: date, days: int = 30) -> DataF
     )
     return totals.select(
         "category", F.round("total", 2).alias("cost"),
-        F.round(ratio(F.col("total") * 100, F.sum("total").over(W.partitionBy())), 1).alias("pct"),
+        rounded(ratio(F.col("total") * 100, F.sum("total").over(W.partitionBy())), 1).alias("pct"),
     )
 
 

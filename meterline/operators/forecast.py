@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterline.functions.columns import day, dbl, mape_grade, ratio, since
+from meterline.functions.columns import day, dbl, mape_grade, ratio, rounded, since
 from meterline.operators.contracts import daily_account_costs, join_term
 from meterline.params import FORECAST_BUFFER_DAYS, FORECAST_HORIZON_DAYS, MIN_TRAINING_DAYS
 
@@ -58,11 +58,11 @@ def forecast_feature_summary(features: DataFrame) -> DataFrame:
     """Coverage, spread and readiness per contract; the remaining budget is the latest one."""
     days, seen = F.count("*"), F.sum("has_actual_data")
     return features.groupBy("contract_id", "cloud_provider", "contract_start", "contract_end", "contract_value").agg(
-        days.alias("total_days"), seen.alias("days_with_data"), F.round(ratio(seen * 100, days), 2).alias("data_coverage_pct"),
+        days.alias("total_days"), seen.alias("days_with_data"), rounded(ratio(seen * 100, days), 2).alias("data_coverage_pct"),
         F.min("ds").alias("first_data_date"), F.max("ds").alias("last_data_date"), F.round(F.sum("y"), 2).alias("total_spent"),
-        F.round(ratio(F.sum("y"), days), 2).alias("avg_daily_cost"), F.round(F.stddev_samp(dbl("y")), 2).alias("stddev_daily_cost"),
+        rounded(ratio(F.sum("y"), days), 2).alias("avg_daily_cost"), rounded(F.stddev_samp(dbl("y")), 2).alias("stddev_daily_cost"),
         F.round(F.max("y"), 2).alias("max_daily_cost"), F.round(F.max("cumulative_cost"), 2).alias("current_cumulative"),
-        F.round(ratio(F.max("cumulative_cost"), F.first("contract_value")) * 100, 2).alias("pct_consumed"),
+        rounded(ratio(F.max("cumulative_cost"), F.first("contract_value")) * 100, 2).alias("pct_consumed"),
         F.round(F.max_by("remaining_budget", "ds"), 2).alias("budget_remaining"),
         F.when(seen >= 30, "READY").when(seen >= 14, "LIMITED").otherwise("INSUFFICIENT").alias("readiness"),
     )
@@ -322,8 +322,8 @@ def projection_30_365(dashboard: DataFrame, as_of: date, days: int = 30) -> Data
     daily = dashboard.filter(since(as_of, days)).groupBy("usage_date").agg(F.sum("actual_cost").alias("cost"))
     mean = ratio(F.sum("cost"), F.count("cost"))
     return daily.agg(
-        F.round(mean, 2).alias("avg_daily_cost"), F.round(mean * 30, 2).alias("projected_30_day_cost"),
-        F.round(mean * 365, 2).alias("projected_annual_cost"),
+        rounded(mean, 2).alias("avg_daily_cost"), rounded(mean * 30, 2).alias("projected_30_day_cost"),
+        rounded(mean * 365, 2).alias("projected_annual_cost"),
     )
 
 

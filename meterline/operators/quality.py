@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterline.functions.columns import before, day, dbl, freshness_status, ratio, since
+from meterline.functions.columns import before, day, dbl, freshness_status, ratio, rounded, since
 from meterline.operators.contracts import contract_costs
 from meterline.operators.cost import price_interval_join
 
@@ -167,7 +167,7 @@ def unpriced_records(usage: DataFrame, prices: DataFrame, as_of: date) -> DataFr
 
 
 def list_cost_coverage(dashboard: DataFrame) -> DataFrame:
-    share = lambda c: F.round(ratio(F.count(c) * 100, F.count("*")), 2)
+    share = lambda c: rounded(ratio(F.count(c) * 100, F.count("*")), 2)
     return dashboard.agg(
         F.count("*").alias("total_records"), F.count("list_cost").alias("with_list_cost"), F.count("actual_cost").alias("with_actual_cost"),
         share("list_cost").alias("list_cost_coverage_pct"), share("actual_cost").alias("actual_cost_coverage_pct"),

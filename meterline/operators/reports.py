@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterline.functions.columns import before, business_unit_path, day, dbl, grouped_number, month_of, ratio, since
+from meterline.functions.columns import before, business_unit_path, day, dbl, grouped_number, month_of, ratio, rounded, since
 from meterline.operators.cost import priced_originals, zero_default_daily
 
 RUNNING = (W.unboundedPreceding, W.currentRow)
@@ -18,6 +18,11 @@ def _sum(column: str, digits: int = 2) -> Column:
     return F.round(F.sum(column), digits)
 
 
+def _row_mean(column: str, digits: int = 2) -> Column:
+    """Mean over non-null rows; decimal columns keep it exact."""
+    return F.round(F.avg(column), digits)
+
+
 # --- aggregate reports -------------------------------------------------------
 
 def daily_summary(dashboard: DataFrame) -> DataFrame:
@@ -134,9 +139,9 @@ def weekend_vs_weekday(dashboard: DataFrame, as_of: date, days: int = 90) -> Dat
     return (
         dashboard.filter(since(as_of, days))
         .groupBy("usage_date")
-        .agg(dbl(F.sum("actual_cost")).alias("daily_cost"))
+        .agg(F.sum("actual_cost").alias("daily_cost"))
         .groupBy(F.when(weekday == 1, "Sunday").when(weekday == 7, "Saturday").otherwise("Weekday").alias("day_type"))
-        .agg(F.round(F.avg("daily_cost"), 2).alias("avg_cost"))
+        .agg(_row_mean("daily_cost").alias("avg_cost"))
     )
 
 
@@ -147,7 +152,7 @@ def daily_cost_by_cloud(dashboard: DataFrame, as_of: date, days: int = 30) -> Da
         .agg(
             F.count("*").alias("record_count"), F.sum("usage_quantity").alias("total_dbu"),
             _sum("actual_cost").alias("total_cost"),
-            F.round(ratio(F.sum("actual_cost"), F.count("actual_cost")), 4).alias("avg_cost"),
+            _row_mean("actual_cost", 4).alias("avg_cost"),
         )
     )
 
@@ -226,11 +231,11 @@ def period_summary(dashboard: DataFrame, as_of: date) -> DataFrame:
     on = F.col("usage_date")
     week = on.between(before(as_of, 7), before(as_of, 1))
     month = (on >= day(month_start)) & (on < day(this_month))
-    daily = dashboard.filter(week | month).groupBy("usage_date", "workspace_id").agg(dbl(F.sum("actual_cost")).alias("cost"))
+    daily = dashboard.filter(week | month).groupBy("usage_date", "workspace_id").agg(F.sum("actual_cost").alias("cost"))
     tags = F.filter(F.array(F.when(week, "Last Week"), F.when(month, "Last Month")), lambda p: p.isNotNull())
     return daily.withColumn("period", F.explode(tags)).groupBy("period").agg(
         F.countDistinct("usage_date").alias("days_with_data"), F.round(F.sum("cost"), 2).alias("total_cost"),
-        F.round(F.avg("cost"), 2).alias("avg_daily_cost"), F.countDistinct("workspace_id").alias("active_workspaces"),
+        _row_mean("cost").alias("avg_daily_cost"), F.countDistinct("workspace_id").alias("active_workspaces"),
     )
 
 
@@ -253,11 +258,6 @@ def _top(df: DataFrame, k: int, *keys: str) -> DataFrame:
     return df.orderBy(F.desc_nulls_last("total_cost"), *[F.asc_nulls_last(c) for c in keys]).limit(k)
 
 
-def _row_mean(column: str, digits: int = 2) -> Column:
-    """Mean over priced rows, from exact sums."""
-    return F.round(ratio(F.sum(column), F.count(column)), digits)
-
-
 def top_workspaces(dashboard: DataFrame, as_of: date, days: int = 30, k: int = 10) -> DataFrame:
     out = dashboard.filter(since(as_of, days)).groupBy("workspace_id", "cloud_provider").agg(
         F.countDistinct("usage_date").alias("active_days"), F.countDistinct("sku_name").alias("unique_skus"),
@@ -362,7 +362,7 @@ def monthly_stats(dashboard: DataFrame, as_of: date) -> DataFrame:
     weight = F.when(F.col("day_cost").isNotNull(), F.col("n"))
     stats = daily.groupBy("cloud_provider").agg(
         F.count("*").alias("days_with_data"), _sum("q").alias("total_dbu"), _sum("c").alias("total_cost"),
-        F.round(ratio(F.sum(weight * dbl("day_cost")), F.sum(weight)), 2).alias("avg_daily_cost"),
+        rounded(ratio(F.sum(weight * dbl("day_cost")), F.sum(weight)), 2).alias("avg_daily_cost"),
         F.round(F.max("day_cost"), 2).alias("max_daily_cost"), F.round(F.min("day_cost"), 2).alias("min_daily_cost"),
     )
     return stats.join(counts, "cloud_provider").select(
@@ -375,12 +375,12 @@ def product_breakdown(dashboard: DataFrame, as_of: date) -> DataFrame:
     totals = dashboard.filter(_in_prev_month(as_of)).groupBy("product_category").agg(F.sum("actual_cost").alias("total"))
     return totals.select(
         "product_category", F.round("total", 2).alias("cost"),
-        F.round(ratio(F.col("total") * 100, F.sum("total").over(W.partitionBy())), 1).alias("cost_pct"),
+        rounded(ratio(F.col("total") * 100, F.sum("total").over(W.partitionBy())), 1).alias("cost_pct"),
     )
 
 
 def _change(current: str, previous: str) -> Column:
-    return F.round(ratio(F.col(current) - F.col(previous), F.col(previous)) * 100, 1)
+    return rounded(ratio(F.col(current) - F.col(previous), F.col(previous)) * 100, 1)
 
 
 def month_over_month(dashboard: DataFrame, as_of: date, days: int = 90) -> DataFrame:
