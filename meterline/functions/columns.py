@@ -129,6 +129,8 @@ def mape_grade(mape: Column) -> Column:
 
 
 def risk_level(utilization: Column) -> Column:
+    """Risk class; a share that equals a limit up to the last bits counts as equal."""
+    utilization = F.round(utilization, 9)
     return F.when(utilization >= 0.95, "LOW").when(utilization >= 0.85, "MEDIUM").otherwise("HIGH")
 
 

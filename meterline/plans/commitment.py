@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
@@ -14,7 +15,7 @@ from meterline.operators.forecast import trend_forecast
 
 @dataclass
 class CommitmentStages:
-    """Every stage of the recommendation, all lazy."""
+    """Every stage of the recommendation."""
 
     daily: DataFrame
     tiers: DataFrame
@@ -29,14 +30,19 @@ class CommitmentStages:
     recommendations: DataFrame
 
 
-def stages(daily: DataFrame, tiers: DataFrame, as_of: date, start: date, years: tuple[int, ...] = (1, 2, 3), target: float = 0.95) -> CommitmentStages:
+def stages(
+    daily: DataFrame, tiers: DataFrame, as_of: date, start: date, years: tuple[int, ...] = (1, 2, 3), target: float = 0.95,
+    store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
+) -> CommitmentStages:
+    """Build all stages. ``store`` may write the two frames that several later
+    stages read, so that they are not computed again for each of them."""
     usable = k.usable_tiers(tiers, as_of)
     stats = k.consumption_stats(daily)
     horizon = k.contract_horizon(stats, start, years, as_of)
     forecast = trend_forecast(stats, "account_id", as_of, F.lit(_longest(start, years, as_of)))
-    projections = k.projected_consumption(daily, stats, horizon, forecast, as_of)
+    projections = store("commitment_projections", k.projected_consumption(daily, stats, horizon, forecast, as_of))
     candidates = k.commitment_candidates(projections, usable, target)
-    scored = k.commitment_economics(k.best_tier(candidates, usable))
+    scored = store("commitment_scored", k.commitment_economics(k.best_tier(candidates, usable)))
     optimal = k.optimal_commitment(scored, target)
     alts = k.alternatives(scored, optimal)
     return CommitmentStages(

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import cache
 
-from meterline.registry import contracts, cost, forecast, reports
+from meterline.registry import commitment, contracts, cost, forecast, quality, reports, sources, whatif
 from meterline.registry.base import Query
 
 
 @cache
 def all_queries() -> tuple[Query, ...]:
     found: dict[str, Query] = {}
-    for module in (cost, reports, contracts, forecast):
+    for module in (sources, cost, reports, contracts, forecast, whatif, commitment, quality):
         for query in module.QUERIES:
             if query.name in found:
                 raise ValueError(f"query {query.name} registered twice")

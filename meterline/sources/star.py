@@ -284,4 +284,5 @@ class Star:
 
     @cached_property
     def commitment(self) -> commitment_plan.CommitmentStages:
-        return commitment_plan.stages(self.account_daily, self.tiers, self.as_of, start=self.as_of, years=(1, 2, 3))
+        return commitment_plan.stages(self.account_daily, self.tiers, self.as_of, start=self.as_of, years=(1, 2, 3),
+                                      store=lambda name, df: self.keep(name, lambda: df))
