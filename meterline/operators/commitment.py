@@ -151,9 +151,12 @@ def optimal_commitment(scored: DataFrame, target: float = TARGET_UTILIZATION) ->
 
 
 def alternatives(scored: DataFrame, optimal: DataFrame) -> DataFrame:
-    """A smaller, better-used size and a larger one with at least the same rate."""
+    """A smaller, better-used size and a larger one with at least the same rate.
+
+    Both need a net benefit; less than a ten-thousandth counts as none.
+    """
     best = optimal.select(*KEY, F.col("commitment").alias("o_c"), F.col("utilization").alias("o_u"), F.col("discount_rate").alias("o_r"))
-    rows = scored.join(best, KEY).filter(F.col("net_benefit") > 0)
+    rows = scored.join(best, KEY).filter(F.round("net_benefit", 4) > 0)
     c = F.col("commitment")
     kind = (
         F.when((c < F.col("o_c") * 0.95) & (F.col("utilization") > F.col("o_u")), "conservative")

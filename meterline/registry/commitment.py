@@ -61,7 +61,7 @@ extend("alt", "econ opt", """
 SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY account_id, duration_years, alternative ORDER BY CASE alternative WHEN 'aggressive' THEN discount_rate ELSE 0 END DESC, ROUND(net_benefit, 4) DESC, candidate_order) AS rn
   FROM (SELECT e.*, CASE WHEN e.commitment < o.commitment * 0.95 AND e.utilization > o.utilization THEN 'conservative'
       WHEN e.commitment > o.commitment * 1.05 AND e.discount_rate >= o.discount_rate THEN 'aggressive' END AS alternative
-    FROM econ e JOIN opt o ON o.account_id = e.account_id AND o.duration_years = e.duration_years WHERE e.net_benefit > 0) WHERE alternative IS NOT NULL) WHERE rn = 1""")
+    FROM econ e JOIN opt o ON o.account_id = e.account_id AND o.duration_years = e.duration_years WHERE ROUND(e.net_benefit, 4) > 0) WHERE alternative IS NOT NULL) WHERE rn = 1""")
 extend("rec", "proj kstats opt alt", f"""
 SELECT sha256(p.account_id || '|' || p.duration_years || '|2001-06-30') AS recommendation_id, p.account_id, {AS_OF} AS analysis_date, {AS_OF} - 365 AS historical_start, {AS_OF} AS historical_end, p.proposed_start, p.proposed_end,
   p.duration_years, s.daily_avg AS historical_daily_avg, p.historical_total, p.forecasted_daily_avg, p.forecasted_total, p.projected_total, o.commitment AS optimal_commitment,

@@ -18,6 +18,7 @@ def local_session(name: str = "meterline", cpus: str = "*", partitions: int = 8)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.maxMetadataStringLength", "1000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
