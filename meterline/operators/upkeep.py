@@ -39,7 +39,11 @@ def _merge(target: DataFrame, source: DataFrame, keys: list[str], changed: Colum
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
-    """Update matching rows, insert the rest; creation stamps survive."""
+    """Update matching rows, insert the rest; creation stamps survive.
+
+    Keys are taken to be unique on both sides, as the tables declare;
+    ``quality.validate_contracts`` reports where they are not.
+    """
     return _merge(target, source, keys, F.lit(True), keep)
 
 

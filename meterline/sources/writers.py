@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
-def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite", by: str = "usage_date", files_per_value: int = 1) -> None:
+def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite", by: str = "usage_date") -> None:
     """Full refresh partitioned by day.
 
-    Rows are spread over ``files_per_value`` writers per day, so a day holding a
-    large part of the table is not written by one task.
+    Rebalancing puts the rows of a day together without fixing the number of
+    tasks: adaptive execution joins small days and splits a day that holds a
+    large part of the table.
     """
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(files_per_value)) if files_per_value > 1 else F.lit(0)
-    df.repartition(F.col(by), spread).write.mode(mode).partitionBy(by).parquet(path)
+    df.hint("rebalance", by).write.mode(mode).partitionBy(by).parquet(path)
 
 
 def append_results(df: DataFrame, path: str, mode: str = "append") -> None:

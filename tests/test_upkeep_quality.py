@@ -95,7 +95,7 @@ def test_validation_finds_each_problem(spark):
 
 def test_partitioned_write_and_restore(spark, scratch):
     rows = costs(spark, [("2024-06-01", 1), ("2024-06-01", 2), ("2024-06-02", 3)])
-    writers.write_partitioned(rows, f"{scratch}/t", files_per_value=2)
+    writers.write_partitioned(rows, f"{scratch}/t")
     back = spark.read.parquet(f"{scratch}/t")
     assert back.count() == 3 and back.filter("usage_date = DATE '2024-06-01'").count() == 2
     copy = writers.snapshot(back, f"{scratch}/t", "20240630")
