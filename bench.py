@@ -13,7 +13,7 @@ import time
 
 from meterline.registry import all_queries
 from meterline.session import local_session
-from meterline.sources.star import Star
+from meterline.registry.star import Star
 
 HEADLINE = [
     "dashboard_data", "daily_summary", "contract_burndown", "burndown_summary", "contract_analysis", "top_consumers_report", "monthly_report",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.functions.columns import plain
-from meterline.sources.star import CLOUDS, PRICE_YEARS, SKU_SUFFIXES, VALUE_FACTORS, Star
+from meterline.registry.star import CLOUDS, PRICE_YEARS, SKU_SUFFIXES, VALUE_FACTORS, Star
 from meterline.sources.tiers import tier_rows
 
 AS_OF = "DATE '2001-06-30'"
@@ -23,7 +23,7 @@ class Query:
     digits: int = 4
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tidy(self.run(Star(spark, sf_dir)), self.digits)
+        return tidy(self.run(Star.of(spark, sf_dir)), self.digits)
 
 
 def tidy(df: DataFrame, digits: int) -> DataFrame:

@@ -8,7 +8,7 @@ from meterline.functions.columns import risk_level
 from meterline.operators import commitment as k
 from meterline.registry.base import AS_OF, Query, ago, days, extend, num, r, rd, rn, sql
 from meterline.registry.cost import DAY_JOIN
-from meterline.sources.star import Star
+from meterline.registry.star import Star
 from meterline.sources.tiers import TIER_SETS
 
 KEY = "account_id, CAST(duration_years AS BIGINT) AS duration_years"

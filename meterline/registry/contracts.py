@@ -5,7 +5,7 @@ from __future__ import annotations
 from meterline.functions.columns import pace_status, projected_end_date
 from meterline.operators import contracts as c
 from meterline.registry.base import AS_OF, Query, ago, days, grouped, half_even, last, month, num, r, ratio, rd, rn, sql
-from meterline.sources.star import Star
+from meterline.registry.star import Star
 
 from pyspark.sql import functions as F
 

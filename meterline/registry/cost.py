@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from meterline.operators import cost
 from meterline.operators.cost import ACCOUNT_COLUMNS
 from meterline.registry.base import AS_OF, Query, ago, last, num, r, ratio, rd, sql
-from meterline.sources.star import Star
+from meterline.registry.star import Star
 
 ROW = ["usage_date", "account_id", "workspace_id", "cloud", "sku_name", "usage_unit", "usage_quantity"]
 ENRICHED = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meterline.operators import forecast as f
 from meterline.registry.base import AS_OF, Query, days, extend, last, num, r, ratio, rd, rn, sql
-from meterline.sources.star import Star
+from meterline.registry.star import Star
 
 TERM = "contract_id, account_id, cloud_provider, contract_start, contract_end"
 FC = "contract_id, forecast_date, model_version, exhaustion_date_p10, exhaustion_date_p50, exhaustion_date_p90, days_to_exhaustion"
@@ -49,7 +49,7 @@ def _metrics(s: Star):
 def _registry_rows(s: Star):
     fresh = _metrics(s).select(
         F.concat("contract_id", F.lit("-new")).alias("model_id"), "contract_id", F.lit(s.as_of).alias("trained_at"), "training_points",
-        F.round("mape", 4).alias("mape"), F.round("rmse", 4).alias("rmse"),
+        "mape", "rmse",
     )
     older = fresh.withColumns({
         "model_id": F.concat("contract_id", F.lit("-old")), "trained_at": F.lit(s.as_of - timedelta(days=7)), "is_active": F.lit(True)

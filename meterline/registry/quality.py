@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from meterline.functions.columns import since
 from meterline.operators import quality as q
 from meterline.operators import reports
 from meterline.operators import upkeep as u
@@ -14,7 +13,7 @@ from meterline.operators import whatif as w
 from meterline.registry import whatif as whatif_queries  # noqa: F401  its tables are used below
 from meterline.registry.base import AS_OF, Query, ago, days, extend, last, num, r, ratio, rd, rn, sql
 from meterline.registry.cost import JOIN
-from meterline.sources.star import Star
+from meterline.registry.star import Star
 
 # The changed tier table of the upsert checks: same ids, one rate raised, one open limit, one new tier per band.
 extend("new_contracts", "contracts", """
@@ -91,8 +90,8 @@ def _table_freshness(s: Star):
 
 
 def _missing(s: Star):
-    rare = s.usage.filter(F.col("sku_name").contains("VECTOR") & F.col("sku_name").contains("PROMO"))
-    return q.missing_days(rare, "usage_date", s.as_of - timedelta(days=90), s.as_of - timedelta(days=1))
+    """The whole history, from a month before the first record on."""
+    return q.missing_days(s.usage, "usage_date", date(1994, 12, 1), s.as_of - timedelta(days=1))
 
 
 def _broken_burndown(s: Star):
@@ -128,12 +127,11 @@ def _suite(s: Star):
     return q.validation_suite(s.usage, s.accounts, s.contracts, s.dashboard, reports.daily_summary(s.dashboard), s.as_of)
 
 
-FRESH = f"CASE WHEN n <= 2 THEN 'OK' WHEN n <= 5 THEN 'WARNING' ELSE 'CRITICAL' END"
+FRESH = "CASE WHEN n <= 2 THEN 'OK' WHEN n <= 5 THEN 'WARNING' ELSE 'CRITICAL' END"
 MERGED_TIERS = """SELECT COALESCE(t.tier_id, s.tier_id) AS tier_id, CASE WHEN s.tier_id IS NULL THEN t.min_commitment ELSE s.min_commitment END AS min_commitment,
  CASE WHEN s.tier_id IS NULL THEN t.max_commitment ELSE s.max_commitment END AS max_commitment, COALESCE(s.discount_rate, t.discount_rate) AS discount_rate,
  CASE WHEN t.tier_id IS NULL THEN 'insert' WHEN s.tier_id IS NOT NULL AND (t.tier_name <> s.tier_name OR t.min_commitment <> s.min_commitment OR COALESCE(t.max_commitment, -1) <> COALESCE(s.max_commitment, -1)
    OR t.duration_years <> s.duration_years OR t.discount_rate <> s.discount_rate) THEN 'update' ELSE 'unchanged' END AS _action FROM tiers t FULL JOIN changed_tiers s ON s.tier_id = t.tier_id"""
-RARE = "contains(sku_name, 'VECTOR') AND contains(sku_name, 'PROMO')"
 NULL_SPAN = "CAST(NULL AS DATE), CAST(NULL AS DATE)"
 
 QUERIES = [
@@ -177,7 +175,7 @@ QUERIES = [
  UNION ALL SELECT 'contract_forecast', d, n, CASE WHEN n <= 7 THEN 'OK' WHEN n <= 14 THEN 'WARNING' ELSE 'CRITICAL - Retrain needed' END FROM (SELECT MAX(last_date) AS d, {days('MAX(last_date)', AS_OF)} AS n FROM spent)
  UNION ALL SELECT 'scenario_summary', {ago(9)}, 9, 'WARNING - Re-run What-If' FROM (SELECT COUNT(*) FROM ss)""")),
     Query("missing_days", _missing, sql(
-        "usage", f"SELECT CAST(d AS DATE) AS missing_date FROM generate_series({ago(90)}, {ago(1)}, INTERVAL 1 DAY) t(d) WHERE CAST(d AS DATE) NOT IN (SELECT usage_date FROM usage WHERE {RARE})")),
+        "usage", f"SELECT CAST(d AS DATE) AS missing_date FROM generate_series(DATE '1994-12-01', {ago(1)}, INTERVAL 1 DAY) t(d) WHERE CAST(d AS DATE) NOT IN (SELECT usage_date FROM usage)")),
     Query("cumulative_consistency", _broken_burndown, sql(
         "burndown", f"""SELECT contract_id, usage_date, {num('daily_cost')}, {rn('cumulative_cost + n')} AS cumulative_cost, {rn('cumulative_cost')} AS calculated_cumulative, CAST(n AS DOUBLE) AS discrepancy
  FROM (SELECT *, {days('usage_date', AS_OF)} AS n FROM burndown WHERE dayofweek(usage_date) = 1) WHERE n > 0 ORDER BY n DESC, contract_id, usage_date LIMIT 10""")),

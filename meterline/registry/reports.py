@@ -9,8 +9,9 @@ from meterline.operators import reports as a
 from meterline.operators.cost import cost_columns, price_interval_join
 from meterline.registry.base import AS_OF, Query, ago, days, extend, grouped, last, month, num, r, ratio, rd, sql
 from meterline.registry.cost import DAY_JOIN, JOIN
-from meterline.sources.star import Star
+from meterline.registry.star import Star
 
+NEW_SINCE = 725  # every workspace is old after two years, so the window is wide
 PREV_MONTH = "usage_date BETWEEN DATE '2001-05-01' AND DATE '2001-05-31'"
 
 
@@ -42,14 +43,13 @@ SELECT usage_date, CAST(dayofweek(usage_date) + 1 AS BIGINT) AS day_of_week, wor
 FROM dashboard WHERE {last(30)} AND dayofweek(usage_date) IN (0, 6) AND actual_cost > 100 GROUP BY ALL""")
 extend("new_ws", "long_history", f"""
 SELECT f.workspace_id, f.cloud_provider, f.first_seen, {days('f.first_seen', AS_OF)} AS days_active, COUNT(DISTINCT d.usage_date) AS usage_days, {r('SUM(d.actual_cost)')} AS total_cost
-FROM (SELECT workspace_id, cloud_provider, MIN(usage_date) AS first_seen FROM long_history WHERE contains(sku_name, 'VECTOR') AND contains(sku_name, 'PROMO') GROUP BY ALL) f
-JOIN long_history d ON d.workspace_id = f.workspace_id AND d.cloud_provider = f.cloud_provider AND contains(d.sku_name, 'VECTOR') AND contains(d.sku_name, 'PROMO')
-WHERE f.first_seen >= {ago(30)} GROUP BY ALL""")
+FROM (SELECT workspace_id, cloud_provider, MIN(usage_date) AS first_seen FROM long_history GROUP BY ALL) f
+JOIN long_history d ON d.workspace_id = f.workspace_id AND d.cloud_provider = f.cloud_provider
+WHERE f.first_seen >= {ago(NEW_SINCE)} GROUP BY ALL""")
 
 
-def _rare(s: Star):
-    """A product line used by few workspaces, so that some are new."""
-    return s.long_history.filter(F.col("sku_name").contains("VECTOR") & F.col("sku_name").contains("PROMO"))
+def _new(s: Star):
+    return n.new_workspaces(s.long_history, s.as_of, NEW_SINCE)
 
 
 def _spikes(s: Star):
@@ -149,8 +149,8 @@ QUERIES = [
     # anomalies
     Query("daily_spikes", _spikes, sql("spikes", "SELECT * FROM spikes")),
     Query("weekend_usage", lambda s: n.weekend_usage(s.dashboard, s.as_of), sql("weekend", "SELECT * FROM weekend")),
-    Query("new_workspaces", lambda s: n.new_workspaces(_rare(s), s.as_of), sql("new_ws", "SELECT * FROM new_ws")),
-    Query("anomaly_summary", lambda s: n.anomaly_summary(_spikes(s), n.weekend_usage(s.dashboard, s.as_of), n.new_workspaces(_rare(s), s.as_of)), sql(
+    Query("new_workspaces", _new, sql("new_ws", "SELECT * FROM new_ws")),
+    Query("anomaly_summary", lambda s: n.anomaly_summary(_spikes(s), n.weekend_usage(s.dashboard, s.as_of), _new(s)), sql(
         "spikes weekend new_ws", """SELECT 'Daily Anomalies' AS anomaly_type, COUNT(*) AS count, ROUND(SUM(cost_change), 2) AS total_impact FROM spikes
  UNION ALL SELECT 'Weekend Usage', COUNT(*), ROUND(SUM(cost), 2) FROM weekend UNION ALL SELECT 'New Workspaces', COUNT(*), ROUND(SUM(total_cost), 2) FROM new_ws""")),
     Query("spike_alerts", lambda s: n.spike_alerts(_spikes(s)), sql(
@@ -169,8 +169,8 @@ QUERIES = [
     Query("non_positive_usage", lambda s: n.non_positive_usage(_costed(s), s.as_of), sql(
         "usage prices", f"""SELECT u.usage_date, u.workspace_id, u.sku_name, {num('usage_quantity', 6)}, {r('u.usage_quantity * p.effective_price', 6)} AS actual_cost, 'Negative or zero cost' AS issue
  FROM usage u {JOIN} WHERE {last(30, 'u.usage_date')} AND (u.usage_quantity * p.effective_price <= 0 OR u.usage_quantity <= 0)"""), 6),
-    Query("first_seen_recent", lambda s: n.first_seen_recent(_rare(s), s.as_of, 60), sql(
-        "long_history", f"SELECT workspace_id, MIN(usage_date) AS first_seen FROM long_history WHERE contains(sku_name, 'VECTOR') AND contains(sku_name, 'PROMO') GROUP BY workspace_id HAVING MIN(usage_date) >= {ago(60)}")),
+    Query("first_seen_recent", lambda s: n.first_seen_recent(s.long_history, s.as_of, NEW_SINCE), sql(
+        "long_history", f"SELECT workspace_id, MIN(usage_date) AS first_seen FROM long_history GROUP BY workspace_id HAVING MIN(usage_date) >= {ago(NEW_SINCE)}")),
     Query("exhaustion_alert", lambda s: n.exhaustion_alert(s.forecast, s.as_of, 120), sql(
         "exhaustion", f"SELECT contract_id, exhaustion_date_p50 AS predicted_exhaustion, {days(AS_OF, 'exhaustion_date_p50')} AS days_until_exhaustion, 'ALERT: Contract exhausting soon' AS alert_message FROM exhaustion WHERE {days(AS_OF, 'exhaustion_date_p50')} BETWEEN 1 AND 120")),
     Query("contract_overrun_alert", lambda s: n.contract_overrun_alert(s.contracts, s.long_history, s.as_of), sql(

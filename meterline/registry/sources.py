@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meterline.operators import reports
 from meterline.registry.base import AS_OF, Query, ago, last, num, r, sql
 from meterline.sources import readers, writers
-from meterline.sources.star import Star, star_prices, star_usage
+from meterline.registry.star import Star, star_prices, star_usage
 
 CONTRACT = "contract_id, account_id, cloud_provider, start_date, end_date, CAST(total_value AS DOUBLE) AS total_value, status"
 DAY_TOTALS = f"SELECT usage_date, cloud_provider, workspace_id, CAST(SUM(usage_quantity) AS DOUBLE) AS total_dbu, {r('SUM(actual_cost)', 6)} AS total_cost, COUNT(DISTINCT sku_name) AS unique_skus FROM dashboard GROUP BY ALL"

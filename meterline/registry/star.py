@@ -192,6 +192,19 @@ def star_contracts(spark: SparkSession, priced: DataFrame, as_of: date = AS_OF)
 class Star:
     """Billing tables over one star-schema folder."""
 
+    _open: dict[tuple[str, str], Star] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Star:
+        """The frames of a session and folder, planned once and shared by its queries.
+
+        The frames are lazy; only their plans are kept, no rows.
+        """
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        if key not in cls._open:
+            cls._open[key] = cls(spark, sf_dir)
+        return cls._open[key]
+
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: date = AS_OF):
         self.spark, self.sf_dir, self.as_of = spark, sf_dir.rstrip("/"), as_of
 

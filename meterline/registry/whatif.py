@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meterline.operators import whatif as w
 from meterline.registry.base import AS_OF, Query, days, extend, grouped, num, r, ratio, rd, rn, sql
-from meterline.sources.star import Star
+from meterline.registry.star import Star
 
 COMMITMENTS = [100000.0, 250000.0, 500000.0]
 WIN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"

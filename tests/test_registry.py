@@ -37,7 +37,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_flagship_plan_has_no_forced_single_task_over_rows(spark):
-    from meterline.sources.star import Star
+    from meterline.registry.star import Star
 
     star = Star(spark, FOLDER)
     plan = star.dashboard._jdf.queryExecution().executedPlan().toString()
