@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from meterline.llm import op8_minhash
+from meterline.llm import op3_secrets, op4_token_files, op5_bpe, op6_quality, op7_decontaminate, op8_minhash, op9_toxicity
 
 QUERIES = {
+    "op3_secrets": op3_secrets.query,
+    "op4_token_files": op4_token_files.query,
+    "op5_bpe": op5_bpe.query,
+    "op6_quality": op6_quality.query,
+    "op7_decontaminate": op7_decontaminate.query,
     "op8_minhash": op8_minhash.query,
+    "op9_toxicity": op9_toxicity.query,
 }
 SQL = {
     "op8_minhash": op8_minhash.SQL,

@@ -19,6 +19,8 @@ _RATIO = pow(0x9E3779B97F4A7C15, 1, 1 << 64)
 _INVERSE = pow(_RATIO, -1, 1 << 64)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+_PLAIN = np.ones(256, bool)
+_PLAIN[128:] = _PLAIN[48:58] = _PLAIN[65:91] = _PLAIN[97:123] = False
 _VALUES = np.random.default_rng(20240229).integers(1, 2**64 - 1, 256, dtype=_U, endpoint=True)
 _LOWERED = _VALUES.copy()
 _LOWERED[65:91] = _VALUES[97:123]
@@ -94,9 +96,14 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array) -> Words:
+def plain_words(column: pa.Array) -> Words:
+    """Runs of ASCII letters, digits and all bytes beyond ASCII."""
+    return words(column, _PLAIN)
+
+
+def words(column: pa.Array, separator: np.ndarray = _SEPARATOR) -> Words:
     data, offsets = buffer(column)
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     stops[:-1] &= ~inside[1:]
