@@ -64,8 +64,8 @@ def features(found: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(who), np.concatenate(out)
 
 
-def term_hash(term: str) -> int:
-    return int(plain_words(pa.array([term], pa.large_string())).hashes(lower=True)[0])
+def term_features(term: str) -> list[int]:
+    return [int(h) for h in features(plain_words(pa.array([term], pa.large_string())))[1]]
 
 
 @dataclass
@@ -90,33 +90,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -50, 50)))
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, swaps: list[tuple[int, int, float]], mentions: list[tuple[int, float]], width: int, *, fairness: float = 5.0, ridge: float = 2e-3, steps: int = 400) -> tuple[np.ndarray, float]:
+Change = tuple[list[int], list[int], float]  # features that come, features that go, share of labelled texts it can happen to
+
+
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, changes: list[Change], width: int, *, fairness: float = 5.0, ridge: float = 2e-3, steps: int = 500) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic loss plus ridge plus ``fairness`` times the squared score changes.
 
-    ``swaps`` (a, b, share) and ``mentions`` (a, share): changes of score w[a] - w[b] and w[a], and
-    the share of labelled texts they come from.
+    ``rows`` and ``cols``: the features of each text, paired. Accelerated gradient steps on
+    data of bounded size.
     """
     n = len(y)
     balance = np.where(y == 1, n / (2 * max(1, y.sum())), n / (2 * max(1, n - y.sum()))) / n
-    a = np.array([s[0] for s in swaps], int)
-    b = np.array([s[1] for s in swaps], int)
-    share = np.array([s[2] for s in swaps])
-    m = np.array([s[0] for s in mentions], int)
-    m_share = np.array([s[1] for s in mentions])
+    at = np.array([f for come, go, _ in changes for f in (*come, *go)], int)
+    sign = np.array([s for come, go, _ in changes for s in (*[1.0] * len(come), *[-1.0] * len(go))])
+    which = np.repeat(np.arange(len(changes)), [len(come) + len(go) for come, go, _ in changes])
+    share = np.array([s for _, _, s in changes])
     w, bias = np.zeros(width), 0.0
     v, v_bias = w.copy(), bias
     reach = np.bincount(rows, minlength=n).max(initial=1) + 1
-    terms = np.bincount(np.concatenate([a, b, m]), minlength=1).max(initial=0) + 1
-    rate = 1 / (0.25 * min(reach, 60) * 0.5 + ridge + 4 * fairness * terms * max(share.max(initial=0), m_share.max(initial=0)))
+    rate = 1 / (0.125 * min(reach, 60) + ridge + 2 * fairness * (share[which].sum() if len(which) else 0.0))
     for step in range(steps):
         z = np.bincount(rows, v[cols], n) + v_bias
         error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * balance
         grad = np.bincount(cols, error[rows], width) + ridge * v
-        if len(a):
-            change = 2 * fairness * share * (v[a] - v[b])
-            grad += np.bincount(a, change, width) - np.bincount(b, change, width)
-        if len(m):
-            grad += np.bincount(m, 2 * fairness * m_share * v[m], width)
+        if len(which):
+            moved = np.bincount(which, sign * v[at], len(changes))
+            grad += np.bincount(at, 2 * fairness * (share * moved)[which] * sign, width)
         new, new_bias = v - rate * grad, v_bias - rate * error.sum()
         pace = step / (step + 3)
         v, v_bias = new + pace * (new - w), new_bias + pace * (new_bias - bias)
@@ -146,8 +145,8 @@ def train(sample: DataFrame, *, fairness: float = 5.0, max_features: int = MAX_F
     n, n_bad = int(size["n"]), int(size["bad"])
     if not n or n_bad in (0, n):
         return Model(np.empty(0, _U), np.empty(0), float(np.log((n_bad + 0.5) / (n - n_bad + 0.5))) if n else 0.0)
-    groups = [[term_hash(t) for t in line] for line in terms]
-    named = [h - (1 << 64) if h >= 1 << 63 else h for line in groups for h in line]
+    groups = [[term_features(t) for t in line] for line in terms]
+    named = sorted({h - (1 << 64) if h >= 1 << 63 else h for line in groups for term in line for h in term})
     odds = F.log((F.col("bad") + 0.5) / F.lit(n_bad + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(n - n_bad + 1.0))
     gap = F.abs(odds) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     chosen = one.withColumn("gap", F.when(F.col("h").isin(named), 1e9).otherwise(gap)).where("gap >= 3 AND bad + good >= 4").orderBy(F.desc("gap"), "h").limit(max_features)
@@ -172,12 +171,13 @@ def train(sample: DataFrame, *, fairness: float = 5.0, max_features: int = MAX_F
 
     place = {int(h): i for i, h in enumerate(hashes)}
     often = np.bincount(cols, minlength=len(hashes)) / len(y)
-    swaps, mentions = [], []
+    changes: list[Change] = []
     for line in groups:
-        known = [place[h] for h in line if h in place]
-        mentions += [(a, max(often[a], 1 / len(y))) for a in known]
-        swaps += [(a, b, max(often[a], 1 / len(y))) for a in known for b in known if a != b]
-    weights, bias = fit(rows, cols, y, swaps, mentions, len(hashes), fairness=fairness)
+        known = [[place[h] for h in term if h in place] for term in line]
+        known = [(own, max(often[own].min(), 1 / len(y))) for own in known if own]
+        changes += [(own, [], share) for own, share in known]
+        changes += [([f for f in a if f not in b], [f for f in b if f not in a], share) for a, share in known for b, _ in known if a != b]
+    weights, bias = fit(rows, cols, y, changes, len(hashes), fairness=fairness)
     return Model(hashes, weights, bias)
 
 

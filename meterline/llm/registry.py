@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from meterline.llm import op3_secrets, op4_token_files, op5_bpe, op6_quality, op7_decontaminate, op8_minhash, op9_toxicity
+from meterline.llm import op1_substrings, op2_token_counts, op3_secrets, op4_token_files, op5_bpe, op6_quality, op7_decontaminate, op8_minhash, op9_toxicity, op10_ann
 
 QUERIES = {
+    "op1_substrings": op1_substrings.query,
+    "op2_token_counts": op2_token_counts.query,
     "op3_secrets": op3_secrets.query,
     "op4_token_files": op4_token_files.query,
     "op5_bpe": op5_bpe.query,
@@ -12,7 +14,9 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate.query,
     "op8_minhash": op8_minhash.query,
     "op9_toxicity": op9_toxicity.query,
+    "op10_ann": op10_ann.query,
 }
 SQL = {
+    "op1_substrings": op1_substrings.SQL,
     "op8_minhash": op8_minhash.SQL,
 }

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +32,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=4)
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, _U)
-    out[0], have = 1, 1
-    while have < n:
-        step = min(have, n - have)
-        out[have : have + step] = out[:step] * _U(pow(base, have, 1 << 64))
-        have += step
-    return out
+    """The first n powers of a base; each worker keeps the longest run it has needed."""
+    have = _POWERS.get(base, np.ones(1, _U))
+    while len(have) < n:
+        have = np.concatenate([have, have[: max(n - len(have), 1 << 18)] * _U(pow(base, len(have), 1 << 64))])
+    _POWERS[base] = have
+    return have[:n]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -81,10 +81,10 @@ class Words:
         """One 64-bit hash for each word; ``lower`` takes A-Z as a-z."""
         if not len(self.starts):
             return np.empty(0, _U)
-        n = 1 << max(20, int(len(self.data)).bit_length())
+        n = len(self.data)
         total = np.empty(len(self.data) + 1, _U)
         total[0] = 0
-        np.cumsum((_LOWERED if lower else _VALUES)[self.data] * _powers(_RATIO, n)[: len(self.data)], out=total[1:])
+        np.cumsum((_LOWERED if lower else _VALUES)[self.data] * _powers(_RATIO, n), out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * _powers(_INVERSE, n)[self.starts])
 
 
