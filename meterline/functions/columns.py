@@ -98,9 +98,8 @@ def pace_status(consumed: Column, elapsed: Column, t: PaceThresholds = PACE) ->
 
 
 def whole_days(number: Column, limit: int = 200000) -> Column:
-    """Truncate towards zero; clamped first because an oversized cast raises."""
-    clamped = F.least(F.greatest(number, F.lit(-float(limit))), F.lit(float(limit)))
-    return F.when(number.isNotNull(), clamped).cast("int")
+    """Truncate towards zero; null beyond the limit, where no calendar date can be meant."""
+    return F.when(F.abs(number) <= limit, number).cast("int")
 
 
 def projected_end_date(start, commitment, days, consumed, end, cap: date = MAX_PROJECTED_END) -> Column:

@@ -108,12 +108,13 @@ def best_tier(candidates: DataFrame, tiers: DataFrame) -> DataFrame:
     rank = F.struct(
         dbl("discount_rate").alias("rate"), (-dbl("min_commitment")).alias("low"), F.col("tier_id").alias("tier_id"), F.col("tier_name").alias("tier_name")
     )
-    bands = tiers.select("duration_years", dbl("min_commitment").alias("min_c"), dbl("max_commitment").alias("max_c"), rank.alias("tier"))
+    # The tier table is configuration: its bands ride along as an array per duration, so candidates are not multiplied.
+    bands = tiers.groupBy("duration_years").agg(F.collect_list(F.struct(dbl("min_commitment").alias("min_c"), dbl("max_commitment").alias("max_c"), rank.alias("tier"))).alias("bands"))
     commitment = F.col("commitment")
-    reached = F.col("min_c") <= commitment
-    holds = reached & (F.col("max_c").isNull() | (commitment <= F.col("max_c")))
-    picked = candidates.join(bands, "duration_years").groupBy(*candidates.columns).agg(
-        F.max(reached).alias("any_reached"), F.max(F.when(holds, F.col("tier"))).alias("held"), F.max("tier").alias("top")
+    holds = lambda b: (b["min_c"] <= commitment) & (b["max_c"].isNull() | (commitment <= b["max_c"]))
+    picked = candidates.join(bands, "duration_years").select(
+        *candidates.columns, F.exists("bands", lambda b: b["min_c"] <= commitment).alias("any_reached"),
+        F.array_max(F.transform(F.filter("bands", holds), lambda b: b["tier"])).alias("held"), F.array_max(F.transform("bands", lambda b: b["tier"])).alias("top"),
     )
     tier = F.coalesce("held", "top")
     return picked.select(

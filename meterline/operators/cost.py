@@ -73,14 +73,15 @@ def attach_account(df: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def dashboard_data(
-    usage: DataFrame, prices: DataFrame, accounts: DataFrame, as_of: date, lookback_days: int = LOOKBACK_DAYS
+    usage: DataFrame, prices: DataFrame, accounts: DataFrame, as_of: date, lookback_days: int | None = LOOKBACK_DAYS
 ) -> DataFrame:
-    """Enriched original usage rows of the lookback window.
+    """Enriched original usage rows of the lookback window, or of all history where it is None.
 
     The filters come first, so they reach the scan and both joins see only the
     rows that stay.
     """
-    recent = usage.filter(since(as_of, lookback_days)).filter(F.col("record_type") == "ORIGINAL")
+    window = F.col("usage_date") <= day(as_of) if lookback_days is None else since(as_of, lookback_days)
+    recent = usage.filter(window).filter(F.col("record_type") == "ORIGINAL")
     rows = attach_account(
         flatten_metadata(with_product_category(cost_columns(price_interval_join(recent, prices)))), accounts
     )

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from datetime import date
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,9 +35,15 @@ def date_spine(daily: DataFrame) -> DataFrame:
 
 
 def forecast_features(daily: DataFrame) -> DataFrame:
-    """Gap-filled series with calendar columns and running totals."""
-    costs = daily.select("contract_id", F.col("usage_date").alias("ds"), "daily_cost")
-    filled = date_spine(daily).join(costs, ["contract_id", "ds"], "left")
+    """Gap-filled series with calendar columns and running totals.
+
+    Each usage day is spread over the days up to the next one, so the spine needs no
+    second pass over the costs.
+    """
+    following = F.lead("usage_date").over(W.partitionBy("contract_id").orderBy("usage_date"))
+    until = F.coalesce(F.date_sub("following", 1), F.col("usage_date"))
+    filled = daily.withColumn("following", following).select(*TERM, "usage_date", "daily_cost", F.explode(F.sequence("usage_date", until)).alias("ds"))
+    filled = filled.withColumn("daily_cost", F.when(F.col("ds") == F.col("usage_date"), F.col("daily_cost")))
     running = F.sum("y").over(W.partitionBy("contract_id").orderBy("ds").rowsBetween(*RUNNING))
     return (
         filled.withColumn("y", F.coalesce("daily_cost", F.lit(0)))
@@ -135,53 +138,37 @@ def trend_forecast(stats: DataFrame, key: str, as_of: date, horizon: Column | in
     )
 
 
-def _design(t: np.ndarray, years: bool) -> np.ndarray:
-    """Intercept, trend and seasonal terms: weekly, monthly and, with two years of data, yearly."""
-    terms = [np.ones_like(t), t / 365.25]
-    waves = [(7.0, 3), (30.5, 5)] + ([(365.25, 10)] if years else [])
-    for period, order in waves:
-        for n in range(1, order + 1):
-            angle = 2 * math.pi * n * t / period
-            terms += [np.sin(angle), np.cos(angle)]
-    return np.column_stack(terms)
-
-
-def _fit_group(frame: pd.DataFrame, buffer: int, cap: int, z: float, ridge: float) -> pd.DataFrame:
-    """Ridge fit of one contract's daily series, evaluated on history and horizon.
+def seasonal_fit(series: DataFrame, buffer: int = FORECAST_BUFFER_DAYS, cap: int = FORECAST_HORIZON_DAYS, z: float = 1.2816) -> DataFrame:
+    """Multiplicative seasonal values for history (``fitted``) and horizon of every contract.
 
-    One group is one contract: at most one row per day of its term.
+    ``series`` is ``(contract_id, ds, y, contract_end)``, one row per day; days after the
+    end of the contract are not learned from. The level is the least-squares line, held at
+    a tenth of the mean or more. Factors for the day of the week, the day of the month and
+    the month follow in turn, each the mean of what the ones before leave, 1 where that is
+    unknown or not positive. The band is the deviation of the residuals. At most ``cap``
+    days are foreseen, so a contract that lasts longer has no date beyond them.
     """
-    frame = frame.sort_values("ds")
-    start, last = frame["ds"].iloc[0], frame["ds"].iloc[-1]
-    t = np.array([(d - start).days for d in frame["ds"]], dtype=float)
-    y = frame["y"].to_numpy(dtype=float)
-    steps = min(max((frame["contract_end"].iloc[0] - last).days, 0) + buffer, cap)
-    x = _design(t, t[-1] >= 730)
-    penalty = ridge * np.eye(x.shape[1])
-    penalty[0, 0] = 0.0
-    beta = np.linalg.solve(x.T @ x + penalty, x.T @ y)
-    sigma = float(np.std(y - x @ beta))
-    ahead = np.arange(t[-1] + 1, t[-1] + 1 + steps)
-    when = np.concatenate([t, ahead])
-    mean = _design(when, t[-1] >= 730) @ beta
-    return pd.DataFrame({
-        "contract_id": frame["contract_id"].iloc[0],
-        "ds": [(pd.Timestamp(start) + pd.Timedelta(days=int(d))).date() for d in when],
-        "yhat": mean, "yhat_lower": mean - z * sigma, "yhat_upper": mean + z * sigma,
-        "fitted": np.concatenate([np.ones(len(t), dtype=bool), np.zeros(len(ahead), dtype=bool)]),
-    })
-
-
-def seasonal_fit(series: DataFrame, buffer: int = FORECAST_BUFFER_DAYS, cap: int = FORECAST_HORIZON_DAYS, z: float = 1.2816, ridge: float = 1.0) -> DataFrame:
-    """Seasonal values for history (``fitted``) and horizon, one fit per contract.
-
-    ``series`` is ``(contract_id, ds, y, contract_end)``, one row per day. The
-    fit is the only step that needs Python.
-    """
-    slim = series.select("contract_id", "ds", dbl("y").alias("y"), "contract_end")
-    return slim.groupBy("contract_id").applyInPandas(
-        lambda frame: _fit_group(frame, buffer, cap, z, ridge),
-        "contract_id string, ds date, yhat double, yhat_lower double, yhat_upper double, fitted boolean",
+    past = series.select("contract_id", "ds", dbl("y").alias("y"), "contract_end").filter("ds <= contract_end").withColumn("x", F.datediff("ds", F.lit(date(1970, 1, 1))).cast("double"))
+    lines = past.groupBy("contract_id").agg(
+        F.avg("y").alias("mean"), F.avg("x").alias("center"), F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"),
+        F.max("ds").alias("last"), F.max("contract_end").alias("contract_end"),
+    )
+    level = F.greatest(F.col("mean") + F.col("slope") * (F.col("x") - F.col("center")), F.col("mean") * 0.1)
+    rows = past.join(lines.select("contract_id", "mean", "center", "slope"), "contract_id").withColumn("value", level)
+    steps = F.least(F.greatest(F.datediff("contract_end", "last"), F.lit(0)) + buffer, F.lit(cap))
+    ahead = lines.withColumn("ds", F.explode(F.transform(_future(steps), lambda i: F.date_add("last", i + 1))))
+    ahead = ahead.withColumn("x", F.datediff("ds", F.lit(date(1970, 1, 1))).cast("double")).withColumn("value", level)
+    for name, part in (("weekly", F.dayofweek("ds")), ("monthly", F.dayofmonth("ds")), ("yearly", F.month("ds"))):
+        rows, ahead = rows.withColumn("part", part), ahead.withColumn("part", part)
+        share = F.avg(F.when(F.col("value") > 0, F.col("y") / F.nullif("value", F.lit(0.0))))
+        factors = rows.groupBy("contract_id", "part").agg(share.alias("mean_share")).select("contract_id", "part", F.when(F.col("mean_share") > 0, F.col("mean_share")).otherwise(1.0).alias(name))
+        scaled = F.col("value") * F.coalesce(name, F.lit(1.0))
+        rows = rows.join(factors, ["contract_id", "part"]).withColumn("value", scaled).drop("part", name)
+        ahead = ahead.join(factors, ["contract_id", "part"], "left").withColumn("value", scaled).drop("part", name)
+    spread = rows.groupBy("contract_id").agg(F.stddev_pop(F.col("y") - F.col("value")).alias("sigma"))
+    both = rows.select("contract_id", "ds", "value", F.lit(True).alias("fitted")).unionByName(ahead.select("contract_id", "ds", "value", F.lit(False).alias("fitted")))
+    return both.join(spread, "contract_id").select(
+        "contract_id", "ds", F.col("value").alias("yhat"), (F.col("value") - z * F.col("sigma")).alias("yhat_lower"), (F.col("value") + z * F.col("sigma")).alias("yhat_upper"), "fitted"
     )
 
 
@@ -192,25 +179,28 @@ def seasonal_forecast(series: DataFrame, **options) -> DataFrame:
 
 # --- exhaustion and output ---------------------------------------------------
 
-def exhaustion_dates(forecast: DataFrame, remaining: DataFrame) -> DataFrame:
-    """First forecast day on which each cumulative path covers the remaining budget.
+EXHAUSTION = ["exhaustion_date_p10", "exhaustion_date_p50", "exhaustion_date_p90", "days_to_exhaustion"]
+
+
+def with_exhaustion(forecast: DataFrame, remaining: DataFrame) -> DataFrame:
+    """Forecast rows, what is left and spent, and the first day each cumulative path covers what is left.
 
     The upper path gives the early date (p10), the lower path the late one
-    (p90). Nothing is dated when the budget is already spent.
+    (p90). Nothing is dated when the budget is already spent. Windows of one contract
+    do it in one pass; the forecast is not joined to itself.
     """
-    window = W.partitionBy("contract_id").orderBy("ds").rowsBetween(*RUNNING)
-    paths = forecast.join(remaining.select("contract_id", "remaining"), "contract_id")
-    for name in ("yhat", "yhat_upper", "yhat_lower"):
-        paths = paths.withColumn(f"c_{name}", F.sum(name).over(window))
+    own = W.partitionBy("contract_id")
+    running = own.orderBy("ds").rowsBetween(*RUNNING)
+    paths = forecast.join(remaining, "contract_id").withColumns({f"c_{name}": F.sum(name).over(running) for name in ("yhat", "yhat_upper", "yhat_lower")})
     open_budget = F.col("remaining") > 0
-    first = lambda name: F.min(F.when(open_budget & (F.col(f"c_{name}") >= F.col("remaining")), F.col("ds")))
-    return paths.groupBy("contract_id").agg(
-        first("yhat_upper").alias("exhaustion_date_p10"), first("yhat").alias("exhaustion_date_p50"),
-        first("yhat_lower").alias("exhaustion_date_p90"), F.min("ds").alias("first_ds"), F.first("remaining").alias("remaining"),
-    ).select(
-        "contract_id", "exhaustion_date_p10", "exhaustion_date_p50", "exhaustion_date_p90",
-        F.when(F.col("remaining") <= 0, F.lit(0)).otherwise(F.datediff("exhaustion_date_p50", "first_ds")).alias("days_to_exhaustion"),
-    )
+    first = lambda name: F.min(F.when(open_budget & (F.col(f"c_{name}") >= F.col("remaining")), F.col("ds"))).over(own)
+    dated = paths.withColumns(dict(zip(EXHAUSTION, map(first, ("yhat_upper", "yhat", "yhat_lower")))) | {"first_ds": F.min("ds").over(own)})
+    left = F.when(F.col("remaining") <= 0, F.lit(0)).otherwise(F.datediff("exhaustion_date_p50", "first_ds"))
+    return dated.withColumn("days_to_exhaustion", left).drop("c_yhat", "c_yhat_upper", "c_yhat_lower", "first_ds")
+
+
+def exhaustion_dates(forecast: DataFrame, remaining: DataFrame) -> DataFrame:
+    return with_exhaustion(forecast, remaining).groupBy("contract_id").agg(*[F.first(c).alias(c) for c in EXHAUSTION])
 
 
 def remaining_budget(burndown: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -225,8 +215,7 @@ def assemble_forecast(forecast: DataFrame, remaining: DataFrame, model: Column)
     clip = lambda c: F.greatest(F.col(c), F.lit(0.0))
     window = W.partitionBy("contract_id").orderBy("forecast_date").rowsBetween(*RUNNING)
     return (
-        forecast.join(exhaustion_dates(forecast, remaining), "contract_id")
-        .join(remaining.select("contract_id", "spent"), "contract_id")
+        with_exhaustion(forecast, remaining)
         .select(
             "contract_id", F.col("ds").alias("forecast_date"), model.alias("model_version"),
             clip("yhat").alias("predicted_daily_cost"), clip("yhat_lower").alias("lower_bound"), clip("yhat_upper").alias("upper_bound"),

@@ -61,15 +61,15 @@ def missing_days(df: DataFrame, date_col: str, start: date, end: date) -> DataFr
     return expected.join(present, "missing_date", "left_anti")
 
 
-def cumulative_consistency(burndown: DataFrame, tolerance: float = 0.01, k: int = 10) -> DataFrame:
-    """Rows whose stored running total is off from a recomputed one, largest first."""
+def cumulative_consistency(burndown: DataFrame, tolerance: float = 0.01, k: int | None = None) -> DataFrame:
+    """All rows whose stored running total is off from a recomputed one, or the ``k`` largest gaps."""
     window = W.partitionBy("contract_id").orderBy("usage_date").rowsBetween(*RUNNING)
     gap = F.abs(F.col("cumulative_cost") - F.col("calculated_cumulative"))
-    return (
+    off = (
         burndown.select("contract_id", "usage_date", "daily_cost", "cumulative_cost", F.sum("daily_cost").over(window).alias("calculated_cumulative"))
         .withColumn("discrepancy", gap).filter(F.col("discrepancy") > tolerance)
-        .orderBy(F.desc("discrepancy"), "contract_id", "usage_date").limit(k)
     )
+    return off if k is None else off.orderBy(F.desc("discrepancy"), "contract_id", "usage_date").limit(k)
 
 
 def burndown_coverage(burndown: DataFrame, contracts: DataFrame, dashboard: DataFrame) -> DataFrame:
@@ -123,26 +123,33 @@ def install_report(contracts: DataFrame, accounts: DataFrame, dashboard: DataFra
     ])
 
 
-def validation_suite(usage: DataFrame, accounts: DataFrame, contracts: DataFrame, dashboard: DataFrame, daily: DataFrame, as_of: date) -> DataFrame:
-    """Pass/fail per data check. Each check is one aggregate over its table."""
-    def row(name: str, df: DataFrame, measure: Column, passed) -> DataFrame:
-        return df.agg(measure.cast("double").alias("measure")).select(
-            F.lit(name).alias("check_name"), "measure", F.coalesce(passed(F.col("measure")), F.lit(False)).alias("passed")
-        )
+def validation_suite(usage: DataFrame, accounts: DataFrame, contracts: DataFrame, dashboard: DataFrame, as_of: date) -> DataFrame:
+    """Pass/fail per data check, from one pass over each table.
 
+    The daily summary has a row for each date, workspace and cloud, which is the grain
+    the dashboard is first rolled up to.
+    """
     some = lambda m: m > 0
     count = F.count("*")
-    seen = usage.filter(F.col("usage_date") <= day(as_of))
-    yesterday = dashboard.filter(F.col("usage_date") == before(as_of, 1))
-    consumed = contract_costs(contracts.filter(F.col("status") == "ACTIVE"), dashboard, as_of)
+
+    def rows(df: DataFrame, checks: dict) -> DataFrame:
+        one = df.agg(*[measure.cast("double").alias(name) for name, (measure, _) in checks.items()])
+        cells = F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("measure"), F.coalesce(ok(F.col(n)), F.lit(False)).alias("passed")) for n, (_, ok) in checks.items()])
+        return one.select(F.explode(cells).alias("c")).select("c.*")
+
+    yesterday = F.col("usage_date") == before(as_of, 1)
+    grain = dashboard.groupBy("usage_date", "workspace_id", "cloud_provider").agg(count.alias("n"), F.sum("actual_cost").alias("cost"))
+    original = F.when(F.col("record_type") == "ORIGINAL", F.col("usage_date"))
     return _stack([
-        row("usage_last_7_days", seen.filter(since(as_of, 7)), count, some),
-        row("data_freshness", seen.filter(F.col("record_type") == "ORIGINAL"), F.datediff(day(as_of), F.max("usage_date")), lambda m: m <= 5),
-        row("cost_calculation", yesterday, F.countDistinct("cloud_provider"), some),
-        row("account_metadata", accounts, count, some), row("contracts", contracts, count, some),
-        row("dashboard_data", dashboard, count, some), row("daily_summary", daily, count, some),
-        row("contract_consumption", consumed, count, some),
-        row("yesterday_cost", yesterday, F.round(F.sum("actual_cost"), 2), lambda m: m.isNotNull()),
+        rows(usage.filter(F.col("usage_date") <= day(as_of)), {
+            "usage_last_7_days": (F.count_if(since(as_of, 7)), some), "data_freshness": (F.datediff(day(as_of), F.max(original)), lambda m: m <= 5),
+        }),
+        rows(grain, {
+            "cost_calculation": (F.count_distinct(F.when(yesterday, F.col("cloud_provider"))), some), "dashboard_data": (F.sum("n"), some), "daily_summary": (count, some),
+            "yesterday_cost": (F.round(F.sum(F.when(yesterday, F.col("cost"))), 2), lambda m: m.isNotNull()),
+        }),
+        rows(accounts, {"account_metadata": (count, some)}),
+        rows(contracts, {"contracts": (count, some), "contract_consumption": (F.count_if(F.col("status") == "ACTIVE"), some)}),
     ])
 
 
@@ -213,9 +220,15 @@ def price_catalog_stats(prices: DataFrame) -> DataFrame:
 
 
 def price_overlap_check(prices: DataFrame) -> DataFrame:
-    """Price rows that run into the next one of their key; each would double costs."""
-    window = W.partitionBy("sku_name", "cloud", "usage_unit").orderBy("price_start_time", F.asc_nulls_last("price_end_time"))
-    following = F.lead("price_start_time").over(window)
-    return prices.withColumn("next_start", following).filter(
-        F.col("next_start").isNotNull() & (F.col("price_end_time").isNull() | (F.col("next_start") < F.col("price_end_time")))
-    ).select("sku_name", "cloud", "usage_unit", "price_start_time", "price_end_time", "next_start")
+    """Price rows that start before an earlier one of their key has ended; each would double costs.
+
+    Compared with the latest end among all earlier rows, an open end being the latest of
+    all, so a row inside a long interval is found however many rows lie between.
+    """
+    key = ["sku_name", "cloud", "usage_unit"] + (["account_id"] if "account_id" in prices.columns else [])
+    earlier = W.partitionBy(*key).orderBy("price_start_time", F.asc_nulls_last("price_end_time")).rowsBetween(W.unboundedPreceding, -1)
+    opened = F.coalesce(F.max(F.col("price_end_time").isNull()).over(earlier), F.lit(False))
+    reach = F.max("price_end_time").over(earlier)
+    return prices.withColumns({"earlier_end": F.when(~opened, reach), "_open": opened}).filter(
+        F.col("_open") | (F.col("price_start_time") < F.col("earlier_end"))
+    ).select("sku_name", "cloud", "usage_unit", "price_start_time", "price_end_time", "earlier_end")

@@ -10,6 +10,7 @@ from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterline.functions.columns import before, day, since
@@ -18,8 +19,15 @@ from meterline.params import ARCHIVE_AFTER_DAYS
 INSERT, UPDATE, KEEP = "insert", "update", "unchanged"
 
 
+def single_keys(source: DataFrame, keys: list[str]) -> DataFrame:
+    """``source``, failing at run time where a key has several rows. The count is dealt by the keys, as the join after it."""
+    copies = F.count("*").over(W.partitionBy(*keys))
+    return source.withColumn("_copies", copies).filter(F.assert_true(F.col("_copies") == 1, "a source key has several rows").isNull()).drop("_copies")
+
+
 def _merge(target: DataFrame, source: DataFrame, keys: list[str], changed: Column, keep: tuple[str, ...]) -> DataFrame:
     """Full join on the keys; ``changed`` decides about rows found on both sides."""
+    source = single_keys(source, keys)
     t, s = target.withColumn("_t", F.lit(True)).alias("t"), source.withColumn("_s", F.lit(True)).alias("s")
     both = reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys])
     in_t, in_s = F.col("_t").isNotNull(), F.col("_s").isNotNull()
@@ -41,8 +49,8 @@ def _merge(target: DataFrame, source: DataFrame, keys: list[str], changed: Colum
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """Update matching rows, insert the rest; creation stamps survive.
 
-    Keys are taken to be unique on both sides, as the tables declare;
-    ``quality.validate_contracts`` reports where they are not.
+    A key with several source rows fails the job. Target keys are taken to be unique, as
+    the tables declare; ``quality.validate_contracts`` reports where they are not.
     """
     return _merge(target, source, keys, F.lit(True), keep)
 

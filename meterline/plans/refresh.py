@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
+from meterline.functions.columns import since
 from meterline.operators import contracts as c
 from meterline.operators import cost, forecast, reports, whatif
 from meterline.params import LOOKBACK_DAYS
@@ -22,9 +23,13 @@ class DailyRefresh:
 
 
 def daily_refresh(usage: DataFrame, prices: DataFrame, accounts: DataFrame, contracts: DataFrame, as_of: date, lookback_days: int = LOOKBACK_DAYS) -> DailyRefresh:
-    """Enrich, roll up, burn down: one lazy plan, written only by the caller."""
-    dashboard = cost.dashboard_data(usage, prices, accounts, as_of, lookback_days)
-    burndown = c.contract_burndown(contracts, dashboard, as_of)
+    """Enrich, roll up, burn down: one lazy plan, written only by the caller.
+
+    Only the reports look back ``lookback_days``; contracts burn down over all history.
+    """
+    history = cost.dashboard_data(usage, prices, accounts, as_of, None)
+    dashboard = history.filter(since(as_of, lookback_days))
+    burndown = c.contract_burndown(contracts, history, as_of)
     return DailyRefresh(dashboard, reports.daily_summary(dashboard), burndown, c.burndown_summary(burndown, as_of))
 
 
@@ -50,8 +55,8 @@ def whatif_refresh(contracts: DataFrame, burndown: DataFrame, contract_forecast:
     return WhatIfRefresh(scenarios, rows, ahead, chosen)
 
 
-def forecast_refresh(contracts: DataFrame, dashboard: DataFrame, as_of: date, folder: str) -> DataFrame:
-    """Series, models and exhaustion dates for every active contract."""
-    burndown = stored(c.contract_burndown(contracts, dashboard, as_of), f"{folder}/burndown")
-    features = stored(forecast.forecast_features(forecast.contract_daily_costs(contracts, dashboard, as_of)), f"{folder}/features")
+def forecast_refresh(contracts: DataFrame, history: DataFrame, as_of: date, folder: str) -> DataFrame:
+    """Series, models and exhaustion dates for every active contract, from enriched rows of all history."""
+    burndown = stored(c.contract_burndown(contracts, history, as_of), f"{folder}/burndown")
+    features = stored(forecast.forecast_features(forecast.contract_daily_costs(contracts, history, as_of)), f"{folder}/features")
     return forecast.forecast_output(burndown, contracts, features)

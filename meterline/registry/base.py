@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from meterline.functions.columns import plain
 from meterline.registry.star import CLOUDS, PRICE_YEARS, SKU_SUFFIXES, VALUE_FACTORS, Star
-from meterline.sources.tiers import tier_rows
 
 AS_OF = "DATE '2001-06-30'"
 
@@ -27,15 +26,10 @@ class Query:
 
 
 def tidy(df: DataFrame, digits: int) -> DataFrame:
-    """Plain types and doubles rounded, so two engines can be compared.
-
-    Sums of doubles differ in the last bits between engines. The small shift
-    keeps values that sit exactly between two steps from falling either way.
-    """
+    """Plain types and doubles rounded, as sums of doubles differ in the last bits between engines."""
     df = plain(df)
-    shift = 10.0 ** (-digits) / 1000
     return df.select(*[
-        F.round(F.col(f"`{f.name}`") + shift, digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`")
+        F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ])
 
@@ -57,8 +51,8 @@ def r(expression: str, digits: int = 2) -> str:
 
 
 def rn(expression: str, digits: int = 4) -> str:
-    """The final rounding of ``tidy``, shift included."""
-    return rd(f"CAST({expression} AS DOUBLE) + {10.0 ** (-digits) / 1000:.12f}", digits)
+    """The final rounding of ``tidy``."""
+    return rd(f"CAST({expression} AS DOUBLE)", digits)
 
 
 def ratio(a: str, b: str) -> str:
@@ -94,20 +88,45 @@ def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
 
 
-def _tier_values() -> str:
-    rows = []
-    for tid, name, low, high, years, rate, *_ in tier_rows("default"):
-        top = "NULL" if high is None else f"{high}"
-        rows.append(f"('{tid}', '{name}', {low}, {top}, {years}, {rate})")
-    return ", ".join(rows)
-
+# The published tiers, written out so that the SQL does not depend on the code it checks.
+TIER_VALUES = """
+  ('TIER_50K_1Y', 'Entry - 1 Year', 50000, 99999, 1, 0.05),
+  ('TIER_50K_2Y', 'Entry - 2 Year', 50000, 99999, 2, 0.08),
+  ('TIER_50K_3Y', 'Entry - 3 Year', 50000, 99999, 3, 0.1),
+  ('TIER_50K_4Y', 'Entry - 4 Year', 50000, 99999, 4, 0.1),
+  ('TIER_50K_5Y', 'Entry - 5 Year', 50000, 99999, 5, 0.1),
+  ('TIER_100K_1Y', 'Standard - 1 Year', 100000, 249999, 1, 0.1),
+  ('TIER_100K_2Y', 'Standard - 2 Year', 100000, 249999, 2, 0.15),
+  ('TIER_100K_3Y', 'Standard - 3 Year', 100000, 249999, 3, 0.18),
+  ('TIER_100K_4Y', 'Standard - 4 Year', 100000, 249999, 4, 0.18),
+  ('TIER_100K_5Y', 'Standard - 5 Year', 100000, 249999, 5, 0.18),
+  ('TIER_250K_1Y', 'Growth - 1 Year', 250000, 499999, 1, 0.15),
+  ('TIER_250K_2Y', 'Growth - 2 Year', 250000, 499999, 2, 0.2),
+  ('TIER_250K_3Y', 'Growth - 3 Year', 250000, 499999, 3, 0.25),
+  ('TIER_250K_4Y', 'Growth - 4 Year', 250000, 499999, 4, 0.25),
+  ('TIER_250K_5Y', 'Growth - 5 Year', 250000, 499999, 5, 0.25),
+  ('TIER_500K_1Y', 'Scale - 1 Year', 500000, 999999, 1, 0.2),
+  ('TIER_500K_2Y', 'Scale - 2 Year', 500000, 999999, 2, 0.25),
+  ('TIER_500K_3Y', 'Scale - 3 Year', 500000, 999999, 3, 0.3),
+  ('TIER_500K_4Y', 'Scale - 4 Year', 500000, 999999, 4, 0.3),
+  ('TIER_500K_5Y', 'Scale - 5 Year', 500000, 999999, 5, 0.3),
+  ('TIER_1M_1Y', 'Enterprise - 1 Year', 1000000, 4999999, 1, 0.25),
+  ('TIER_1M_2Y', 'Enterprise - 2 Year', 1000000, 4999999, 2, 0.3),
+  ('TIER_1M_3Y', 'Enterprise - 3 Year', 1000000, 4999999, 3, 0.35),
+  ('TIER_1M_4Y', 'Enterprise - 4 Year', 1000000, 4999999, 4, 0.35),
+  ('TIER_1M_5Y', 'Enterprise - 5 Year', 1000000, 4999999, 5, 0.35),
+  ('TIER_5M_1Y', 'Strategic - 1 Year', 5000000, NULL, 1, 0.3),
+  ('TIER_5M_2Y', 'Strategic - 2 Year', 5000000, NULL, 2, 0.35),
+  ('TIER_5M_3Y', 'Strategic - 3 Year', 5000000, NULL, 3, 0.4),
+  ('TIER_5M_4Y', 'Strategic - 4 Year', 5000000, NULL, 4, 0.4),
+  ('TIER_5M_5Y', 'Strategic - 5 Year', 5000000, NULL, 5, 0.4)"""
 
 _SKU = f"p_type || '_' || {_list(SKU_SUFFIXES)}[p_size % 8 + 1]"
 _UNIT = "CASE WHEN p_size % 8 = 7 THEN 'GB' ELSE 'DBU' END"
 _PRICE = "(2 + 1.5 * k + 0.25 * (y - 1995))"
 
 
-def _enriched(lookback: int) -> str:
+def _enriched(lookback: int | None) -> str:
     return f"""
 SELECT u.usage_date, u.account_id, a.customer_name, a.business_unit_l0, a.business_unit_l1, a.business_unit_l2, a.business_unit_l3,
   a.account_executive, a.solutions_architect, u.workspace_id, u.cloud AS cloud_provider, u.sku_name, u.usage_unit, u.usage_quantity,
@@ -121,13 +140,13 @@ FROM usage u
 LEFT JOIN prices p ON p.sku_name = u.sku_name AND p.cloud = u.cloud AND p.usage_unit = u.usage_unit
   AND u.usage_end_time >= p.price_start_time AND (p.price_end_time IS NULL OR u.usage_end_time < p.price_end_time)
 LEFT JOIN accounts a ON a.account_id = u.account_id
-WHERE u.record_type = 'ORIGINAL' AND {last(lookback, 'u.usage_date')}"""
+WHERE u.record_type = 'ORIGINAL' AND {'u.usage_date <= ' + AS_OF if lookback is None else last(lookback, 'u.usage_date')}"""
 
 
 # name -> (tables it builds on, text)
 TABLES: dict[str, tuple[str, str]] = {
     "usage": ("", f"""
-SELECT c_mktsegment AS account_id, CAST(l_suppkey AS VARCHAR) AS workspace_id, {_SKU} AS sku_name,
+SELECT c_mktsegment AS account_id, CASE WHEN l_suppkey % 5 = 1 AND l_shipdate >= DATE '2001-06-25' THEN 'week_' WHEN l_suppkey % 5 = 2 AND l_shipdate >= DATE '2001-06-05' THEN 'month_' ELSE '' END || l_suppkey AS workspace_id, {_SKU} AS sku_name,
   {_list(CLOUDS)}[l_suppkey % 3 + 1] AS cloud, l_shipdate AS usage_end_time, CAST(l_shipdate AS DATE) AS usage_date,
   o_orderpriority AS priority, {_UNIT} AS usage_unit,
   CAST(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS DECIMAL(18,6)) AS usage_quantity,
@@ -155,7 +174,7 @@ SELECT account_id, account_id || ' Corp' AS customer_name, ['AMER', 'EMEA', 'APA
   {AS_OF}::TIMESTAMP - INTERVAL 400 DAY AS created_at, ({AS_OF} - CAST((n - 7) * 40 AS INT))::TIMESTAMP AS updated_at
 FROM (SELECT account_id, length(account_id) AS n FROM (SELECT DISTINCT c_mktsegment AS account_id FROM customer UNION ALL SELECT 'PROSPECT'))"""),
     "dashboard": ("usage prices accounts", _enriched(365)),
-    "long_history": ("usage prices accounts", _enriched(730)),
+    "long_history": ("usage prices accounts", _enriched(None)),
     "contracts": ("long_history", f"""
 SELECT 'C' || lpad(CAST(i AS VARCHAR), 3, '0') AS contract_id, account_id, cloud_provider, s AS start_date, e AS end_date,
   CAST(ROUND(spent / ({days('s', AS_OF)} / CAST({days('s', 'e')} AS DOUBLE)) * f / 100) * 100 AS DECIMAL(18,2)) AS total_value,
@@ -172,7 +191,7 @@ UNION ALL SELECT * FROM (VALUES
   ('C904', 'BUILDING', 'AWS', DATE '2000-07-01', DATE '2001-05-31', 100000, 'USD', 'SPEND', 'ACTIVE', 'edge row'))"""),
     "tiers": ("", f"""
 SELECT tier_id, tier_name, CAST(lo AS DECIMAL(18,2)) AS min_commitment, CAST(hi AS DECIMAL(18,2)) AS max_commitment, years AS duration_years,
-  CAST(rate AS DECIMAL(5,4)) AS discount_rate FROM (VALUES {_tier_values()}) t(tier_id, tier_name, lo, hi, years, rate)"""),
+  CAST(rate AS DECIMAL(5,4)) AS discount_rate FROM (VALUES {TIER_VALUES}) t(tier_id, tier_name, lo, hi, years, rate)"""),
     "burndown": ("contracts long_history", f"""
 SELECT contract_id, cloud_provider, start_date, end_date, commitment, currency, commitment_type, notes, usage_date, daily_cost,
   SUM(daily_cost) OVER w AS cumulative_cost, commitment - SUM(daily_cost) OVER w AS remaining_budget,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from meterline.functions.columns import risk_level
@@ -11,6 +13,7 @@ from meterline.registry.cost import DAY_JOIN
 from meterline.registry.star import Star
 from meterline.sources.tiers import TIER_SETS
 
+BEGUN = 180
 KEY = "account_id, CAST(duration_years AS BIGINT) AS duration_years"
 PROJECTION = "daily_avg historical_total forecasted_total forecasted_daily_avg forecast_lower forecast_upper projected_total projected_lower projected_upper"
 ECON = "projected_total commitment discount_rate utilization effective_cost savings_vs_list waste_amount waste_cost net_benefit roi_score"
@@ -78,7 +81,13 @@ REC_NUM = num("historical_daily_avg historical_total forecasted_daily_avg foreca
 REC = f"SELECT {REC_DATES}, {REC_NUM}, 'linear_fallback' AS model_used, CAST(0.5 AS DOUBLE) AS confidence_level, 'ACTIVE' AS status FROM rec"
 
 GRID = [(float(low), year, pct / 100) for (_, low, _), rates in zip(TIER_SETS["default"].bands, TIER_SETS["default"].rates) for year, pct in enumerate(rates[:3], start=1)]
-GRID_SQL = ", ".join(f"({n}, {c}, {d}, CAST({p} AS DOUBLE))" for n, (c, d, p) in enumerate(GRID))
+# The same grid, written out for the SQL.
+GRID_SQL = """
+  (0, 50000.0, 1, CAST(0.05 AS DOUBLE)), (1, 50000.0, 2, CAST(0.08 AS DOUBLE)), (2, 50000.0, 3, CAST(0.1 AS DOUBLE)), (3, 100000.0, 1, CAST(0.1 AS DOUBLE)), (4,
+  100000.0, 2, CAST(0.15 AS DOUBLE)), (5, 100000.0, 3, CAST(0.18 AS DOUBLE)), (6, 250000.0, 1, CAST(0.15 AS DOUBLE)), (7, 250000.0, 2, CAST(0.2 AS DOUBLE)), (8,
+  250000.0, 3, CAST(0.25 AS DOUBLE)), (9, 500000.0, 1, CAST(0.2 AS DOUBLE)), (10, 500000.0, 2, CAST(0.25 AS DOUBLE)), (11, 500000.0, 3, CAST(0.3 AS DOUBLE)), (12,
+  1000000.0, 1, CAST(0.25 AS DOUBLE)), (13, 1000000.0, 2, CAST(0.3 AS DOUBLE)), (14, 1000000.0, 3, CAST(0.35 AS DOUBLE)), (15, 5000000.0, 1, CAST(0.3 AS DOUBLE)),
+  (16, 5000000.0, 2, CAST(0.35 AS DOUBLE)), (17, 5000000.0, 3, CAST(0.4 AS DOUBLE))"""
 
 
 def _annual(s: Star):
@@ -89,6 +98,25 @@ def _risk(s: Star):
     return s.commitment.scored.select("account_id", "duration_years", "candidate_order", risk_level(F.col("utilization")).alias("risk_level"))
 
 
+def _begun(s: Star):
+    """Terms that began half a year before ``as_of``: part history, part forecast."""
+    return k.contract_horizon(s.commitment.stats, s.as_of - timedelta(days=BEGUN), (1, 2, 3), s.as_of)
+
+
+def _horizons(s: Star):
+    return s.commitment.horizon.unionByName(_begun(s))
+
+
+def _projected(s: Star):
+    project = lambda horizon: k.projected_consumption(s.account_daily, s.commitment.stats, horizon, s.commitment.forecast, s.as_of)
+    return project(s.commitment.horizon).unionByName(project(_begun(s)))
+
+
+def _details(s: Star):
+    detail = lambda horizon: k.commitment_forecast_detail(s.account_daily, s.commitment.forecast, horizon, s.as_of)
+    return detail(s.commitment.horizon).withColumn("begun", F.lit(False)).unionByName(detail(_begun(s)).withColumn("begun", F.lit(True)))
+
+
 def _older(s: Star):
     """Two runs of the analysis, a week apart, so that the latest has to be found."""
     fresh = s.commitment.recommendations
@@ -97,9 +125,16 @@ def _older(s: Star):
 
 QUERIES = [
     Query("consumption_stats", lambda s: s.commitment.stats, sql("kstats", f"SELECT account_id, days, first_day, {num('daily_avg daily_std total trend')} FROM kstats")),
-    Query("contract_horizon", lambda s: s.commitment.horizon, sql(
-        "acct", f"SELECT account_id, CAST(d AS BIGINT) AS duration_years, {AS_OF} AS proposed_start, {AS_OF} + CAST(365 * d AS INT) AS proposed_end, CAST(0 AS BIGINT) AS historical_days, CAST(365 * d AS BIGINT) AS forecast_days FROM (SELECT DISTINCT account_id FROM acct), unnest([1, 2, 3]) t(d)")),
-    Query("projected_consumption", lambda s: k.projected_consumption(s.account_daily, s.commitment.stats, s.commitment.horizon, s.commitment.forecast, s.as_of), sql("proj", f"SELECT {KEY}, proposed_start, proposed_end, {num(PROJECTION)} FROM proj")),
+    Query("contract_horizon", _horizons, sql(
+        "acct", f"""SELECT account_id, CAST(d AS BIGINT) AS duration_years, CAST({AS_OF} - p AS DATE) AS proposed_start, CAST({AS_OF} - p + CAST(365 * d AS INT) AS DATE) AS proposed_end, CAST(p AS BIGINT) AS historical_days, CAST(365 * d - p AS BIGINT) AS forecast_days
+ FROM (SELECT DISTINCT account_id FROM acct), unnest([1, 2, 3]) t(d), unnest([0, {BEGUN}]) u(p)""")),
+    Query("projected_consumption", _projected, sql("proj acct kfc kstats", f"""SELECT {KEY}, proposed_start, proposed_end, {num(PROJECTION)} FROM proj
+ UNION ALL SELECT {KEY}, proposed_start, proposed_end, {num(PROJECTION)} FROM (
+  SELECT s.account_id, y.d AS duration_years, {AS_OF} - {BEGUN} AS proposed_start, {AS_OF} - {BEGUN} + CAST(365 * y.d AS INT) AS proposed_end, s.daily_avg, h.t AS historical_total, SUM(f.yhat) AS forecasted_total,
+   AVG(f.yhat) AS forecasted_daily_avg, SUM(f.lo) AS forecast_lower, SUM(f.hi) AS forecast_upper, h.t + SUM(f.yhat) AS projected_total, h.t + SUM(f.lo) AS projected_lower, h.t + SUM(f.hi) AS projected_upper
+  FROM kstats s CROSS JOIN (SELECT CAST(unnest([1, 2, 3]) AS BIGINT) AS d) y JOIN kfc f ON f.account_id = s.account_id AND f.ds <= {AS_OF} - {BEGUN} + CAST(365 * y.d AS INT)
+  JOIN (SELECT k.account_id, COALESCE(SUM(a.daily_cost), 0) + MAX(GREATEST({days(f"{AS_OF} - {BEGUN}", 'k.first_day')}, 0) * k.daily_avg) AS t FROM kstats k
+   LEFT JOIN acct a ON a.account_id = k.account_id AND a.usage_date >= {AS_OF} - {BEGUN} GROUP BY k.account_id) h ON h.account_id = s.account_id GROUP BY s.account_id, y.d, s.daily_avg, h.t)""")),
     Query("commitment_candidates", lambda s: s.commitment.candidates, sql(
         "cand", f"SELECT {KEY}, CAST(candidate_order AS BIGINT) AS candidate_order, candidate_type, {num('projected_total commitment')} FROM cand WHERE commitment > 0")),
     Query("best_tier", lambda s: k.best_tier(s.commitment.candidates, s.commitment.tiers), sql(
@@ -123,10 +158,12 @@ QUERIES = [
         "contracts kstats", f"""SELECT contract_id, account_id, start_date, end_date, CASE WHEN MAX(daily_avg) IS NULL THEN 10000 ELSE GREATEST(round_even((MAX(past) * MAX(daily_avg) + SUM(CASE WHEN i >= 0 THEN GREATEST(daily_avg + trend * (past + i), 0) ELSE 0 END)) / CAST(0.95 AS DOUBLE) / 1000, 0) * 1000, 1000) END AS auto_total_value
  FROM (SELECT *, unnest(range(-1, CAST(len - past AS BIGINT))) AS i FROM (SELECT c.contract_id, c.account_id, c.start_date, c.end_date, s.daily_avg, s.trend, {days('c.start_date', 'c.end_date')} AS len,
    GREATEST(LEAST({days('c.start_date', AS_OF)}, {days('c.start_date', 'c.end_date')}), 0) AS past FROM contracts c LEFT JOIN kstats s ON s.account_id = c.account_id)) GROUP BY contract_id, account_id, start_date, end_date""")),
-    Query("commitment_forecast_detail", lambda s: k.commitment_forecast_detail(s.account_daily, s.commitment.forecast, s.commitment.horizon, s.as_of), sql(
-        "kfc", f"""SELECT account_id, d AS duration_years, ds AS forecast_date, {rn('yhat')} AS daily_cost, {rn('lo')} AS lower_bound, {rn('hi')} AS upper_bound, FALSE AS is_historical,
- {rn('SUM(yhat) OVER (PARTITION BY account_id, d ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS cumulative_cost
- FROM (SELECT *, CAST(unnest([1, 2, 3]) AS BIGINT) AS d FROM kfc) WHERE ds <= {AS_OF} + CAST(365 * d AS INT)""")),
+    Query("commitment_forecast_detail", _details, sql(
+        "kfc acct", f"""SELECT account_id, d AS duration_years, ds AS forecast_date, {rn('y')} AS daily_cost, {rn('lo')} AS lower_bound, {rn('hi')} AS upper_bound, past AS is_historical, p > 0 AS begun,
+ {rn('SUM(y) OVER (PARTITION BY account_id, d, p ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS cumulative_cost
+ FROM (SELECT account_id, ds, yhat AS y, lo, hi, FALSE AS past FROM kfc UNION ALL SELECT account_id, usage_date, daily_cost, daily_cost, daily_cost, TRUE FROM acct),
+  (SELECT CAST(unnest([1, 2, 3]) AS BIGINT) AS d), unnest([0, {BEGUN}]) u(p)
+ WHERE ds >= {AS_OF} - p AND ds <= {AS_OF} - p + CAST(365 * d AS INT)""")),
     Query("commitment_search", lambda s: k.commitment_search(_annual(s), GRID), sql(
         "acct", f"""SELECT account_id, CAST(duration AS BIGINT) AS duration, {num('annual commitment discount_rate total_savings utilization savings_per_dollar_committed')}
  FROM (SELECT *, total_savings / (commitment * duration) AS savings_per_dollar_committed, ROW_NUMBER() OVER (PARTITION BY account_id ORDER BY utilization >= 0.85 DESC, CASE WHEN utilization >= 0.85 THEN ROUND(total_savings, 4) ELSE -commitment END DESC, n) AS rn

@@ -31,6 +31,23 @@ SELECT s.contract_id, COUNT(*) AS training_points, MIN(s.ds) AS training_start_d
   AVG(ABS(s.y - t.m) / s.y) FILTER (s.y > 0) * 100 AS mape, SQRT(AVG((s.y - t.m) * (s.y - t.m))) AS rmse, AVG(ABS(s.y - t.m)) AS mae
 FROM series s JOIN (SELECT contract_id, AVG(y) AS m FROM series GROUP BY contract_id) t ON t.contract_id = s.contract_id GROUP BY s.contract_id""")
 
+FACTOR = "CASE WHEN AVG(y / NULLIF(v, 0)) FILTER (v > 0) > 0 THEN AVG(y / NULLIF(v, 0)) FILTER (v > 0) ELSE 1 END"
+extend("past", "features", f"""
+SELECT contract_id, ds, CAST(y AS DOUBLE) AS y, contract_end, CAST({days("DATE '1970-01-01'", 'ds')} AS DOUBLE) AS x FROM features WHERE ds <= contract_end""")
+extend("lines", "past", """
+SELECT contract_id, AVG(y) AS mean, AVG(x) AS center, COALESCE(CASE WHEN COUNT(*) > 1 THEN regr_slope(y, x) END, 0) AS slope, MAX(ds) AS last, MAX(contract_end) AS contract_end FROM past GROUP BY contract_id""")
+extend("whole", "past lines", f"""
+SELECT p.contract_id, p.ds, p.y, TRUE AS fitted, GREATEST(mean + slope * (p.x - center), mean * 0.1) AS v FROM past p JOIN lines l ON l.contract_id = p.contract_id
+UNION ALL SELECT contract_id, ds, NULL, FALSE, GREATEST(mean + slope * ({days("DATE '1970-01-01'", 'ds')} - center), mean * 0.1)
+FROM (SELECT *, last + CAST(unnest(range(1, LEAST(GREATEST({days('last', 'contract_end')}, 0) + 90, 365) + 1)) AS INT) AS ds FROM lines)""")
+for _name, _from, _part in (("weekly", "whole", "dayofweek"), ("monthly", "weekly", "dayofmonth"), ("yearly", "monthly", "month")):
+    extend(_name, _from, f"""
+SELECT h.contract_id, h.ds, h.y, h.fitted, h.v * COALESCE(k.factor, 1) AS v FROM {_from} h LEFT JOIN (
+  SELECT contract_id, {_part}(ds) AS part, {FACTOR} AS factor FROM {_from} WHERE fitted GROUP BY ALL) k ON k.contract_id = h.contract_id AND k.part = {_part}(h.ds)""")
+extend("seasonal", "yearly", """
+SELECT h.contract_id, ds, v AS yhat, v - 1.2816 * sigma AS yhat_lower, v + 1.2816 * sigma AS yhat_upper
+FROM yearly h JOIN (SELECT contract_id, STDDEV_POP(y - v) AS sigma FROM yearly WHERE fitted GROUP BY contract_id) d ON d.contract_id = h.contract_id WHERE NOT fitted""")
+
 
 def _daily(s: Star):
     return f.contract_daily_costs(s.contracts, s.long_history, s.as_of)
@@ -77,15 +94,23 @@ QUERIES = [
         "feature_summary", "SELECT * REPLACE (CAST(contract_value AS DOUBLE) AS contract_value) FROM feature_summary")),
     Query("readiness_counts", lambda s: f.readiness_counts(f.forecast_feature_summary(s.features)), sql(
         "feature_summary", "SELECT COUNT(DISTINCT contract_id) AS contracts_prepared, COUNT(*) FILTER (readiness = 'READY') AS ready_for_forecast, COUNT(*) FILTER (readiness = 'LIMITED') AS limited_data, COUNT(*) FILTER (readiness = 'INSUFFICIENT') AS insufficient_data FROM feature_summary")),
-    Query("training_gate", lambda s: f.training_gate(s.features, 400), sql(
-        "features", "SELECT contract_id, COUNT(*) AS training_points, CASE WHEN COUNT(*) >= 400 THEN 'seasonal' ELSE 'linear_fallback' END AS model_version FROM features GROUP BY contract_id")),
+    Query("training_gate", lambda s: f.training_gate(s.features), sql(
+        "features", "SELECT contract_id, COUNT(*) AS training_points, CASE WHEN COUNT(*) >= 30 THEN 'seasonal' ELSE 'linear_fallback' END AS model_version FROM features GROUP BY contract_id")),
     Query("linear_forecast", lambda s: f.linear_forecast(s.burndown, s.contracts), sql("flat", f"SELECT contract_id, ds, {num('yhat yhat_lower yhat_upper')} FROM flat")),
     Query("trend_forecast", _trend, sql(
         "trend", f"""SELECT contract_id, {AS_OF} + CAST(i + 1 AS INT) AS ds, {rn('v')} AS yhat, {rn('GREATEST(v - sd, 0)')} AS yhat_lower, {rn('v + sd')} AS yhat_upper
  FROM (SELECT contract_id, i, GREATEST(m + b * i, 0) AS v, COALESCE(sd, 0) AS sd FROM trend, unnest(range(0, 90)) t(i))""")),
-    Query("seasonal_forecast", lambda s: f.seasonal_forecast(s.features)),
+    Query("seasonal_forecast", lambda s: f.seasonal_forecast(s.features), sql("seasonal", f"SELECT contract_id, ds, {num('yhat yhat_lower yhat_upper')} FROM seasonal")),
     Query("exhaustion_dates", _exhaustion, sql("exhaustion", "SELECT * FROM exhaustion")),
-    Query("forecast_output", lambda s: f.forecast_output(s.burndown, s.contracts, s.features, 400)),
+    Query("forecast_output", lambda s: f.forecast_output(s.burndown, s.contracts, s.features), sql(
+        "seasonal spent", f"""SELECT contract_id, ds AS forecast_date, 'seasonal' AS model_version, {rn('GREATEST(yhat, 0)')} AS predicted_daily_cost, {rn('GREATEST(yhat_lower, 0)')} AS lower_bound, {rn('GREATEST(yhat_upper, 0)')} AS upper_bound,
+ p10 AS exhaustion_date_p10, p50 AS exhaustion_date_p50, p90 AS exhaustion_date_p90, CASE WHEN remaining <= 0 THEN 0 ELSE date_diff('day', first_ds, p50) END AS days_to_exhaustion,
+ {rn('spent + SUM(GREATEST(yhat, 0)) OVER (PARTITION BY contract_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS predicted_cumulative
+ FROM (SELECT *, MIN(ds) OVER k AS first_ds, MIN(CASE WHEN remaining > 0 AND cu >= remaining THEN ds END) OVER k AS p10, MIN(CASE WHEN remaining > 0 AND cm >= remaining THEN ds END) OVER k AS p50,
+   MIN(CASE WHEN remaining > 0 AND cl >= remaining THEN ds END) OVER k AS p90
+  FROM (SELECT s.*, t.spent, t.value - t.spent AS remaining, SUM(yhat) OVER w AS cm, SUM(yhat_upper) OVER w AS cu, SUM(yhat_lower) OVER w AS cl
+   FROM seasonal s JOIN spent t ON t.contract_id = s.contract_id WINDOW w AS (PARTITION BY s.contract_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  WINDOW k AS (PARTITION BY contract_id))""")),
     Query("fit_metrics", _metrics, sql("metrics", f"SELECT contract_id, training_points, training_start_date, training_end_date, {num('mape rmse mae')} FROM metrics")),
     Query("model_metrics_table", _registry_rows, sql(
         "metrics", f"""SELECT contract_id || '-new' AS model_id, contract_id, {AS_OF} AS trained_at, training_points, {num('mape rmse')}, TRUE AS is_active FROM metrics

@@ -7,7 +7,6 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from meterline.operators import quality as q
-from meterline.operators import reports
 from meterline.operators import upkeep as u
 from meterline.operators import whatif as w
 from meterline.registry import whatif as whatif_queries  # noqa: F401  its tables are used below
@@ -15,28 +14,25 @@ from meterline.registry.base import AS_OF, Query, ago, days, extend, last, num,
 from meterline.registry.cost import JOIN
 from meterline.registry.star import Star
 
-# The changed tier table of the upsert checks: same ids, one rate raised, one open limit, one new tier per band.
+# Changed contract tables of the upsert checks: same ids, values raised, one note emptied, one id new.
 extend("new_contracts", "contracts", """
 SELECT CASE WHEN contract_id = 'C901' THEN 'C999' ELSE contract_id END AS contract_id, account_id, total_value * 2 AS total_value, 'PENDING' AS status
 FROM contracts WHERE contract_id >= 'C010'""")
-extend("changed_tiers", "tiers", """
-SELECT CASE WHEN duration_years = 4 THEN tier_id || '_NEW' ELSE tier_id END AS tier_id, tier_name, min_commitment, CASE WHEN tier_id = 'TIER_1M_1Y' THEN NULL ELSE max_commitment END AS max_commitment,
-  duration_years, CASE WHEN duration_years = 1 THEN CAST(discount_rate + 0.01 AS DECIMAL(5,4)) ELSE discount_rate END AS discount_rate FROM tiers WHERE duration_years <> 5""")
-TIER = ["tier_id", "tier_name", "min_commitment", "max_commitment", "duration_years", "discount_rate"]
+extend("changed_terms", "contracts", """
+SELECT CASE WHEN contract_id = 'C902' THEN 'C998' ELSE contract_id END AS contract_id, account_id, CASE WHEN cloud_provider = 'AWS' THEN total_value + 1000 ELSE total_value END AS total_value,
+  CASE WHEN cloud_provider = 'GCP' THEN NULL ELSE notes END AS notes FROM contracts WHERE start_date >= DATE '2000-01-01'""")
 
 
-def _tiers(s: Star):
-    """Tier rows with the contracts of each, so that the work follows the data."""
-    return w.tier_reach(s.tiers, s.contracts).select(*TIER, "contracts_in_tier")
+def _terms(s: Star):
+    return s.contracts.select("contract_id", "account_id", "total_value", "notes")
 
 
-def _changed_tiers(s: Star):
-    year = F.col("duration_years")
-    return _tiers(s).filter(year != 5).select(
-        F.when(year == 4, F.concat("tier_id", F.lit("_NEW"))).otherwise(F.col("tier_id")).alias("tier_id"), "tier_name", "min_commitment",
-        F.when(F.col("tier_id") != "TIER_1M_1Y", F.col("max_commitment")).alias("max_commitment"), "duration_years",
-        F.when(year == 1, F.col("discount_rate") + F.lit(0.01).cast("decimal(5,4)")).otherwise(F.col("discount_rate")).cast("decimal(5,4)").alias("discount_rate"),
-        "contracts_in_tier",
+def _changed_terms(s: Star):
+    cloud = F.col("cloud_provider")
+    return s.contracts.filter(F.col("start_date") >= F.lit(date(2000, 1, 1))).select(
+        F.when(F.col("contract_id") == "C902", "C998").otherwise(F.col("contract_id")).alias("contract_id"), "account_id",
+        F.when(cloud == "AWS", F.col("total_value") + 1000).otherwise(F.col("total_value")).cast("decimal(18,2)").alias("total_value"),
+        F.when(cloud != "GCP", F.col("notes")).alias("notes"),
     )
 
 
@@ -54,7 +50,7 @@ def _new_contracts(s: Star):
 
 def _scenario_merge(s: Star):
     columns = ["scenario_id", "usage_date", "simulated_daily_cost", "simulated_cumulative"]
-    rows = s.scenario_burndown.filter("NOT is_projected").select(*columns)
+    rows = s.scenario_burndown.select(*columns)
     stale = rows.filter(F.col("usage_date") <= F.lit(s.as_of - timedelta(days=60))).withColumn("simulated_daily_cost", F.lit(0.0))
     return u.merge_scenarios(stale, rows, ["scenario_id", "usage_date"])
 
@@ -65,7 +61,7 @@ def _flagged(s: Star):
 
 
 def _archived(s: Star):
-    kept, old = u.archive_split(s.long_history, s.as_of, 365)
+    kept, old = u.archive_split(s.long_history, s.as_of)
     return u.archive_summary(kept).withColumn("part", F.lit("kept")).unionByName(u.archive_summary(old).withColumn("part", F.lit("archived")))
 
 
@@ -104,7 +100,7 @@ def _overlapping(s: Star):
     """Price intervals with the ends of one price year moved too far."""
     late = F.when(F.year("price_start_time") == 1998, F.col("price_end_time") + F.expr("INTERVAL 10 DAYS")).otherwise(F.col("price_end_time"))
     return q.price_overlap_check(s.prices.withColumn("price_end_time", late)).select(
-        "sku_name", "cloud", "usage_unit", *[F.to_date(c).alias(c) for c in ("price_start_time", "price_end_time", "next_start")]
+        "sku_name", "cloud", "usage_unit", *[F.to_date(c).alias(c) for c in ("price_start_time", "price_end_time", "earlier_end")]
     )
 
 
@@ -124,14 +120,10 @@ def _install(s: Star):
 
 
 def _suite(s: Star):
-    return q.validation_suite(s.usage, s.accounts, s.contracts, s.dashboard, reports.daily_summary(s.dashboard), s.as_of)
+    return q.validation_suite(s.usage, s.accounts, s.contracts, s.dashboard, s.as_of)
 
 
 FRESH = "CASE WHEN n <= 2 THEN 'OK' WHEN n <= 5 THEN 'WARNING' ELSE 'CRITICAL' END"
-MERGED_TIERS = """SELECT COALESCE(t.tier_id, s.tier_id) AS tier_id, CASE WHEN s.tier_id IS NULL THEN t.min_commitment ELSE s.min_commitment END AS min_commitment,
- CASE WHEN s.tier_id IS NULL THEN t.max_commitment ELSE s.max_commitment END AS max_commitment, COALESCE(s.discount_rate, t.discount_rate) AS discount_rate,
- CASE WHEN t.tier_id IS NULL THEN 'insert' WHEN s.tier_id IS NOT NULL AND (t.tier_name <> s.tier_name OR t.min_commitment <> s.min_commitment OR COALESCE(t.max_commitment, -1) <> COALESCE(s.max_commitment, -1)
-   OR t.duration_years <> s.duration_years OR t.discount_rate <> s.discount_rate) THEN 'update' ELSE 'unchanged' END AS _action FROM tiers t FULL JOIN changed_tiers s ON s.tier_id = t.tier_id"""
 NULL_SPAN = "CAST(NULL AS DATE), CAST(NULL AS DATE)"
 
 QUERIES = [
@@ -140,15 +132,19 @@ QUERIES = [
         "contracts new_contracts", f"""SELECT COALESCE(t.contract_id, s.contract_id) AS contract_id, COALESCE(s.account_id, t.account_id) AS account_id, CAST(COALESCE(s.total_value, t.total_value) AS DOUBLE) AS total_value,
  COALESCE(s.status, t.status) AS status, CAST(CASE WHEN t.contract_id IS NULL THEN {AS_OF} + 1 ELSE {AS_OF} END AS TIMESTAMP) AS created_at,
  CASE WHEN t.contract_id IS NULL THEN 'insert' WHEN s.contract_id IS NULL THEN 'unchanged' ELSE 'update' END AS _action FROM contracts t FULL JOIN new_contracts s ON s.contract_id = t.contract_id""")),
-    Query("upsert_changed", lambda s: u.upsert_changed(_tiers(s), _changed_tiers(s), ["tier_id"], TIER[1:]).select("tier_id", "min_commitment", "max_commitment", "discount_rate", "_action"), sql(
-        "tiers changed_tiers", f"SELECT tier_id, {num('min_commitment max_commitment discount_rate')}, _action FROM ({MERGED_TIERS})")),
-    Query("replace_by_prefix", lambda s: u.replace_by_prefix(_tiers(s).unionByName(_tiers(s).withColumn("tier_id", F.concat(F.lit("MANUAL_"), "tier_id"))), _changed_tiers(s)).select("tier_id", "discount_rate"), sql(
-        "tiers changed_tiers", f"SELECT 'MANUAL_' || tier_id AS tier_id, CAST(discount_rate AS DOUBLE) AS discount_rate FROM tiers UNION ALL SELECT tier_id, CAST(discount_rate AS DOUBLE) FROM changed_tiers")),
+    Query("upsert_changed", lambda s: u.upsert_changed(_terms(s), _changed_terms(s), ["contract_id"], ["account_id", "total_value", "notes"]), sql(
+        "contracts changed_terms", """SELECT COALESCE(t.contract_id, s.contract_id) AS contract_id, CASE WHEN s.contract_id IS NULL THEN t.account_id ELSE s.account_id END AS account_id,
+ CAST(CASE WHEN s.contract_id IS NULL THEN t.total_value ELSE s.total_value END AS DOUBLE) AS total_value, CASE WHEN s.contract_id IS NULL THEN t.notes ELSE s.notes END AS notes,
+ CASE WHEN t.contract_id IS NULL THEN 'insert' WHEN s.contract_id IS NOT NULL AND (t.account_id IS DISTINCT FROM s.account_id OR t.total_value IS DISTINCT FROM s.total_value OR t.notes IS DISTINCT FROM s.notes) THEN 'update'
+ ELSE 'unchanged' END AS _action FROM contracts t FULL JOIN changed_terms s ON s.contract_id = t.contract_id""")),
+    Query("replace_by_prefix", lambda s: u.replace_by_prefix(_terms(s), _changed_terms(s), "contract_id", ("C00%", "C9_1")), sql(
+        "contracts changed_terms", """SELECT contract_id, account_id, CAST(total_value AS DOUBLE) AS total_value, notes FROM contracts WHERE NOT (starts_with(contract_id, 'C00') OR contract_id = 'C901')
+ UNION ALL SELECT contract_id, account_id, CAST(total_value AS DOUBLE), notes FROM changed_terms""")),
     Query("merge_scenarios", _scenario_merge, sql(
-        "sb", f"SELECT scenario_id, usage_date, {num('simulated_daily_cost simulated_cumulative', 5)}, CASE WHEN usage_date <= {ago(60)} THEN 'update' ELSE 'insert' END AS _action FROM sb"), 5),
+        "all_sb", f"SELECT scenario_id, usage_date, {num('simulated_daily_cost simulated_cumulative', 7)}, CASE WHEN usage_date <= {ago(60)} THEN 'update' ELSE 'insert' END AS _action FROM all_sb"), 7),
     Query("flag_best", _flagged, sql("simple", "SELECT scenario_id, contract_id, scenario_name, is_sweet_spot AS is_recommended FROM simple")),
     Query("archive_split", _archived, sql(
-        "long_history", "\nUNION ALL\n".join(f"SELECT '{part}' AS part, COUNT(*) AS archived_records, MIN(usage_date) AS oldest_date, MAX(usage_date) AS newest_date, {r('SUM(actual_cost)')} AS total_archived_cost FROM long_history WHERE usage_date {op} {ago(365)}" for part, op in (("kept", ">="), ("archived", "<"))))),
+        "long_history", "\nUNION ALL\n".join(f"SELECT '{part}' AS part, COUNT(*) AS archived_records, MIN(usage_date) AS oldest_date, MAX(usage_date) AS newest_date, {r('SUM(actual_cost)')} AS total_archived_cost FROM long_history WHERE usage_date {op} {ago(730)}" for part, op in (("kept", ">="), ("archived", "<"))))),
     Query("derive_status", lambda s: u.status_changes(s.contracts, s.as_of), sql(
         "contracts", f"SELECT contract_id, status AS old_status, n AS new_status, end_date FROM (SELECT *, CASE WHEN end_date < {AS_OF} THEN 'EXPIRED' WHEN start_date > {AS_OF} THEN 'PENDING' ELSE 'ACTIVE' END AS n FROM contracts) WHERE status <> n")),
     Query("delete_where", _deleted, sql("contracts", f"SELECT contract_id, status, CASE WHEN status = 'EXPIRED' AND end_date < {ago(365)} THEN 'removed' ELSE 'kept' END AS part FROM contracts")),
@@ -178,7 +174,7 @@ QUERIES = [
         "usage", f"SELECT CAST(d AS DATE) AS missing_date FROM generate_series(DATE '1994-12-01', {ago(1)}, INTERVAL 1 DAY) t(d) WHERE CAST(d AS DATE) NOT IN (SELECT usage_date FROM usage)")),
     Query("cumulative_consistency", _broken_burndown, sql(
         "burndown", f"""SELECT contract_id, usage_date, {num('daily_cost')}, {rn('cumulative_cost + n')} AS cumulative_cost, {rn('cumulative_cost')} AS calculated_cumulative, CAST(n AS DOUBLE) AS discrepancy
- FROM (SELECT *, {days('usage_date', AS_OF)} AS n FROM burndown WHERE dayofweek(usage_date) = 1) WHERE n > 0 ORDER BY n DESC, contract_id, usage_date LIMIT 10""")),
+ FROM (SELECT *, {days('usage_date', AS_OF)} AS n FROM burndown WHERE dayofweek(usage_date) = 1) WHERE n > 0""")),
     Query("burndown_coverage", lambda s: q.burndown_coverage(s.burndown, s.contracts, s.dashboard), sql(
         "burndown contracts dashboard", f"""SELECT 'Contract Coverage' AS check_type, COUNT(DISTINCT contract_id) AS contract_count, COUNT(*) AS total_data_points, MIN(usage_date) AS earliest_date, MAX(usage_date) AS latest_date, {days('MIN(usage_date)', 'MAX(usage_date)')} AS days_of_data FROM burndown
  UNION ALL SELECT 'Contracts Without Data', COUNT(*), NULL, NULL, NULL, NULL FROM contracts c WHERE status = 'ACTIVE' AND NOT EXISTS (SELECT 1 FROM burndown b WHERE b.contract_id = c.contract_id)
@@ -223,6 +219,6 @@ QUERIES = [
     Query("days_per_contract", lambda s: q.days_per_contract(s.burndown), sql("burndown", "SELECT contract_id, COUNT(DISTINCT usage_date) AS days FROM burndown GROUP BY contract_id")),
     Query("price_catalog_stats", lambda s: q.price_catalog_stats(s.prices), sql("prices", "SELECT COUNT(*) AS price_count, COUNT(DISTINCT sku_name) AS unique_skus FROM prices")),
     Query("price_overlap_check", _overlapping, sql(
-        "prices", """SELECT sku_name, cloud, usage_unit, CAST(price_start_time AS DATE) AS price_start_time, CAST(price_end_time AS DATE) + 10 AS price_end_time, CAST(price_end_time AS DATE) AS next_start
- FROM prices WHERE year(price_start_time) = 1998""")),
+        "prices", """SELECT sku_name, cloud, usage_unit, CAST(price_start_time AS DATE) AS price_start_time, CAST(price_end_time AS DATE) AS price_end_time, CAST(price_start_time AS DATE) + 10 AS earlier_end
+ FROM prices WHERE year(price_start_time) = 1999""")),
 ]

@@ -11,7 +11,6 @@ from meterline.registry.base import AS_OF, Query, ago, days, extend, grouped, la
 from meterline.registry.cost import DAY_JOIN, JOIN
 from meterline.registry.star import Star
 
-NEW_SINCE = 725  # every workspace is old after two years, so the window is wide
 PREV_MONTH = "usage_date BETWEEN DATE '2001-05-01' AND DATE '2001-05-31'"
 
 
@@ -45,11 +44,11 @@ extend("new_ws", "long_history", f"""
 SELECT f.workspace_id, f.cloud_provider, f.first_seen, {days('f.first_seen', AS_OF)} AS days_active, COUNT(DISTINCT d.usage_date) AS usage_days, {r('SUM(d.actual_cost)')} AS total_cost
 FROM (SELECT workspace_id, cloud_provider, MIN(usage_date) AS first_seen FROM long_history GROUP BY ALL) f
 JOIN long_history d ON d.workspace_id = f.workspace_id AND d.cloud_provider = f.cloud_provider
-WHERE f.first_seen >= {ago(NEW_SINCE)} GROUP BY ALL""")
+WHERE f.first_seen >= {ago(30)} GROUP BY ALL""")
 
 
 def _new(s: Star):
-    return n.new_workspaces(s.long_history, s.as_of, NEW_SINCE)
+    return n.new_workspaces(s.long_history, s.as_of)
 
 
 def _spikes(s: Star):
@@ -169,8 +168,8 @@ QUERIES = [
     Query("non_positive_usage", lambda s: n.non_positive_usage(_costed(s), s.as_of), sql(
         "usage prices", f"""SELECT u.usage_date, u.workspace_id, u.sku_name, {num('usage_quantity', 6)}, {r('u.usage_quantity * p.effective_price', 6)} AS actual_cost, 'Negative or zero cost' AS issue
  FROM usage u {JOIN} WHERE {last(30, 'u.usage_date')} AND (u.usage_quantity * p.effective_price <= 0 OR u.usage_quantity <= 0)"""), 6),
-    Query("first_seen_recent", lambda s: n.first_seen_recent(s.long_history, s.as_of, NEW_SINCE), sql(
-        "long_history", f"SELECT workspace_id, MIN(usage_date) AS first_seen FROM long_history GROUP BY workspace_id HAVING MIN(usage_date) >= {ago(NEW_SINCE)}")),
+    Query("first_seen_recent", lambda s: n.first_seen_recent(s.long_history, s.as_of), sql(
+        "long_history", f"SELECT workspace_id, MIN(usage_date) AS first_seen FROM long_history GROUP BY workspace_id HAVING MIN(usage_date) >= {ago(7)}")),
     Query("exhaustion_alert", lambda s: n.exhaustion_alert(s.forecast, s.as_of, 120), sql(
         "exhaustion", f"SELECT contract_id, exhaustion_date_p50 AS predicted_exhaustion, {days(AS_OF, 'exhaustion_date_p50')} AS days_until_exhaustion, 'ALERT: Contract exhausting soon' AS alert_message FROM exhaustion WHERE {days(AS_OF, 'exhaustion_date_p50')} BETWEEN 1 AND 120")),
     Query("contract_overrun_alert", lambda s: n.contract_overrun_alert(s.contracts, s.long_history, s.as_of), sql(

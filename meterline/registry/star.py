@@ -24,7 +24,6 @@ from meterline.sources.readers import list_prices, usage_feed
 from meterline.sources.tiers import default_tiers
 
 AS_OF = date(2001, 6, 30)
-CONTRACT_LOOKBACK = 730
 TIERS_FROM = date(2000, 1, 1)
 
 # Fixed values of the fixture rules.
@@ -67,7 +66,12 @@ def star_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             "account_id",
-            F.col("l_suppkey").cast("string").alias("workspace_id"),
+            # Some suppliers move to a workspace of their own near the end of the data.
+            F.concat(
+                F.when((F.pmod("l_suppkey", F.lit(5)) == 1) & (F.col("l_shipdate") >= "2001-06-25"), "week_")
+                .when((F.pmod("l_suppkey", F.lit(5)) == 2) & (F.col("l_shipdate") >= "2001-06-05"), "month_").otherwise(""),
+                F.col("l_suppkey").cast("string"),
+            ).alias("workspace_id"),
             F.concat("p_type", F.lit("_"), _pick(SKU_SUFFIXES, k)).alias("sku_name"),
             _pick(CLOUDS, F.pmod("l_suppkey", F.lit(3))).alias("cloud"),
             (ended - F.expr("INTERVAL 1 HOUR")).alias("usage_start_time"),
@@ -248,7 +252,7 @@ class Star:
 
     @cached_property
     def long_history(self) -> DataFrame:
-        return cost.dashboard_data(self.usage, self.prices, self.accounts, self.as_of, CONTRACT_LOOKBACK)
+        return cost.dashboard_data(self.usage, self.prices, self.accounts, self.as_of, None)
 
     # stored stage results
     @cached_property

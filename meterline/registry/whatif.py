@@ -26,11 +26,11 @@ extend("scenarios", "sized rates", """
 SELECT sha256(contract_id || '|' || kind || '|' || CAST(pct AS VARCHAR) || '|' || COALESCE(CAST(years AS VARCHAR), '-')) AS scenario_id, contract_id, kind,
   CASE kind WHEN 'extension' THEN 'Extend to ' || years || 'yr (+' || (years - term) || 'yr)' WHEN 'longer' THEN CAST(pct AS INT) || '% (If ' || years || 'yr commit)'
     ELSE CASE WHEN pct = 0 THEN 'Baseline (No Discount)' WHEN pct = top THEN CAST(pct AS INT) || '% Discount (Max for ' || term || 'yr)' ELSE CAST(pct AS INT) || '% Discount' END END AS scenario_name,
-  CASE kind WHEN 'extension' THEN 'Extend contract by ' || (years - term) || ' year(s) to ' || CAST(start_date + to_years(years) AS DATE) || ', same $' || format('{:,.0f}', CAST(value AS DOUBLE)) || ' commitment, ' || CAST(pct AS INT) || '% discount'
-    WHEN 'longer' THEN 'Potential discount if contract extended to ' || years || ' years (+' || CAST(pct - top AS INT) || '% vs current)'
-    ELSE CASE WHEN pct = 0 THEN 'Current consumption without any discount'
-      WHEN pct = top THEN 'Maximum discount available for ' || term || '-year commitment at $' || format('{:,.0f}', CAST(value AS DOUBLE))
-      ELSE 'What-if scenario with ' || CAST(pct AS INT) || '% discount applied' END END AS description,
+  CASE kind WHEN 'extension' THEN 'Runs ' || (years - term) || ' more years, until ' || CAST(start_date + to_years(years) AS DATE) || ', on the same $' || format('{:,.0f}', CAST(value AS DOUBLE)) || ' at ' || CAST(pct AS INT) || '% off'
+    WHEN 'longer' THEN 'Rate open to a term of ' || years || ' years (' || CAST(pct - top AS INT) || ' points above the present one)'
+    ELSE CASE WHEN pct = 0 THEN 'Pays list price for the usage so far'
+      WHEN pct = top THEN 'Best rate of the present term: ' || term || ' years on $' || format('{:,.0f}', CAST(value AS DOUBLE))
+      ELSE 'Same term at ' || CAST(pct AS INT) || '% off' END END AS description,
   pct AS discount_pct, value AS adjusted_total_value, CASE WHEN kind = 'extension' THEN start_date END AS adjusted_start_date,
   CASE WHEN kind = 'extension' THEN CAST(start_date + to_years(years) AS DATE) END AS adjusted_end_date, kind = 'regular' AND pct = 0 AS is_baseline,
   kind <> 'regular' OR pct = top AS is_max_for_duration, term AS contract_duration_years, years AS potential_duration_years, end_date
@@ -56,6 +56,10 @@ FROM (SELECT s.scenario_id, s.contract_id, s.adjusted_end_date, CAST(s.adjusted_
         FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY contract_id ORDER BY usage_date DESC) AS n FROM burndown) GROUP BY contract_id) t ON t.contract_id = s.contract_id
       WHERE s.kind = 'extension')
 WHERE last_date + CAST(i AS INT) <= adjusted_end_date AND h * k + (i - 1) * m * k < v""")
+extend("all_sb", "sb ext", """
+SELECT scenario_id, contract_id, usage_date, CAST(simulated_daily_cost AS DOUBLE) AS simulated_daily_cost, CAST(simulated_cumulative AS DOUBLE) AS simulated_cumulative,
+  CAST(scenario_commitment AS DOUBLE) AS scenario_commitment, CAST(cumulative_savings AS DOUBLE) AS cumulative_savings FROM sb
+UNION ALL SELECT scenario_id, contract_id, usage_date, simulated_daily_cost, simulated_cumulative, scenario_commitment, cumulative_savings FROM ext""")
 extend("sf", "scenarios forecast", f"""
 SELECT *, MIN(CASE WHEN cu >= v THEN forecast_date END) OVER (PARTITION BY scenario_id) AS p10, MIN(CASE WHEN predicted_cumulative >= v THEN forecast_date END) OVER (PARTITION BY scenario_id) AS p50,
   MIN(CASE WHEN cl >= v THEN forecast_date END) OVER (PARTITION BY scenario_id) AS p90
@@ -191,9 +195,9 @@ QUERIES = [
     Query("scenario_comparison", lambda s: w.scenario_comparison(s.scenarios, _chosen(s)), sql(
         "chosen", f"""SELECT scenario_id, contract_id, scenario_name, kind = 'regular' AND discount_pct = 0 AS is_baseline, FALSE AS is_recommended, {num('discount_pct base_commitment actual_cumulative simulated_cumulative cumulative_savings utilization_pct')},
  {rn('base_commitment')} AS scenario_commitment, {rn('discount_pct')} AS pct_savings, baseline_exhaustion_date, scenario_exhaustion_date, days_extended, is_sweet_spot, exhaustion_status, break_even_status FROM chosen""")),
-    Query("scenario_burndown_chart", lambda s: w.scenario_burndown_chart(s.scenarios, s.scenario_burndown.filter("NOT is_projected")), sql(
-        "sb scenarios", f"""SELECT b.contract_id, b.usage_date, s.scenario_name, CAST(s.discount_pct AS DOUBLE) AS discount_pct, {rn('b.simulated_cumulative', 5)} AS cumulative_cost, CAST(b.scenario_commitment AS DOUBLE) AS commitment,
- {rn('b.cumulative_savings', 5)} AS cumulative_savings, s.is_baseline FROM sb b JOIN scenarios s ON s.scenario_id = b.scenario_id"""), 5),
+    Query("scenario_burndown_chart", lambda s: w.scenario_burndown_chart(s.scenarios, s.scenario_burndown), sql(
+        "all_sb scenarios", f"""SELECT b.contract_id, b.usage_date, s.scenario_name, CAST(s.discount_pct AS DOUBLE) AS discount_pct, {rn('b.simulated_cumulative', 7)} AS cumulative_cost, CAST(b.scenario_commitment AS DOUBLE) AS commitment,
+ {rn('b.cumulative_savings', 7)} AS cumulative_savings, s.is_baseline FROM all_sb b JOIN scenarios s ON s.scenario_id = b.scenario_id"""), 7),
     Query("sweet_spot_recommendation", lambda s: w.sweet_spot_recommendation(_chosen(s)), sql(
         "chosen", f"SELECT contract_id, scenario_id, scenario_name, days_extended, {num('discount_pct cumulative_savings utilization_pct')}, {rn('discount_pct')} AS pct_savings FROM chosen WHERE is_sweet_spot")),
     Query("scenario_report", lambda s: w.scenario_report(s.scenarios, _chosen(s)), sql(

@@ -1,14 +1,15 @@
-"""Session defaults. A cluster sets its own values; these only fill the gaps."""
+"""A local session for tests, and the folder in which stage results are kept."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "meterline", cpus: str = "*", partitions: int = 8) -> SparkSession:
-    """A single-JVM session for tests and benchmarks."""
+    """A single-JVM session for tests and benchmarks, with master, memory and partitions fixed. A cluster makes its own."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
@@ -29,14 +30,17 @@ def local_session(name: str = "meterline", cpus: str = "*", partitions: int = 8)
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    A scratch folder is made only where the setting is missing (local tests)
-    and is then remembered in the session.
+    A scratch folder is made only where the setting is missing in a single-JVM
+    session, and is then remembered in it. A cluster without the setting is an error:
+    each executor would write to its own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = spark.conf.get("meterline.scratch.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="meterline-")
         spark.conf.set("meterline.scratch.dir", folder)

@@ -55,7 +55,7 @@ def test_projection_is_capped_before_the_cast(spark):
 
 def test_whole_days_keeps_null_and_truncates(spark):
     frame = spark.createDataFrame([(None,), (2.9,), (-2.9,), (1e30,)], "x double")
-    assert [r.y for r in frame.select(whole_days(F.col("x")).alias("y")).collect()] == [None, 2, -2, 200000]
+    assert [r.y for r in frame.select(whole_days(F.col("x")).alias("y")).collect()] == [None, 2, -2, None]
 
 
 def test_linear_exhaustion_needs_two_days(spark):
