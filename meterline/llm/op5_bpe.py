@@ -54,51 +54,51 @@ class Merger:
         self.bytes_of = {i: bytes(letters[c] for c in piece) for piece, i in vocab.items() if all(c in letters for c in piece)}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.single = {b: vocab[c] for c, b in letters.items() if c in vocab}
-        self.merged = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.rank = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one word: the pair of least rank is merged everywhere, leftmost first, until none is left."""
-        ids = [self.single[b] for b in word]
-        get = self.merged.get
+        """Ids of one word: the leftmost pair of least rank is merged until no pair is in the vocabulary."""
+        ids = list(map(self.single.__getitem__, word))
         if len(ids) > 200:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min((got for got in map(get, zip(ids, ids[1:])) if got), default=None)
-            if best is None:
+        get, none = self.rank.get, len(self.made)
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(best)
+            ids[i : i + 2] = [new] = [self.made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | new, none)
+            if i < len(ranks):
+                ranks[i] = get(new << 20 | ids[i + 1], none)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap over a linked list, so that long runs take n log n steps."""
-        n = len(ids)
+        n, rank = len(ids), self.rank.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*got, i, ids[i], ids[i + 1]) for i in range(n - 1) if (got := self.merged.get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], alive[j], after[i] = new, False, after[j]
+            ids[i], alive[j], after[i] = self.made[r], False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left in (before[i], i):
                 right = after[left] if left >= 0 else -1
-                if right >= 0 and (got := self.merged.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (got[0], left, got[1], ids[left], ids[right]))
+                if right >= 0 and (r := rank(ids[left] << 20 | ids[right])) is not None:
+                    heapq.heappush(heap, (r, left, ids[left], ids[right]))
         return tuple(x for x, live in zip(ids, alive) if live)
 
 
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, vocab: str | None = None, lexicon: str | None = None
         for batch in pieces(batches, "text"):
             ids = own.encode(batch["text"].to_pylist())
             bounds = np.cumsum([0, *map(len, ids)])
-            flat = np.fromiter((i for doc in ids for i in doc), np.int32, bounds[-1])
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, bounds[-1])
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat)), pa.array(list(map(own.decode, ids)), pa.large_string())],
                 ["doc_id", "ids", "decoded"],
