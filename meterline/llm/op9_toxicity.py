@@ -93,14 +93,15 @@ class Model:
 Change = tuple[list[int], list[int], float]  # features that come, features that go, share of labelled texts it can happen to
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, changes: list[Change], width: int, *, fairness: float = 5.0, ridge: float = 2e-3, steps: int = 500) -> tuple[np.ndarray, float]:
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, changes: list[Change], width: int, *, fairness: float = 5.0, ridge: float = 5e-4, steps: int = 800, positive: float = 0.2) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic loss plus ridge plus ``fairness`` times the squared score changes.
 
-    ``rows`` and ``cols``: the features of each text, paired. Accelerated gradient steps on
-    data of bounded size.
+    ``rows`` and ``cols``: the features of each text, paired. ``positive`` is the weight of
+    all toxic texts together, near their share in a corpus, so that 0.5 is a cautious limit.
+    Accelerated gradient steps on data of bounded size.
     """
     n = len(y)
-    balance = np.where(y == 1, n / (2 * max(1, y.sum())), n / (2 * max(1, n - y.sum()))) / n
+    balance = np.where(y == 1, positive / max(1, y.sum()), (1 - positive) / max(1, n - y.sum()))
     at = np.array([f for come, go, _ in changes for f in (*come, *go)], int)
     sign = np.array([s for come, go, _ in changes for s in (*[1.0] * len(come), *[-1.0] * len(go))])
     which = np.repeat(np.arange(len(changes)), [len(come) + len(go) for come, go, _ in changes])
