@@ -1,15 +1,20 @@
 """Near-duplicate documents by MinHash.
 
-1. Every text becomes its set of word shingles, the minima of many universal hashes over
-   it, and one key for each band of minima. Equal sets are one class from here on.
+1. Every text becomes its set of word shingles, one key for each band of many universal
+   hash minima over it, and a parity signature: the shingles counted modulo 2 in a bitmap
+   that grows with the set. Equal sets are one class from here on.
 2. A class meets the smallest class of the bands it shares (one pair a class). Signatures,
    then full sets confirm the pair. Alternating large-star and small-star joins the links.
-3. Bands whose members are still in several components are finished exactly: members outside
-   the largest component of the band are compared with all members of other components.
-   A pair sharing a band is thus either in one component already or has been compared,
-   so no link between candidates is lost, and copies are never expanded into all pairs.
-
-With 32 bands of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8.
+3. Where a band still holds several components, a few members of each are tried against
+   members of its largest one, so that the exact finish has few links left to find.
+4. What is left is finished exactly: members outside the largest component of a band are
+   compared with all members of other components. A pair sharing a band is thus either in
+   one component already or has been compared, so no link between candidates is lost,
+   and copies are never expanded into all pairs.
+
+Two parity signatures differ in no more bits than the sets differ in shingles, so the
+signature check never drops a similar pair. With 32 bands of 4 rows a pair at similarity
+0.8 shares no band with probability 5e-8.
 """
 
 from __future__ import annotations
@@ -21,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm.tables import BROADCAST_BYTES, Run, small, table
+from meterline.llm.tables import Run, small, table
 from meterline.llm.text_arrays import Words, mix, pieces, windows, words
 
 BANDS, ROWS, SHINGLE, PERCENT = 32, 4, 4, 80
+#: So many members of each component of a band are tried against its largest one before the exact finish.
+TRIES = 4
 _U = np.uint64
 
 
@@ -52,8 +59,19 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
+def parity(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each set a bitmap of 4 to 8 bits a shingle, at least 64: which places an odd number of shingles falls on."""
+    size = np.diff(bounds)
+    bits = np.where(size > 0, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(4 * size, 1))).astype(int)), 0)
+    ends = np.cumsum(bits)
+    place = np.repeat(ends - bits, size) + (values & np.repeat(bits - 1, size).astype(_U)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(ends[-1]) if len(ends) else 0) & 1
+    flat = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends // 64]).astype(np.int32)), pa.array(flat))
+
+
 def sketch(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set (low, high), bands and minima; null digest, bands and minima for an empty set."""
+    """doc_id, n_shingles, a 128-bit digest of the set (low, high), bands, parity; null digest and no bands for an empty set."""
     rng = np.random.default_rng(8)
     times = rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     plus = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
@@ -63,36 +81,26 @@ def sketch(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int = RO
             values, bounds = shingle_sets(words(batch["text"]), n)
             some = np.diff(bounds) > 0
             at = bounds[:-1][some]
-            minima = np.empty((bands * rows, len(at)), np.uint32)
             keys = np.empty((len(at), bands), _U)
-            low = high = np.empty(0, _U)
+            low, high = np.zeros(len(some), _U), np.zeros(len(some), _U)
             if len(at):
                 x = (values >> _U(32)).astype(np.uint32)
-                for k in range(bands * rows):
-                    np.minimum.reduceat(x * times[k] + plus[k], at, out=minima[k])
-                low, high = np.add.reduceat(mix(values), at), np.add.reduceat(mix(values ^ _U(0xA5A5A5A5A5A5A5A5)), at)
-                wide = minima.astype(_U).reshape(bands, rows, -1)
                 for b in range(bands):
                     key = np.full(len(at), b + 1, _U)
-                    for r in range(rows):
-                        key = mix(key * _U(0x9E3779B97F4A7C15) + wide[b, r])
+                    for k in range(b * rows, b * rows + rows):
+                        key = mix(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(x * times[k] + plus[k], at))
                     keys[:, b] = key
-            full = np.cumsum(np.concatenate([[0], some]))
-
-            def spread(flat, width, kind):
-                return pa.ListArray.from_arrays(pa.array(full * width, pa.int32()), pa.array(flat.reshape(-1).view(kind)), mask=pa.array(~some))
-
-            place = np.where(some, full[:-1], 0)
+                low[some], high[some] = np.add.reduceat(mix(values), at), np.add.reduceat(mix(values ^ _U(0xA5A5A5A5A5A5A5A5)), at)
+            full = np.cumsum(np.concatenate([[0], some])) * bands
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["doc_id"], pa.array(np.diff(bounds).astype(np.int64)),
-                    *(pa.array((x.view(np.int64)[place] if len(at) else np.zeros(len(some), np.int64)), mask=~some) for x in (low, high)),
-                    spread(keys, bands, np.int64), spread(np.ascontiguousarray(minima.T), bands * rows, np.int32),
+                    batch["doc_id"], pa.array(np.diff(bounds).astype(np.int64)), *(pa.array(d.view(np.int64), mask=~some) for d in (low, high)),
+                    pa.ListArray.from_arrays(pa.array(full.astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64))), parity(values, bounds),
                 ],
-                ["doc_id", "n_shingles", "low", "high", "bands", "minima"],
+                ["doc_id", "n_shingles", "low", "high", "bands", "parity"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, low long, high long, bands array<long>, minima array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, low long, high long, bands array<long>, parity array<long>")
 
 
 def full_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -114,9 +122,17 @@ def similar(a: Column, b: Column, percent: int = PERCENT) -> Column:
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
-def agreeing(a: Column, b: Column, percent: int = PERCENT) -> Column:
-    """Signatures agree well enough: 8 deviations below the expected share, so no similar pair fails."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= F.size(a) * F.lit((percent - 30) / 100)
+def may_be_similar(a: str, b: str, percent: int = PERCENT) -> Column:
+    """False only for pairs that are not similar, by the sizes and parity signatures of ``a`` and ``b``."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+
+    def folded(mine: str, other: str) -> Column:
+        own, half = F.col(f"{mine}.parity"), F.size(F.col(f"{other}.parity"))
+        fold = F.zip_with(F.slice(own, 1, half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) > half, fold).otherwise(own)
+
+    apart = F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def components(run: Run, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -151,7 +167,7 @@ def _confirmed(run: Run, docs: DataFrame, pairs: DataFrame, n: int, percent: int
     ids = run.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     sets = full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(small(ids, 16), "doc_id"), n)
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").where(similar(F.col("set_a"), F.col("set_b"), percent)).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(similar(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -167,31 +183,46 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     classes = run.keep(sketches.where("low IS NOT NULL AND doc_id IS NOT NULL").groupBy("low", "high").agg(F.min("doc_id").alias("rep")))
     heads = sketches.join(classes, ["low", "high"]).where("doc_id = rep").dropDuplicates(["rep"])
 
+    signed = heads.select("rep", F.col("n_shingles").alias("n"), "parity")
     banded = heads.select("rep", F.explode("bands").alias("band"))
     shared = run.keep(banded.groupBy("band").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n"))
     met = run.keep(banded.join(shared, "band"))
-    first = run.keep(met.groupBy(F.col("rep").alias("a")).agg(F.min("center").alias("b")).where("a != b"))
-    minima = heads.select("rep", "minima")
+
+    def promising(pairs: DataFrame) -> DataFrame:
+        x, y = signed.alias("x"), signed.alias("y")
+        both = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
+        return run.keep(both.where(may_be_similar("x", "y", percent)).select("a", "b"))
 
     # The pairs of the first round form stars: whole sets travel to the center of the star, once each.
+    first = promising(met.groupBy(F.col("rep").alias("a")).agg(F.min("center").alias("b")).where("a != b"))
     routes = run.keep(first.select(F.col("a").alias("doc_id"), "b").unionByName(first.select(F.col("b").alias("doc_id"), "b").distinct()))
     sets = full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(small(routes, 24), "doc_id"), n)
     spokes = sets.where("doc_id != b").select(F.col("doc_id").alias("a"), "b", "shingles")
     hubs = sets.where("doc_id = b").select("b", F.col("shingles").alias("hub")).dropDuplicates(["b"])
-    links = run.keep(spokes.join(hubs, "b").where(similar(F.col("shingles"), F.col("hub"), percent)).select("a", "b").distinct())
-    labels = components(run, links)
+    labels = components(run, run.keep(spokes.join(hubs, "b").where(similar(F.col("shingles"), F.col("hub"), percent)).select("a", "b")))
+
+    def joined_up(more: DataFrame) -> DataFrame:
+        return components(run, labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    def placed() -> DataFrame:
+        return met.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("part"))
+
+    seeds = range(TRIES)
+    parts = placed().groupBy("band", "part").agg(F.count("*").alias("n"), F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in seeds]).alias("who"))
+    main = parts.groupBy("band").agg(F.max(F.struct("n", "part", "who")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    tries = parts.join(main, "band").where("part != main.part").select(F.explode(F.arrays_zip("who", F.col("main.who").alias("other"))).alias("t"))
+    tries = tries.select(F.greatest("t.who", "t.other").alias("a"), F.least("t.who", "t.other").alias("b")).distinct()
+    labels = joined_up(run.keep(_confirmed(run, docs, promising(tries), n, percent)))
 
-    # What the stars did not settle.
-    placed = met.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("part"))
-    main = placed.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("part", "n").alias("main"), F.count("*").alias("parts"))
-    open_bands = run.keep(placed.join(main.where("parts > 1"), "band").join(minima, "rep"))
+    # What the tries did not settle.
+    members = placed()
+    main = members.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("part", "n").alias("main"), F.count("*").alias("parts"))
+    open_bands = run.keep(members.join(main.where("parts > 1"), "band").join(signed, "rep"))
     x, y = open_bands.where("part != main").alias("x"), open_bands.alias("y")
     ahead = (F.col("y.part") == F.col("y.main")) | (F.col("x.rep") > F.col("y.rep"))
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & ahead & agreeing(F.col("x.minima"), F.col("y.minima"), percent))
+    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & ahead & may_be_similar("x", "y", percent))
     pairs = run.keep(cross.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct())
-    more = _confirmed(run, docs, pairs, n, percent)
-    links = run.keep(links.unionByName(more))
-    labels = components(run, links).withColumnRenamed("node", "rep")
+    labels = joined_up(run.keep(_confirmed(run, docs, pairs, n, percent))).withColumnRenamed("node", "rep")
 
     named = classes.join(labels, "rep", "left").select("low", "high", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "low", "high").join(named, ["low", "high"], "left")
@@ -200,9 +231,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group; rows that repeat a kept doc_id with the same text stay as they are."""
-    kept = Run(docs.sparkSession, "minhash-kept").keep(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
+    kept = Run(docs.sparkSession, "minhash-kept").keep(near_duplicates(docs, n, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
     return docs.join(small(kept, 16), docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
 
 
