@@ -44,7 +44,7 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("buckets_of", [200, 28 << 20])
+@pytest.mark.parametrize("buckets_of", [200, 12 << 20])
 def test_repeats_match_brute_force(spark, monkeypatch, buckets_of):
     monkeypatch.setattr(op1_substrings, "BUCKET_BYTES", buckets_of)
     rng = random.Random(7)
