@@ -32,8 +32,9 @@ BLOCK, REPEAT = 10, 20
 SEGMENT = 16
 PART_BYTES = 4 << 20
 #: Text for each bucket of fingerprints; the number of buckets follows the input.
-BUCKET_BYTES = 28 << 20
+BUCKET_BYTES = 12 << 20
 _U = np.uint64
+_HOMED = "home int, owners binary, blocks binary, masks binary"
 _PACKED = "bucket int, kind int, owners binary, counts binary, prints binary, places binary"
 
 
@@ -124,9 +125,26 @@ def _settled(group: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     return [(np.frombuffer(o, "<i8"), np.frombuffer(b, "<i8"), np.frombuffer(m, "<u8")) for o, m, b in zip(*(group[x].to_pylist() for x in ("owners", "prints", "places")))]
 
 
-def _mark_table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
-    docs, blocks, masks = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
-    return pa.table({"doc_id": pa.array(docs.astype(np.int64)), "block": pa.array(blocks.astype(np.int64)), "mask": pa.array(np.ascontiguousarray(masks).view(np.int64))})
+def _united(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All marks, one mask for each document and block, in their order."""
+    docs, blocks, masks = (np.concatenate([np.empty(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate(("<i8", "<i8", "<u8")))
+    order = np.lexsort((blocks, docs))
+    docs, blocks, masks = docs[order], blocks[order], masks[order]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (blocks[1:] != blocks[:-1])
+    starts = np.flatnonzero(new)
+    return docs[starts], blocks[starts], np.bitwise_or.reduceat(masks, starts) if len(starts) else masks
+
+
+def _sent_home(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], homes: int) -> pa.Table:
+    """Marks in packed arrays, one row for each home of documents: few rows, however many documents."""
+    docs, blocks, masks = _united(parts)
+    home = (mix(docs.view(_U)) % _U(homes)).astype(int)
+    order = np.argsort(home, kind="stable")
+    edges = np.searchsorted(home[order], np.arange(homes + 1))
+    rows = [(h, *(x[order[edges[h] : edges[h + 1]]].tobytes() for x in (docs, blocks, masks))) for h in range(homes) if edges[h] < edges[h + 1]]
+    columns = list(zip(*rows)) if rows else [()] * 4
+    return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["home", "owners", "blocks", "masks"])
 
 
 def _split(group: pa.Table) -> tuple[pa.Table, pa.Table]:
@@ -134,10 +152,19 @@ def _split(group: pa.Table) -> tuple[pa.Table, pa.Table]:
     return group.take(pa.array(np.flatnonzero(kinds == 0))), group.take(pa.array(np.flatnonzero(kinds == 1)))
 
 
-def _gathered(run: Run, marks: DataFrame) -> DataFrame:
+def _gathered(run: Run, packed: DataFrame) -> DataFrame:
     """doc_id and its marks as array<struct<block, mask>>, stored."""
-    one = marks.groupBy("doc_id", "block").agg(F.bit_or("mask").alias("mask"))
-    return run.keep(one.groupBy("doc_id").agg(F.collect_list(F.struct("block", "mask")).alias("marks")))
+
+    def unpack(group: pa.Table) -> pa.Table:
+        parts = [(np.frombuffer(o, "<i8"), np.frombuffer(b, "<i8"), np.frombuffer(m, "<u8")) for o, b, m in zip(*(group[x].to_pylist() for x in ("owners", "blocks", "masks")))]
+        docs, blocks, masks = _united(parts)
+        new = np.ones(len(docs), bool)
+        new[1:] = docs[1:] != docs[:-1]
+        starts = np.flatnonzero(new)
+        lists = pa.StructArray.from_arrays([pa.array(blocks), pa.array(masks.view("<i8"))], ["block", "mask"])
+        return pa.table({"doc_id": pa.array(docs[starts]), "marks": pa.ListArray.from_arrays(pa.array(np.append(starts, len(docs)).astype(np.int32)), lists)})
+
+    return run.keep(packed.groupBy("home").applyInArrow(unpack, "doc_id long, marks array<struct<block: long, mask: long>>"))
 
 
 def _near(marks: DataFrame) -> DataFrame:
@@ -147,7 +174,7 @@ def _near(marks: DataFrame) -> DataFrame:
 
 
 def anchor_hits(docs: DataFrame, buckets: int, block: int = BLOCK, repeat: int = REPEAT) -> DataFrame:
-    """doc_id, block, mask: segments around windows of ``block`` words that equal a block elsewhere, or in the same part of the input."""
+    """Packed marks of segments around windows of ``block`` words that equal a block elsewhere, or in the same part of the input."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PART_BYTES):
@@ -185,13 +212,13 @@ def anchor_hits(docs: DataFrame, buckets: int, block: int = BLOCK, repeat: int =
         ends = np.append(starts, len(order))[1:]
         good = (ends - starts > 1) & ((ranked[ends - 1] & 1) == 1) if len(starts) else np.empty(0, bool)
         hit = order[good[np.cumsum(new) - 1]] if len(starts) else order
-        return _mark_table([*_settled(local), _marks(entries.owners[hit], entries.places[hit])])
+        return _sent_home([*_settled(local), _marks(entries.owners[hit], entries.places[hit])], buckets)
 
-    return docs.mapInArrow(probe, _PACKED).groupBy("bucket").applyInArrow(meet, "doc_id long, block long, mask long")
+    return docs.mapInArrow(probe, _PACKED).groupBy("bucket").applyInArrow(meet, _HOMED)
 
 
 def repeated_windows(docs: DataFrame, buckets: int, repeat: int = REPEAT, block: int = BLOCK) -> DataFrame:
-    """doc_id, block, mask: a bit for each window of ``repeat`` words that also starts earlier. ``docs`` has the anchor hits as ``marks``."""
+    """Packed marks, a bit for each window of ``repeat`` words that also starts earlier. ``docs`` has the anchor hits as ``marks``."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PART_BYTES):
@@ -228,9 +255,9 @@ def repeated_windows(docs: DataFrame, buckets: int, repeat: int = REPEAT, block:
         new[1:] = ranked[1:] != ranked[:-1]
         earliest = order[new][np.cumsum(new) - 1] if len(order) else order
         late = order[(entries.owners[order] != entries.owners[earliest]) | (entries.places[order] != entries.places[earliest])]
-        return _mark_table([*_settled(local), _marks(entries.owners[late], entries.places[late])])
+        return _sent_home([*_settled(local), _marks(entries.owners[late], entries.places[late])], buckets)
 
-    return docs.mapInArrow(extend, _PACKED).groupBy("bucket").applyInArrow(meet, "doc_id long, block long, mask long")
+    return docs.mapInArrow(extend, _PACKED).groupBy("bucket").applyInArrow(meet, _HOMED)
 
 
 def without_repeats(docs: DataFrame, repeat: int = REPEAT) -> DataFrame:
