@@ -31,6 +31,7 @@ from meterline.llm.text_arrays import pieces
 
 END_ID = 2
 BLOCK, CHUNK_IDS = 16384, 1 << 18
+_MARKS = b".,;:!?%$&*#()[]|"
 #: Words a worker remembers; it forgets all of them beyond that.
 REMEMBERED = 300_000
 _CHUNKS = "shard int, chunk int, n_ids long, doc_ids array<long>, lengths array<int>, plane_bytes array<int>, planes binary"
@@ -40,7 +41,8 @@ class WordCoder:
     """The library's ids of a text, word by word.
 
     The vocabulary drops white space and never looks across it, so a text's ids are those
-    of its words in turn. Each worker asks the library once for a word it remembers.
+    of its words in turn. Each worker asks the library once for a word it remembers. The
+    special tokens hold no white space either.
     """
 
     def __init__(self, path: str):
@@ -50,18 +52,53 @@ class WordCoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def ask(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of each word on its own."""
+        return (np.array(c.ids, "<u4").tobytes() for c in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False))
+
+    def ask_letters(self, stems: list[bytes]) -> Iterator[bytes]:
+        """The same for words of letters only, as one text: each ends with a piece that ends a word."""
+        ids = np.array(self.library.encode(b" ".join(stems).decode(), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(stems):  # a letter that lower-cases to more than letters
+            return self.ask(stems)
+        raw, edges = ids.tobytes(), [0, *(4 * stops).tolist()]
+        return (raw[a:b] for a, b in zip(edges, edges[1:]))
+
+    def learn(self, fresh: list[bytes]) -> None:
+        """Words of letters, with marks after them or not, are looked up by their letters; the library splits there, too."""
+        known, split, odd, stems, marks = self.known, [], [], set(), set()
+        for w in fresh:
+            stem = w.rstrip(_MARKS)
+            if stem.decode().isalpha():
+                mark = w[len(stem) :]
+                split.append((w, stem, mark))
+                stems.add(stem)
+                marks.add(mark)
+            else:
+                odd.append(w)
+        new = [x for x in stems if x not in known]
+        for at in range(0, len(new), 2000):
+            known.update(zip(new[at : at + 2000], self.ask_letters(new[at : at + 2000])))
+        odd += [x for x in marks if x not in known]
+        for at in range(0, len(odd), 2000):
+            known.update(zip(odd[at : at + 2000], self.ask(odd[at : at + 2000])))
+        known.update((w, known[stem] + known[mark]) for w, stem, mark in split if mark)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
+        # A to Z are lower-cased by the vocabulary; only the names of special tokens depend on them.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         need = set().union(*split)
         if not need <= self.known.keys():
             if len(self.known) + len(need) > REMEMBERED:
                 self.known.clear()
-            fresh = [w for w in need if w not in self.known]
-            coded = self.library.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(fresh, coded))
+            self.learn([w for w in need if w not in self.known])
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
