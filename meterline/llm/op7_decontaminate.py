@@ -22,71 +22,108 @@ UNITS = "%|km|m|cm|mm|kg|g|mg|t|l|ml|s|min|h|hours?|minutes?|seconds?|days?|week
 
 
 def plain(text: Column) -> Column:
-    """The text without the placeholder sign, so that templates and plain tokens stay aligned; null is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), "§", " ")
+    """The text with single spaces and without the placeholder sign, so that templates and plain tokens stay aligned; null is empty."""
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "§", " "), r"[\s\p{Z}]+", " ")
 
 
 def template(text: Column) -> Column:
     """Tokens with numbers as §d, units as §u and names as §n; one for one with ``tokens``."""
     named = F.regexp_replace(text, r"(?<=[\p{L}\p{N}],? )\p{Lu}[\p{L}\p{M}]*", "§n")
     counted = F.regexp_replace(named, r"\p{N}+", "§d")
-    return tokens(F.lower(F.regexp_replace(counted, rf"(?<=§d ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", "§u")))
+    return tokens(F.regexp_replace(counted, rf"(?<=§d ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", "§u"))
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"[^\p{L}\p{M}\p{N}§%]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}§%]+"), lambda t: t != "")
 
 
-def window_hashes(parts: Column, n: int) -> Column:
-    """A hash for each run of n tokens; none where there are fewer."""
-    starts = F.when(F.size(parts) >= n, F.sequence(F.lit(1), F.size(parts) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(parts, i, n)))
+def parsed(texts: DataFrame, *keys: str) -> DataFrame:
+    """keys, raw (plain tokens), parts (template tokens), starts (the place in raw of each part)."""
+    both = texts.select(*keys, tokens(F.col("text")).alias("raw"), template(F.col("text")).alias("kinds"))
+    places = F.filter(F.transform("kinds", lambda t, i: F.struct(t.alias("kind"), i.alias("at"))), lambda s: s["kind"] != "§+")
+    return both.select(*keys, "raw", places.alias("places")).select(*keys, "raw", F.col("places.kind").alias("parts"), F.col("places.at").alias("starts"))
+
+
+def steps(parts: Column, n: int) -> Column:
+    """The starts of all runs of n tokens, from 1; none where there are fewer."""
+    return F.when(F.size(parts) >= n, F.sequence(F.lit(1), F.size(parts) - n + 1)).otherwise(F.array().cast("array<int>"))
+
+
+def plain_windows(n: int) -> Column:
+    return F.transform(steps(F.col("raw"), n), lambda i: F.struct(F.lit(n).alias("kind"), (i - 1).alias("at"), F.lit(-1).alias("part"), F.xxhash64(F.slice("raw", i, n)).alias("h")))
+
+
+def template_windows(n: int) -> Column:
+    return F.transform(steps(F.col("parts"), n), lambda i: F.struct(F.lit(0).alias("kind"), F.get("starts", i - 1).alias("at"), (i - 1).alias("part"), F.xxhash64(F.slice("parts", i, n)).alias("h")))
 
 
 def item_windows(items: DataFrame, n: int) -> DataFrame:
-    """h, item_id, at, n_windows, item_parts, item_raw. Windows of mostly placeholders say too little and are left out."""
-    parts = items.where("item_id IS NOT NULL").select("item_id", plain(F.col("text")).alias("text")).select("item_id", template(F.col("text")).alias("parts"))
-    spread = parts.select("item_id", "parts", F.posexplode(window_hashes(F.col("parts"), n)).alias("at", "h"))
-    solid = spread.where(F.size(F.filter(F.slice(F.col("parts"), F.col("at") + 1, n), lambda t: ~t.startswith("§"))) * 2 >= n)
+    """item_id, n_windows, kind (0: template, otherwise the plain length), at, part, h. Windows of mostly placeholders say too little and are left out."""
+    spread = items.select("item_id", "raw", "parts", F.explode(template_windows(n)).alias("w"))
+    solid = spread.where(F.size(F.filter(F.slice("parts", F.col("w.part") + 1, n), lambda t: ~t.startswith("§"))) * 2 >= n)
+    same = F.struct(F.lit(n).alias("kind"), F.col("w.at").alias("at"), F.lit(-1).alias("part"), F.xxhash64(F.slice("raw", F.col("w.at") + 1, n)).alias("h"))
     count = solid.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return solid.select("item_id", "at", "h").join(count, "item_id")
+    return solid.select("item_id", F.explode(F.array("w", same)).alias("w")).join(count, "item_id").select("item_id", "n_windows", "w.*")
+
+
+def slot_pairs(n: int) -> Column:
+    """kind, own, theirs: the values of the item and of the document in the windows of ``hs``; plain windows hold the item's own."""
+
+    def value(raw: str, starts: str, j: Column) -> Column:
+        stop = F.coalesce(F.get(starts, j + 1), F.size(raw))
+        return F.regexp_replace(F.concat_ws(" ", F.slice(raw, F.get(starts, j) + 1, stop - F.get(starts, j))), r"(?<=\p{N}) (?=\p{N}{3}(?!\p{N}))", "")
+
+    def pair(j: Column, theirs: Column) -> Column:
+        return F.struct(F.get("parts", j).alias("kind"), value("raw", "starts", j).alias("own"), theirs.alias("theirs"))
+
+    def slot(j: Column) -> Column:
+        return F.get("parts", j).startswith("§")
+
+    def pairs(h: Column) -> Column:
+        inside = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda j: slot(j) & (F.get("starts", j) >= h["at"]) & (F.coalesce(F.get("starts", j + 1), F.size("raw")) <= h["at"] + n))
+        held = F.filter(F.sequence(h["part"], h["part"] + n - 1), slot)
+        changed = F.transform(held, lambda j: pair(j, value("doc_raw", "doc_starts", h["doc_part"] + j - h["part"])))
+        return F.when(h["kind"] == 0, changed).otherwise(F.transform(inside, lambda j: pair(j, value("raw", "starts", j))))
+
+    return F.array_distinct(F.flatten(F.transform("hs", pairs)))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, n: int = WINDOW, share: float = SHARE, run_length: int = RUN) -> DataFrame:
     """A row for each document and item it holds: doc_id, item_id, n_hits, coverage, n_slots, n_changed.
 
     ``docs`` (doc_id, text), ``items`` (item_id, text), with any other columns. n_hits: the
-    item's windows found on its best diagonal; coverage: their share; n_slots: values in the
-    matched part; n_changed: how many differ. Null or short texts hold nothing, items of
+    item's windows found on its best diagonal, as templates or as plain tokens; coverage:
+    their share; n_slots: values in the matched windows; n_changed: how many differ. Case and
+    white space do not count. Null or short texts hold nothing, items of
     fewer than n tokens are too short to tell and never reported. Null ids take no part;
     repeated rows and items do not add up.
     """
-    spark = docs.sparkSession
-    run = Run(spark, "leaks")
+    run = Run(docs.sparkSession, "leaks")
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"))
-    items = items.where("item_id IS NOT NULL").select("item_id", "text").dropDuplicates(["item_id"])
+    items = items.where("item_id IS NOT NULL").select("item_id", plain(F.col("text")).alias("text")).dropDuplicates(["item_id"])
+    items = run.keep(parsed(items, "item_id"))
     wanted = run.keep(item_windows(items, n))
-    seen = docs.select("doc_id", template(F.col("text")).alias("parts")).select("doc_id", F.posexplode(window_hashes(F.col("parts"), n)).alias("place", "h"))
-    hits = seen.join(small(wanted, 32), "h").select("doc_id", "item_id", "n_windows", (F.col("place") - F.col("at")).alias("shift"), "at")
-    lines = hits.groupBy("doc_id", "item_id", "n_windows", "shift").agg(F.count_distinct("at").alias("n_hits"), F.min("at").alias("first"), F.max("at").alias("last"))
-    enough = lines.where((F.col("n_hits") >= share * F.col("n_windows")) | (F.col("n_hits") >= run_length))
-    best = run.keep(enough.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_hits", (-F.col("shift")).alias("back"), "first", "last", "n_windows")).alias("b")).select("doc_id", "item_id", "b.*"))
+    seen = parsed(docs, "doc_id").select("doc_id", F.explode(F.concat(template_windows(n), plain_windows(n))).alias("w")).select("doc_id", "w.kind", F.col("w.at").alias("place"), F.col("w.part").alias("doc_part"), "w.h")
+    met = seen.join(small(wanted, 48), ["kind", "h"]).select("doc_id", "item_id", "n_windows", F.struct("kind", "at", "part", "place", "doc_part").alias("hit"))
+
+    def enough(hits: DataFrame) -> DataFrame:
+        counted = hits.withColumn("n_hits", F.size(F.array_distinct(F.col("hs.at"))))
+        return counted.where((F.col("n_hits") >= share * F.col("n_windows")) | (F.col("n_hits") >= run_length))
+
+    pair = ["doc_id", "item_id", "n_windows"]
+    near = run.keep(enough(met.groupBy(*pair).agg(F.collect_set("hit").alias("hs"))).drop("n_hits"))
+    hits = near.select(*pair, F.explode("hs").alias("hit"))
+    lines = hits.groupBy(*pair, (F.col("hit.place") - F.col("hit.at")).alias("shift")).agg(F.collect_list("hit").alias("hs"))
+    best = run.keep(enough(lines).groupBy(*pair).agg(F.max_by(F.struct("hs", "n_hits"), F.struct("n_hits", -F.col("shift"))).alias("b")).select(*pair, "b.*"))
 
-    # Slots of the matched parts; only documents with a hit are read again.
+    # Slots of the matched windows; only documents with a hit are read again.
     places = run.keep(best.select("doc_id").distinct())
-    doc_parts = docs.join(small(places, 8), "doc_id").select("doc_id", tokens(F.col("text")).alias("raw")).dropDuplicates(["doc_id"])
-    item_parts = items.select("item_id", plain(F.col("text")).alias("text")).select("item_id", tokens(F.col("text")).alias("item_raw"), template(F.col("text")).alias("item_parts"))
-    both = best.join(item_parts, "item_id").join(doc_parts, "doc_id")
-    width = F.col("last") - F.col("first") + n
-    own = F.slice("item_raw", F.col("first") + 1, width)
-    kinds = F.slice("item_parts", F.col("first") + 1, width)
-    theirs = F.slice("raw", F.col("first") - F.col("back") + 1, width)
-    slots = F.array_distinct(F.filter(F.zip_with(F.arrays_zip(kinds.alias("kind"), own.alias("own")), theirs, lambda a, b: F.struct(a["kind"].alias("kind"), a["own"].alias("own"), b.alias("theirs"))), lambda s: s["kind"].startswith("§")))
-    paired = both.select("doc_id", "item_id", "n_hits", (F.col("n_hits") / F.col("n_windows")).alias("coverage"), slots.alias("slots"))
+    doc_parts = parsed(docs.join(small(places, 8), "doc_id").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", F.col("raw").alias("doc_raw"), F.col("starts").alias("doc_starts"))
+    paired = best.join(items, "item_id").join(doc_parts, "doc_id").select(*pair, "n_hits", slot_pairs(n).alias("slots"))
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["own"])))
-    steady = F.size("slots") == F.size(values)
     changed = F.size(F.filter("slots", lambda s: ~s["own"].eqNullSafe(s["theirs"])))
-    return paired.where(steady).select("doc_id", "item_id", "n_hits", "coverage", F.size("slots").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"))
+    steady = paired.where(F.size("slots") == F.size(values))
+    return steady.select("doc_id", "item_id", F.col("n_hits").cast("long").alias("n_hits"), (F.col("n_hits") / F.col("n_windows")).alias("coverage"), F.size("slots").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

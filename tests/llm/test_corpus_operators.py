@@ -205,6 +205,14 @@ def test_plain_leaks_match_brute_force(spark):
     assert op7_decontaminate.find_leaks(frame(spark, docs), table.limit(0)).count() == 0
 
 
+def test_leaks_in_another_case_or_wrapping(spark):
+    item = "After lunch Anna and Peter walked from Bonn to Mainz with 12 friends, and Otto carried Anna's heavy bag along the Rhine."
+    docs = [(1, item.upper()), (2, item.lower()), (3, item.replace(" ", "\n")), (4, item.replace(" ", " \t\n ")), (5, item.title()), (6, item.upper().replace("ANNA", "MARIA", 1)[:60])]
+    found = leaks(spark, docs, [(10, item)])
+    assert {(d, 10) for d in range(1, 6)} == set(found)
+    assert all(r["coverage"] == 1 and r["n_changed"] == 0 for r in found.values())
+
+
 def test_leak_plan_is_native(spark):
     table = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     plan = op7_decontaminate.find_leaks(frame(spark, [(1, QUESTION)]), table)._jdf.queryExecution().toString()
