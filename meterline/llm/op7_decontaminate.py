@@ -10,7 +10,7 @@ in a re-parameterised question. DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterline.llm.tables import Run, small, table
@@ -27,10 +27,17 @@ def plain(text: Column) -> Column:
 
 
 def template(text: Column) -> Column:
-    """Tokens with numbers as §d, units as §u and names as §n; one for one with ``tokens``."""
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N}],? )\p{Lu}[\p{L}\p{M}]*", "§n")
+    """Tokens with numbers as §d, units as §u and capitalised words as §n; one for one with ``tokens``.
+
+    What goes on with a number or a run of capitalised words is §e, and a unit without a
+    space belongs to its number. The first word of a
+    sentence may be a name and is a slot too; one that is none keeps its value.
+    """
+    named = F.regexp_replace(text, r"(?<![\p{L}\p{M}\p{N}])\p{Lu}[\p{L}\p{M}]*", "§n")
     counted = F.regexp_replace(named, r"\p{N}+", "§d")
-    return tokens(F.regexp_replace(counted, rf"(?<=§d ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", "§u"))
+    typed = F.regexp_replace(counted, rf"(?<=§d ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", "§u")
+    folded = F.regexp_replace(typed, r"(?<=§n[ '’-])§n|(?<=§d[.,])§d", "§e")
+    return tokens(F.regexp_replace(folded, r"(?<=§[de])§u", ""))
 
 
 def tokens(text: Column) -> Column:
@@ -40,7 +47,7 @@ def tokens(text: Column) -> Column:
 def parsed(texts: DataFrame, *keys: str) -> DataFrame:
     """keys, raw (plain tokens), parts (template tokens), starts (the place in raw of each part)."""
     both = texts.select(*keys, tokens(F.col("text")).alias("raw"), template(F.col("text")).alias("kinds"))
-    places = F.filter(F.transform("kinds", lambda t, i: F.struct(t.alias("kind"), i.alias("at"))), lambda s: s["kind"] != "§+")
+    places = F.filter(F.transform("kinds", lambda t, i: F.struct(t.alias("kind"), i.alias("at"))), lambda s: ~s["kind"].startswith("§e"))
     return both.select(*keys, "raw", places.alias("places")).select(*keys, "raw", F.col("places.kind").alias("parts"), F.col("places.at").alias("starts"))
 
 
@@ -92,7 +99,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, n: int = WINDOW, share: flo
     """A row for each document and item it holds: doc_id, item_id, n_hits, coverage, n_slots, n_changed.
 
     ``docs`` (doc_id, text), ``items`` (item_id, text), with any other columns. n_hits: the
-    item's windows found on its best diagonal, as templates or as plain tokens; coverage:
+    item's windows found on its best diagonals, as templates or as plain tokens; coverage:
     their share; n_slots: values in the matched windows; n_changed: how many differ. Case and
     white space do not count. Null or short texts hold nothing, items of
     fewer than n tokens are too short to tell and never reported. Null ids take no part;
@@ -114,6 +121,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, n: int = WINDOW, share: flo
     near = run.keep(enough(met.groupBy(*pair).agg(F.collect_set("hit").alias("hs"))).drop("n_hits"))
     hits = near.select(*pair, F.explode("hs").alias("hit"))
     lines = hits.groupBy(*pair, (F.col("hit.place") - F.col("hit.at")).alias("shift")).agg(F.collect_list("hit").alias("hs"))
+    # Where the copy has longer or shorter values than a slot takes, diagonals next to each other are one.
+    before = F.lag("shift").over(Window.partitionBy(*pair).orderBy("shift"))
+    runs = lines.withColumn("gap", (F.col("shift") - before > n // 2).cast("int")).withColumn("run", F.sum(F.coalesce("gap", F.lit(0))).over(Window.partitionBy(*pair).orderBy("shift")))
+    merged = runs.groupBy(*pair, "run").agg(F.min("shift").alias("shift"), F.flatten(F.collect_list("hs")).alias("hs"))
+    level = hits.where("hit.kind = 0").groupBy(*pair, (F.col("hit.doc_part") - F.col("hit.part")).alias("shift")).agg(F.collect_list("hit").alias("hs"))
+    lines = lines.unionByName(level).unionByName(merged.select(*lines.columns))
     best = run.keep(enough(lines).groupBy(*pair).agg(F.max_by(F.struct("hs", "n_hits"), F.struct("n_hits", -F.col("shift"))).alias("b")).select(*pair, "b.*"))
 
     # Slots of the matched windows; only documents with a hit are read again.

@@ -213,6 +213,21 @@ def test_leaks_in_another_case_or_wrapping(spark):
     assert all(r["coverage"] == 1 and r["n_changed"] == 0 for r in found.values())
 
 
+def test_leaks_with_values_of_another_form_or_at_sentence_starts(spark):
+    items = [
+        (1, "Tom has 5 apples. Tom gives 3 to Ann. How many apples does Tom have?"),
+        (2, "Ken has 50 cards. Sam has 30 cards. How many cards do they have in total when all of them are put together?"),
+        (3, "James buys 40 pens at 15 cents, then 1200 clips at 5 cents. What did James pay in all?"),
+        (4, "On the way to school Otto meets 4 dogs and 6 cats while it rains, and later Otto counts them again. How many legs are there?"),
+    ]
+    docs = [
+        (1, items[0][1].replace("Tom", "Maria")), (2, items[1][1].replace("Ken", "Ivo").replace("Sam", "Lea")), (3, items[2][1].replace("1200", "1,350")),
+        (4, items[2][1].replace("15", "12.50")), (5, items[3][1].replace("Otto", "Mary Jane Smith")), (6, items[3][1].replace("cats", "cats always").split(" are")[0]), (7, items[3][1].replace("Otto", "Mary Jane Smith", 1)),
+    ]
+    found = leaks(spark, docs, items)
+    assert set(found) == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 4)}
+
+
 def test_leak_plan_is_native(spark):
     table = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     plan = op7_decontaminate.find_leaks(frame(spark, [(1, QUESTION)]), table)._jdf.queryExecution().toString()
