@@ -99,44 +99,46 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, n: int = WINDOW, share: flo
     """A row for each document and item it holds: doc_id, item_id, n_hits, coverage, n_slots, n_changed.
 
     ``docs`` (doc_id, text), ``items`` (item_id, text), with any other columns. n_hits: the
-    item's windows found on its best diagonals, as templates or as plain tokens; coverage:
-    their share; n_slots: values in the matched windows; n_changed: how many differ. Case and
+    item's windows found on the best diagonals with steady slots, as templates or as plain
+    tokens; coverage: their share; n_slots: values in the matched windows; n_changed: how many differ. Case and
     white space do not count. Null or short texts hold nothing, items of
     fewer than n tokens are too short to tell and never reported. Null ids take no part;
     repeated rows and items do not add up.
     """
     run = Run(docs.sparkSession, "leaks")
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"))
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text")).withColumn("copy", F.xxhash64("text"))
     items = items.where("item_id IS NOT NULL").select("item_id", plain(F.col("text")).alias("text")).dropDuplicates(["item_id"])
     items = run.keep(parsed(items, "item_id"))
     wanted = run.keep(item_windows(items, n))
-    seen = parsed(docs, "doc_id").select("doc_id", F.explode(F.concat(template_windows(n), plain_windows(n))).alias("w")).select("doc_id", "w.kind", F.col("w.at").alias("place"), F.col("w.part").alias("doc_part"), "w.h")
-    met = seen.join(small(wanted, 48), ["kind", "h"]).select("doc_id", "item_id", "n_windows", F.struct("kind", "at", "part", "place", "doc_part").alias("hit"))
+    seen = parsed(docs, "doc_id", "copy").select("doc_id", "copy", F.explode(F.concat(template_windows(n), plain_windows(n))).alias("w")).select("doc_id", "copy", "w.kind", F.col("w.at").alias("place"), F.col("w.part").alias("doc_part"), "w.h")
+    met = seen.join(small(wanted, 48), ["kind", "h"]).select("doc_id", "copy", "item_id", "n_windows", F.struct("kind", "at", "part", "place", "doc_part").alias("hit"))
 
     def enough(hits: DataFrame) -> DataFrame:
         counted = hits.withColumn("n_hits", F.size(F.array_distinct(F.col("hs.at"))))
         return counted.where((F.col("n_hits") >= share * F.col("n_windows")) | (F.col("n_hits") >= run_length))
 
-    pair = ["doc_id", "item_id", "n_windows"]
+    # Rows that share an id with different texts are told apart by their text.
+    pair = ["doc_id", "copy", "item_id", "n_windows"]
     near = run.keep(enough(met.groupBy(*pair).agg(F.collect_set("hit").alias("hs"))).drop("n_hits"))
     hits = near.select(*pair, F.explode("hs").alias("hit"))
     lines = hits.groupBy(*pair, (F.col("hit.place") - F.col("hit.at")).alias("shift")).agg(F.collect_list("hit").alias("hs"))
-    # Where the copy has longer or shorter values than a slot takes, diagonals next to each other are one.
+    # Where values or insertions move the rest of a copy, diagonals next to each other are one; a copy that is steady only in part is not.
     before = F.lag("shift").over(Window.partitionBy(*pair).orderBy("shift"))
     runs = lines.withColumn("gap", (F.col("shift") - before > n // 2).cast("int")).withColumn("run", F.sum(F.coalesce("gap", F.lit(0))).over(Window.partitionBy(*pair).orderBy("shift")))
     merged = runs.groupBy(*pair, "run").agg(F.min("shift").alias("shift"), F.flatten(F.collect_list("hs")).alias("hs"))
     level = hits.where("hit.kind = 0").groupBy(*pair, (F.col("hit.doc_part") - F.col("hit.part")).alias("shift")).agg(F.collect_list("hit").alias("hs"))
-    lines = lines.unionByName(level).unionByName(merged.select(*lines.columns))
-    best = run.keep(enough(lines).groupBy(*pair).agg(F.max_by(F.struct("hs", "n_hits"), F.struct("n_hits", -F.col("shift"))).alias("b")).select(*pair, "b.*"))
+    able = run.keep(enough(level.unionByName(merged.select(*level.columns))).select(*pair, "n_hits", F.array_sort(F.array_distinct("hs")).alias("hs")).distinct())
 
     # Slots of the matched windows; only documents with a hit are read again.
-    places = run.keep(best.select("doc_id").distinct())
-    doc_parts = parsed(docs.join(small(places, 8), "doc_id").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", F.col("raw").alias("doc_raw"), F.col("starts").alias("doc_starts"))
-    paired = best.join(items, "item_id").join(doc_parts, "doc_id").select(*pair, "n_hits", slot_pairs(n).alias("slots"))
+    places = run.keep(able.select("doc_id", "copy").distinct())
+    doc_parts = parsed(docs.join(small(places, 16), ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]), "doc_id", "copy")
+    doc_parts = doc_parts.select("doc_id", "copy", F.col("raw").alias("doc_raw"), F.col("starts").alias("doc_starts"))
+    paired = able.join(items, "item_id").join(doc_parts, ["doc_id", "copy"]).select(*pair, "n_hits", slot_pairs(n).alias("slots"))
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["own"])))
-    changed = F.size(F.filter("slots", lambda s: ~s["own"].eqNullSafe(s["theirs"])))
-    steady = paired.where(F.size("slots") == F.size(values))
-    return steady.select("doc_id", "item_id", F.col("n_hits").cast("long").alias("n_hits"), (F.col("n_hits") / F.col("n_windows")).alias("coverage"), F.size("slots").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"))
+    changed = F.size(F.filter("slots", lambda s: ~s["own"].eqNullSafe(s["theirs"]))).cast("long")
+    steady = paired.where(F.size("slots") == F.size(values)).select("doc_id", "item_id", "n_windows", F.col("n_hits").cast("long").alias("n_hits"), F.size("slots").cast("long").alias("n_slots"), changed.alias("n_changed"))
+    best = steady.groupBy("doc_id", "item_id", "n_windows").agg(F.max(F.struct("n_hits", (-F.col("n_changed")).alias("kept"), "n_slots")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_hits", (F.col("b.n_hits") / F.col("n_windows")).alias("coverage"), "b.n_slots", (-F.col("b.kept")).alias("n_changed"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -228,6 +228,15 @@ def test_leaks_with_values_of_another_form_or_at_sentence_starts(spark):
     assert set(found) == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 4)}
 
 
+def test_leaks_after_an_unsteady_copy_or_under_a_shared_id(spark):
+    mixed = QUESTION.replace("Anna", "Maria", 1).replace("12", "40", 1)
+    steady = QUESTION.replace("Anna", "Maria").replace("12", "40")
+    docs = [(1, f"{mixed} {QUESTION}"), (2, f"{mixed} {mixed} {steady}"), (3, f"{mixed} {mixed}"), (4, mixed), (4, QUESTION), (4, f"{mixed} more")]
+    found = leaks(spark, docs, [(10, QUESTION)])
+    assert set(found) == {(1, 10), (2, 10), (4, 10)}
+    assert found[1, 10]["n_changed"] == 0 == found[4, 10]["n_changed"] and found[2, 10]["n_changed"] == 3
+
+
 def test_leak_plan_is_native(spark):
     table = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     plan = op7_decontaminate.find_leaks(frame(spark, [(1, QUESTION)]), table)._jdf.queryExecution().toString()
