@@ -65,12 +65,19 @@ def template_windows(n: int) -> Column:
 
 
 def item_windows(items: DataFrame, n: int) -> DataFrame:
-    """item_id, n_windows, kind (0: template, otherwise the plain length), at, part, h. Windows of mostly placeholders say too little and are left out."""
+    """item_id, n_windows, kind (0: template, otherwise the plain length), at, part, h.
+
+    Windows of mostly placeholders say too little and are left out. An item without any
+    other has n_windows 0 and its first plain tokens, n at most: it must be met whole.
+    """
     spread = items.select("item_id", "raw", "parts", F.explode(template_windows(n)).alias("w"))
     solid = spread.where(F.size(F.filter(F.slice("parts", F.col("w.part") + 1, n), lambda t: ~t.startswith("§"))) * 2 >= n)
     same = F.struct(F.lit(n).alias("kind"), F.col("w.at").alias("at"), F.lit(-1).alias("part"), F.xxhash64(F.slice("raw", F.col("w.at") + 1, n)).alias("h"))
     count = solid.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return solid.select("item_id", F.explode(F.array("w", same)).alias("w")).join(count, "item_id").select("item_id", "n_windows", "w.*")
+    some = solid.select("item_id", F.explode(F.array("w", same)).alias("w")).join(count, "item_id").select("item_id", "n_windows", "w.*")
+    size = F.least(F.size("raw"), F.lit(n))
+    whole = items.where(F.size("raw") > 0).join(count, "item_id", "left_anti").select("item_id", F.lit(0).cast("long").alias("n_windows"), size.alias("kind"), F.lit(0).alias("at"), F.lit(-1).alias("part"), F.xxhash64(F.slice("raw", 1, size)).alias("h"))
+    return some.unionByName(whole)
 
 
 def slot_pairs(n: int) -> Column:
@@ -86,8 +93,10 @@ def slot_pairs(n: int) -> Column:
     def slot(j: Column) -> Column:
         return F.get("parts", j).startswith("§")
 
+    span = F.when(F.col("n_windows") > 0, n).otherwise(F.size("raw"))
+
     def pairs(h: Column) -> Column:
-        inside = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda j: slot(j) & (F.get("starts", j) >= h["at"]) & (F.coalesce(F.get("starts", j + 1), F.size("raw")) <= h["at"] + n))
+        inside = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda j: slot(j) & (F.get("starts", j) >= h["at"]) & (F.coalesce(F.get("starts", j + 1), F.size("raw")) <= h["at"] + span))
         held = F.filter(F.sequence(h["part"], h["part"] + n - 1), slot)
         changed = F.transform(held, lambda j: pair(j, value("doc_raw", "doc_starts", h["doc_part"] + j - h["part"])))
         return F.when(h["kind"] == 0, changed).otherwise(F.transform(inside, lambda j: pair(j, value("raw", "starts", j))))
@@ -101,16 +110,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, n: int = WINDOW, share: flo
     ``docs`` (doc_id, text), ``items`` (item_id, text), with any other columns. n_hits: the
     item's windows found on the best diagonals with steady slots, as templates or as plain
     tokens; coverage: their share; n_slots: values in the matched windows; n_changed: how many differ. Case and
-    white space do not count. Null or short texts hold nothing, items of
-    fewer than n tokens are too short to tell and never reported. Null ids take no part;
-    repeated rows and items do not add up.
+    white space do not count. An item of fewer than n tokens, or of placeholders mostly, is
+    held where all its plain tokens stand in a row, and has one window. Null or empty texts
+    hold nothing and are held by none. Null ids take no part; repeated rows and items do
+    not add up.
     """
     run = Run(docs.sparkSession, "leaks")
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text")).withColumn("copy", F.xxhash64("text"))
     items = items.where("item_id IS NOT NULL").select("item_id", plain(F.col("text")).alias("text")).dropDuplicates(["item_id"])
     items = run.keep(parsed(items, "item_id"))
     wanted = run.keep(item_windows(items, n))
-    seen = parsed(docs, "doc_id", "copy").select("doc_id", "copy", F.explode(F.concat(template_windows(n), plain_windows(n))).alias("w")).select("doc_id", "copy", "w.kind", F.col("w.at").alias("place"), F.col("w.part").alias("doc_part"), "w.h")
+    short = sorted(r["kind"] for r in wanted.where(F.col("kind").between(1, n - 1)).select("kind").distinct().collect())  # n - 1 at most
+    seen = parsed(docs, "doc_id", "copy").select("doc_id", "copy", F.explode(F.concat(template_windows(n), *map(plain_windows, [*short, n]))).alias("w")).select("doc_id", "copy", "w.kind", F.col("w.at").alias("place"), F.col("w.part").alias("doc_part"), "w.h")
     met = seen.join(small(wanted, 48), ["kind", "h"]).select("doc_id", "copy", "item_id", "n_windows", F.struct("kind", "at", "part", "place", "doc_part").alias("hit"))
 
     def enough(hits: DataFrame) -> DataFrame:
@@ -133,12 +144,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, n: int = WINDOW, share: flo
     places = run.keep(able.select("doc_id", "copy").distinct())
     doc_parts = parsed(docs.join(small(places, 16), ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]), "doc_id", "copy")
     doc_parts = doc_parts.select("doc_id", "copy", F.col("raw").alias("doc_raw"), F.col("starts").alias("doc_starts"))
-    paired = able.join(items, "item_id").join(doc_parts, ["doc_id", "copy"]).select(*pair, "n_hits", slot_pairs(n).alias("slots"))
+    paired = able.join(items, "item_id").join(doc_parts, ["doc_id", "copy"])
+    equal = F.exists("hs", lambda h: F.slice("doc_raw", h["place"] + 1, F.size("raw")) == F.col("raw"))
+    paired = paired.where((F.col("n_windows") > 0) | equal).select(*pair, "n_hits", slot_pairs(n).alias("slots"))
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["own"])))
     changed = F.size(F.filter("slots", lambda s: ~s["own"].eqNullSafe(s["theirs"]))).cast("long")
     steady = paired.where(F.size("slots") == F.size(values)).select("doc_id", "item_id", "n_windows", F.col("n_hits").cast("long").alias("n_hits"), F.size("slots").cast("long").alias("n_slots"), changed.alias("n_changed"))
     best = steady.groupBy("doc_id", "item_id", "n_windows").agg(F.max(F.struct("n_hits", (-F.col("n_changed")).alias("kept"), "n_slots")).alias("b"))
-    return best.select("doc_id", "item_id", "b.n_hits", (F.col("b.n_hits") / F.col("n_windows")).alias("coverage"), "b.n_slots", (-F.col("b.kept")).alias("n_changed"))
+    return best.select("doc_id", "item_id", "b.n_hits", (F.col("b.n_hits") / F.greatest("n_windows", F.lit(1))).alias("coverage"), "b.n_slots", (-F.col("b.kept")).alias("n_changed"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

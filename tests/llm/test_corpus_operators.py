@@ -237,6 +237,17 @@ def test_leaks_after_an_unsteady_copy_or_under_a_shared_id(spark):
     assert found[1, 10]["n_changed"] == 0 == found[4, 10]["n_changed"] and found[2, 10]["n_changed"] == 3
 
 
+def test_leaks_of_short_and_numeric_items(spark):
+    items = [(1, "What is the capital of France?"), (2, "3 4 5 6 7 8 9 10 11 12 what next"), (3, "?!"), (4, "Paris")]
+    docs = [
+        (1, "so: WHAT is the\ncapital of France? he said"), (2, "what is the capital of Spain?"), (3, f"list {items[1][1]} 4"), (4, "3 4 5 6 7 8 9 10 11 13 what next"),
+        (5, "3 4 5 6 7 8 9 10 11 13 what next 3 4 5 6 7 8 9 10 11 12 What Next"), (6, None), (7, "?!"), (8, "from Paris, Parisian"), (9, "Parisian"),
+    ]
+    found = leaks(spark, docs, items)
+    assert set(found) == {(1, 1), (3, 2), (5, 2), (8, 4)}
+    assert all((r["n_hits"], r["coverage"], r["n_changed"]) == (1, 1, 0) for r in found.values()) and found[3, 2]["n_slots"] == 10
+
+
 def test_leak_plan_is_native(spark):
     table = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     plan = op7_decontaminate.find_leaks(frame(spark, [(1, QUESTION)]), table)._jdf.queryExecution().toString()
