@@ -45,10 +45,10 @@ def tokens(text: Column) -> Column:
 
 
 def parsed(texts: DataFrame, *keys: str) -> DataFrame:
-    """keys, raw (plain tokens), parts (template tokens), starts (the place in raw of each part)."""
+    """keys, raw (plain tokens), places (kind: each template token, at: where it starts in raw)."""
     both = texts.select(*keys, tokens(F.col("text")).alias("raw"), template(F.col("text")).alias("kinds"))
     places = F.filter(F.transform("kinds", lambda t, i: F.struct(t.alias("kind"), i.alias("at"))), lambda s: ~s["kind"].startswith("§e"))
-    return both.select(*keys, "raw", places.alias("places")).select(*keys, "raw", F.col("places.kind").alias("parts"), F.col("places.at").alias("starts"))
+    return both.select(*keys, "raw", places.alias("places"))
 
 
 def steps(parts: Column, n: int) -> Column:
@@ -61,7 +61,8 @@ def plain_windows(n: int) -> Column:
 
 
 def template_windows(n: int) -> Column:
-    return F.transform(steps(F.col("parts"), n), lambda i: F.struct(F.lit(0).alias("kind"), F.get("starts", i - 1).alias("at"), (i - 1).alias("part"), F.xxhash64(F.slice("parts", i, n)).alias("h")))
+    # Fields are taken from the slice: taken from the whole array, they would be copied for every window.
+    return F.transform(steps(F.col("places"), n), lambda i: F.struct(F.lit(0).alias("kind"), F.get("places", i - 1)["at"].alias("at"), (i - 1).alias("part"), F.xxhash64(F.slice("places", i, n)["kind"]).alias("h")))
 
 
 def item_windows(items: DataFrame, n: int) -> DataFrame:
@@ -118,7 +119,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, n: int = WINDOW, share: flo
     run = Run(docs.sparkSession, "leaks")
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text")).withColumn("copy", F.xxhash64("text"))
     items = items.where("item_id IS NOT NULL").select("item_id", plain(F.col("text")).alias("text")).dropDuplicates(["item_id"])
-    items = run.keep(parsed(items, "item_id"))
+    items = run.keep(parsed(items, "item_id").select("item_id", "raw", "places", F.col("places.kind").alias("parts"), F.col("places.at").alias("starts")))
     wanted = run.keep(item_windows(items, n))
     short = sorted(r["kind"] for r in wanted.where(F.col("kind").between(1, n - 1)).select("kind").distinct().collect())  # n - 1 at most
     seen = parsed(docs, "doc_id", "copy").select("doc_id", "copy", F.explode(F.concat(template_windows(n), *map(plain_windows, [*short, n]))).alias("w")).select("doc_id", "copy", "w.kind", F.col("w.at").alias("place"), F.col("w.part").alias("doc_part"), "w.h")
@@ -143,7 +144,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, n: int = WINDOW, share: flo
     # Slots of the matched windows; only documents with a hit are read again.
     places = run.keep(able.select("doc_id", "copy").distinct())
     doc_parts = parsed(docs.join(small(places, 16), ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]), "doc_id", "copy")
-    doc_parts = doc_parts.select("doc_id", "copy", F.col("raw").alias("doc_raw"), F.col("starts").alias("doc_starts"))
+    doc_parts = doc_parts.select("doc_id", "copy", F.col("raw").alias("doc_raw"), F.col("places.at").alias("doc_starts"))
     paired = able.join(items, "item_id").join(doc_parts, ["doc_id", "copy"])
     equal = F.exists("hs", lambda h: F.slice("doc_raw", h["place"] + 1, F.size("raw")) == F.col("raw"))
     paired = paired.where((F.col("n_windows") > 0) | equal).select(*pair, "n_hits", slot_pairs(n).alias("slots"))
