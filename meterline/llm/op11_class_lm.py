@@ -157,26 +157,49 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return rows.groupBy("hash").agg(F.max("ending").alias("ending"), F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
+PACKED = "part long, side int, own binary, other binary, n binary"
+
+
+def packed(before: np.ndarray, after: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Counts of unit pairs, seen from either unit: a row for each ``GROUP`` of units and side (0: what follows, 1: what precedes).
+
+    A row holds arrays of bytes: place of the unit in its group, the other unit, the count
+    (of one task, which reads far fewer than 2**32 words).
+    """
+    rows = []
+    for side, (own, other) in enumerate(((before, after), (after, before))):
+        order = np.argsort(own, kind="stable")
+        own, other, count = own[order], other[order].astype(np.uint32), n[order].astype(np.uint32)
+        at = np.flatnonzero(np.concatenate([[True], own[1:] // GROUP != own[:-1] // GROUP])) if len(own) else []
+        for i, j in zip(at, [*at[1:], len(own)]):
+            rows.append((int(own[i]) // GROUP, side, (own[i:j] % GROUP).astype(np.uint8).tobytes(), other[i:j].tobytes(), count[i:j].tobytes()))
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["part", "side", "own", "other", "n"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """part, side, place in the part, other unit and count of each packed row."""
+    for b in batches:
+        for part, side, own, other, n in zip(*(b[c].to_pylist() for c in ("part", "side", "own", "other", "n"))):
+            yield part, side, np.frombuffer(own, np.uint8).astype(np.int64), np.frombuffer(other, np.uint32).astype(np.int64), np.frombuffer(n, np.uint32)
+
+
 def neighbours(texts: DataFrame, units: Units) -> DataFrame:
-    """unit, next, n: how often each unit is followed by each other, texts (text) standing between ends."""
+    """Packed counts of how often each unit is followed by each other, texts (text) standing between ends."""
     shared = texts.sparkSession.sparkContext.broadcast(units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, span = Tally(), shared.value.end + 1
-
-        def out(keys, n):
-            return pa.RecordBatch.from_arrays([pa.array((keys // span).astype(np.int32)), pa.array((keys % span).astype(np.int32)), pa.array(n)], ["unit", "next", "n"])
-
+        tally, span = Tally(2 * HELD), shared.value.end + 1
         for batch in pieces(batches, "text"):
             found = words(batch["text"])
             seq = shared.value.sequence(found, _hashes(found))[0]
             before = np.concatenate([[shared.value.end], seq[:-1]])
-            for done in tally.add(before * span + seq, np.ones(len(seq), np.int64)):
-                yield out(*done)
-        for done in tally.rest():
-            yield out(*done)
+            for keys, n in tally.add(before * span + seq, np.ones(len(seq), np.int64)):
+                yield packed(keys // span, keys % span, n)
+        for keys, n in tally.rest():
+            yield packed(keys // span, keys % span, n)
 
-    return texts.select("text").mapInArrow(run, "unit int, next int, n long").groupBy("unit", "next").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, PACKED)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -207,7 +230,7 @@ def best_class(pairs: np.ndarray, right: np.ndarray, left: np.ndarray, itself: f
     gain = (_xlogx(m[:k, c] + right[c]) - _xlogx(m[:k, c])).sum(axis=1)
     c = np.flatnonzero(left)
     gain += (_xlogx(m[c, :k] + left[c, None]) - _xlogx(m[c, :k])).sum(axis=0)
-    # In the corner a unit's right and left neighbours meet.
+    # In a corner a unit's right and left neighbours meet.
     corner, r, f = np.diag(m)[:k], right[:k], left[:k]
     gain += _xlogx(corner + r + f + itself) - _xlogx(corner + r) - _xlogx(corner + f) + _xlogx(corner)
     total = pairs.sum(axis=1)[:k]
@@ -217,11 +240,12 @@ def best_class(pairs: np.ndarray, right: np.ndarray, left: np.ndarray, itself: f
     return best if gain[best] > gain[now] + 1e-9 else now
 
 
-def exchange(run: Run, following: DataFrame, n_units: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each unit, and the counts of class pairs, from ``following`` (unit, next, n). The last unit, the end, keeps the last class."""
-    spark, span = following.sparkSession, classes + 1
-    sides = following.select("unit", F.lit(0).alias("side"), F.col("next").alias("other"), "n").unionByName(following.select(F.col("next").alias("unit"), F.lit(1).alias("side"), F.col("unit").alias("other"), "n"))
-    sides = run.keep(sides.repartition("unit").sortWithinPartitions("unit", "side", "other"))
+def exchange(run: Run, counted: DataFrame, n_units: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit, and the counts of class pairs, from packed counts. The last unit, the end, keeps the last class."""
+    spark, span = counted.sparkSession, classes + 1
+    wide = 2 * span + 1
+    # Units of a part meet in few tasks; adaptive execution splits a part that is large.
+    counted = run.keep(counted.hint("rebalance", "part"))
     of = np.arange(n_units) % classes
     of[-1] = classes
 
@@ -229,15 +253,14 @@ def exchange(run: Run, following: DataFrame, n_units: int, classes: int = CLASSE
         shared = spark.sparkContext.broadcast(of)
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(span * span, np.int64)
-            for b in batches:
-                at = shared.value[b["unit"].to_numpy()] * span + shared.value[b["other"].to_numpy()]
-                total += np.bincount(at, weights=b["n"].to_numpy(), minlength=len(total)).astype(np.int64)
+            total = np.zeros(span * span)
+            for part, _, own, other, n in _unpacked(batches):
+                total += np.bincount(shared.value[part * GROUP + own] * span + shared.value[other], weights=n, minlength=len(total))
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["at", "n"])
 
         out = np.zeros(span * span)
-        for r in sides.where("side = 0").select("unit", "other", "n").mapInArrow(add_up, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        for r in counted.where("side = 0").mapInArrow(add_up, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
             out[r["at"]] = r["n"]
         return out.reshape(span, span)
 
@@ -245,33 +268,29 @@ def exchange(run: Run, following: DataFrame, n_units: int, classes: int = CLASSE
         shared = spark.sparkContext.broadcast((of, pairs))
 
         def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Counts by unit, side and class, the last column for the unit itself. Rows come sorted by unit, so few meet again."""
-            own, tally = shared.value[0], Tally()
-
-            def out(keys, n):
-                return pa.RecordBatch.from_arrays([pa.array(keys // (2 * span + 1) // GROUP), pa.array(keys), pa.array(n)], ["part", "at", "n"])
-
-            for b in batches:
-                unit, side, other, n = (b[c].to_numpy() for c in ("unit", "side", "other", "n"))
-                row = unit.astype(np.int64) * (2 * span + 1)
-                same = (unit == other) & (side == 0)
-                keys = np.concatenate([row + side * span + own[other], row[same] + 2 * span])
-                for done in tally.add(keys, np.concatenate([n, n[same]])):
-                    yield out(*done)
-            for done in tally.rest():
-                yield out(*done)
+            """Counts by unit, side and class, the last column for the unit itself."""
+            own_class, sums = shared.value[0], {}
+            for part, side, own, other, n in _unpacked(batches):
+                total = sums.setdefault(part, np.zeros(GROUP * wide))
+                total += np.bincount(own * wide + side * span + own_class[other], weights=n, minlength=len(total))
+                if side == 0:
+                    same = part * GROUP + own == other
+                    total += np.bincount(own[same] * wide + 2 * span, weights=n[same], minlength=len(total))
+            for part, total in sums.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part)), pa.array(at), pa.array(total[at].astype(np.int64))], ["part", "at", "n"])
 
         def move(group: pa.Table) -> pa.Table:
             own, pairs = shared.value
-            at = group["at"].to_numpy()
-            first = int(at.min()) // (2 * span + 1) // GROUP * GROUP
-            counts = np.bincount(at - first * (2 * span + 1), weights=group["n"].to_numpy(), minlength=GROUP * (2 * span + 1)).reshape(GROUP, -1)
+            first = group["part"][0].as_py() * GROUP
+            counts = np.bincount(group["at"].to_numpy(), weights=group["n"].to_numpy(), minlength=GROUP * wide).reshape(GROUP, wide)
             todo = [u for u in range(first, min(first + GROUP, n_units - 1)) if counts[u - first].any() and int(mix(np.array([u * rounds + turn // 2], _U))[0] >> _U(9)) % 2 == turn % 2]
             new = [best_class(pairs, c[:span], c[span : 2 * span], c[2 * span], int(own[u])) for u, c in ((u, counts[u - first]) for u in todo)]
             moved = [(u, k) for u, k in zip(todo, new) if k != own[u]]
             return pa.table([pa.array([u for u, _ in moved], pa.int64()), pa.array([k for _, k in moved], pa.int64())], names=["unit", "class"])
 
-        rows = sides.mapInArrow(cells, "part long, at long, n long").groupBy("part").applyInArrow(move, "unit long, class long")
+        summed = counted.mapInArrow(cells, "part long, at long, n long").groupBy("part", "at").agg(F.sum("n").cast("long").alias("n"))  # bounded for a part
+        rows = summed.groupBy("part").applyInArrow(move, "unit long, class long")
         return {r["unit"]: r["class"] for r in rows.collect()}  # a row a unit at most
 
     pairs = matrix(of)
@@ -348,8 +367,7 @@ def class_scores(
     units = Units(Listed.of(vocab.where(F.col("n_all") >= least).toArrow(), single), single)
     rare = vocab.where(F.col("n_all") < least)
 
-    following = neighbours(docs.where("NOT held_out"), units)
-    of, pairs = exchange(run, following, units.end + 1, classes, rounds)
+    of, pairs = exchange(run, neighbours(docs.where("NOT held_out"), units), units.end + 1, classes, rounds)
     kinds = np.zeros(units.end + 1)
     seen = units.listed.counts > 0
     kinds += np.bincount(units.listed.units[seen], minlength=len(kinds))

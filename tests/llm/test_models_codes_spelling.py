@@ -111,7 +111,8 @@ def test_exchange_never_ends_below_its_start_and_finds_kinds(spark):
     rng = random.Random(9)
     text = [rng.randrange(20) + 20 * (i % 3) for i in range(6000)]
     pairs = Counter([(60, text[0]), *zip(text, text[1:]), (text[-1], 60)])
-    rows = spark.createDataFrame([(u, v, n) for (u, v), n in pairs.items()], "unit int, next int, n long").repartition(3)
+    some = [np.array([(u, v, n) for (u, v), n in pairs.items()][i::3]).T for i in range(3)]  # as three tasks would count
+    rows = spark.createDataFrame([tuple(r.values()) for x in some for r in op11_class_lm.packed(*x).to_pylist()], op11_class_lm.PACKED).repartition(3)
     of, counts = op11_class_lm.exchange(op11_class_lm.Run(spark, "test"), rows, 61, classes=3, rounds=12)
     start = np.append(np.arange(60) % 3, 3)
     assert op11_class_lm.likelihood(counts) > op11_class_lm.likelihood(class_pairs(pairs, start))
