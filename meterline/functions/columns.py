@@ -46,6 +46,12 @@ def dbl(column: Column | str) -> Column:
     return column.cast("double")
 
 
+def money(column: Column | str) -> Column:
+    """An amount as a decimal, to be added up and multiplied exactly; doubles are taken by their decimal value."""
+    column = F.col(column) if isinstance(column, str) else column
+    return column.cast("decimal(24,10)")
+
+
 def ratio(num: Column, den: Column) -> Column:
     """Null instead of an error when the divisor is zero."""
     return dbl(num) / F.nullif(dbl(den), F.lit(0.0))

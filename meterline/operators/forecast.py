@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterline.functions.columns import day, dbl, mape_grade, ratio, rounded, since
+from meterline.functions.columns import day, dbl, mape_grade, money, ratio, rounded, since
 from meterline.operators.contracts import daily_account_costs, join_term
+from meterline.operators.seasonal import seasonal_values
 from meterline.params import FORECAST_BUFFER_DAYS, FORECAST_HORIZON_DAYS, MIN_TRAINING_DAYS
 
 RUNNING = (W.unboundedPreceding, W.currentRow)
@@ -88,6 +89,10 @@ def training_gate(series: DataFrame, min_days: int = MIN_TRAINING_DAYS) -> DataF
 
 # --- models ------------------------------------------------------------------
 
+def tenths(n: int) -> Column:
+    return F.lit(n).cast("decimal(3,0)") / F.lit(10).cast("decimal(2,0)")
+
+
 def _future(days: Column) -> Column:
     """Zero-based day offsets of a horizon; an empty array when there is none."""
     return F.when(days > 0, F.sequence(F.lit(0), (days - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -96,7 +101,7 @@ def _future(days: Column) -> Column:
 def spent_so_far(burndown: DataFrame) -> DataFrame:
     costed = burndown.filter(F.col("daily_cost").isNotNull())
     return costed.groupBy("contract_id").agg(
-        dbl(F.max("cumulative_cost")).alias("spent"), F.count("*").alias("history_rows"), F.max("usage_date").alias("last_date")
+        money(F.max("cumulative_cost")).alias("spent"), F.count("*").alias("history_rows"), F.max("usage_date").alias("last_date")
     )
 
 
@@ -106,10 +111,10 @@ def linear_forecast(burndown: DataFrame, contracts: DataFrame, buffer: int = FOR
     horizon = F.greatest(F.datediff("end_date", "last_date") + buffer, F.lit(min_days))
     return (
         spent_so_far(burndown).join(ends, "contract_id")
-        .withColumn("yhat", F.col("spent") / F.col("history_rows"))
+        .withColumn("yhat", money(ratio(F.col("spent"), F.col("history_rows"))))
         .withColumn("i", F.explode(_future(horizon)))
         .select("contract_id", F.date_add("last_date", F.col("i") + 1).alias("ds"), "yhat",
-                (F.col("yhat") * 0.8).alias("yhat_lower"), (F.col("yhat") * 1.2).alias("yhat_upper"))
+                (F.col("yhat") * tenths(8)).alias("yhat_lower"), (F.col("yhat") * tenths(12)).alias("yhat_upper"))
     )
 
 
@@ -139,37 +144,14 @@ def trend_forecast(stats: DataFrame, key: str, as_of: date, horizon: Column | in
 
 
 def seasonal_fit(series: DataFrame, buffer: int = FORECAST_BUFFER_DAYS, cap: int = FORECAST_HORIZON_DAYS, z: float = 1.2816) -> DataFrame:
-    """Multiplicative seasonal values for history (``fitted``) and horizon of every contract.
+    """Seasonal values for history (``fitted``) and horizon of every contract: a line and multiplicative harmonics.
 
     ``series`` is ``(contract_id, ds, y, contract_end)``, one row per day; days after the
-    end of the contract are not learned from. The level is the least-squares line, held at
-    a tenth of the mean or more. Factors for the day of the week, the day of the month and
-    the month follow in turn, each the mean of what the ones before leave, 1 where that is
-    unknown or not positive. The band is the deviation of the residuals. At most ``cap``
-    days are foreseen, so a contract that lasts longer has no date beyond them.
+    end of the contract are not learned from. At most ``cap`` days are foreseen;
+    ``forecast_output`` marks contracts that last longer as ``beyond_horizon``.
     """
-    past = series.select("contract_id", "ds", dbl("y").alias("y"), "contract_end").filter("ds <= contract_end").withColumn("x", F.datediff("ds", F.lit(date(1970, 1, 1))).cast("double"))
-    lines = past.groupBy("contract_id").agg(
-        F.avg("y").alias("mean"), F.avg("x").alias("center"), F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"),
-        F.max("ds").alias("last"), F.max("contract_end").alias("contract_end"),
-    )
-    level = F.greatest(F.col("mean") + F.col("slope") * (F.col("x") - F.col("center")), F.col("mean") * 0.1)
-    rows = past.join(lines.select("contract_id", "mean", "center", "slope"), "contract_id").withColumn("value", level)
     steps = F.least(F.greatest(F.datediff("contract_end", "last"), F.lit(0)) + buffer, F.lit(cap))
-    ahead = lines.withColumn("ds", F.explode(F.transform(_future(steps), lambda i: F.date_add("last", i + 1))))
-    ahead = ahead.withColumn("x", F.datediff("ds", F.lit(date(1970, 1, 1))).cast("double")).withColumn("value", level)
-    for name, part in (("weekly", F.dayofweek("ds")), ("monthly", F.dayofmonth("ds")), ("yearly", F.month("ds"))):
-        rows, ahead = rows.withColumn("part", part), ahead.withColumn("part", part)
-        share = F.avg(F.when(F.col("value") > 0, F.col("y") / F.nullif("value", F.lit(0.0))))
-        factors = rows.groupBy("contract_id", "part").agg(share.alias("mean_share")).select("contract_id", "part", F.when(F.col("mean_share") > 0, F.col("mean_share")).otherwise(1.0).alias(name))
-        scaled = F.col("value") * F.coalesce(name, F.lit(1.0))
-        rows = rows.join(factors, ["contract_id", "part"]).withColumn("value", scaled).drop("part", name)
-        ahead = ahead.join(factors, ["contract_id", "part"], "left").withColumn("value", scaled).drop("part", name)
-    spread = rows.groupBy("contract_id").agg(F.stddev_pop(F.col("y") - F.col("value")).alias("sigma"))
-    both = rows.select("contract_id", "ds", "value", F.lit(True).alias("fitted")).unionByName(ahead.select("contract_id", "ds", "value", F.lit(False).alias("fitted")))
-    return both.join(spread, "contract_id").select(
-        "contract_id", "ds", F.col("value").alias("yhat"), (F.col("value") - z * F.col("sigma")).alias("yhat_lower"), (F.col("value") + z * F.col("sigma")).alias("yhat_upper"), "fitted"
-    )
+    return seasonal_values(series, steps, z)
 
 
 def seasonal_forecast(series: DataFrame, **options) -> DataFrame:
@@ -204,25 +186,31 @@ def exhaustion_dates(forecast: DataFrame, remaining: DataFrame) -> DataFrame:
 
 
 def remaining_budget(burndown: DataFrame, contracts: DataFrame) -> DataFrame:
-    values = contracts.filter(F.col("status") == "ACTIVE").select("contract_id", dbl("total_value").alias("value"))
+    values = contracts.filter(F.col("status") == "ACTIVE").select("contract_id", money("total_value").alias("value"), F.col("end_date").alias("contract_end"))
     return spent_so_far(burndown).join(values, "contract_id").select(
-        "contract_id", "spent", (F.col("value") - F.col("spent")).alias("remaining")
+        "contract_id", "spent", (F.col("value") - F.col("spent")).alias("remaining"), "contract_end"
     )
 
 
 def assemble_forecast(forecast: DataFrame, remaining: DataFrame, model: Column) -> DataFrame:
-    """Attach exhaustion dates, clip at zero and accumulate onto the amount spent."""
-    clip = lambda c: F.greatest(F.col(c), F.lit(0.0))
+    """Attach exhaustion dates, clip at zero and accumulate onto the amount spent.
+
+    ``beyond_horizon`` marks contracts that end after their last forecast day. Amounts
+    that come as decimals are added up as decimals.
+    """
+    clip = lambda c: F.greatest(F.col(c), F.lit(0))
     window = W.partitionBy("contract_id").orderBy("forecast_date").rowsBetween(*RUNNING)
+    last = F.max("ds").over(W.partitionBy("contract_id"))
     return (
         with_exhaustion(forecast, remaining)
         .select(
             "contract_id", F.col("ds").alias("forecast_date"), model.alias("model_version"),
             clip("yhat").alias("predicted_daily_cost"), clip("yhat_lower").alias("lower_bound"), clip("yhat_upper").alias("upper_bound"),
-            "exhaustion_date_p10", "exhaustion_date_p50", "exhaustion_date_p90", "days_to_exhaustion", "spent",
+            *EXHAUSTION, (F.col("contract_end") > last).alias("beyond_horizon"), "spent",
         )
         .withColumn("predicted_cumulative", F.col("spent") + F.sum("predicted_daily_cost").over(window))
         .drop("spent")
+        .withColumns({c: dbl(c) for c in ("predicted_daily_cost", "lower_bound", "upper_bound", "predicted_cumulative")})
     )
 
 
@@ -277,13 +265,20 @@ def forecast_latest(forecast: DataFrame) -> DataFrame:
 
 
 def forecast_details(forecast: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Forecast rows with their contract and its risk.
+
+    A contract that lasts longer than its forecast, and is not dated in it, is neither
+    at risk nor on track: nothing is known about its last days.
+    """
     terms = contracts.filter(F.col("status") == "ACTIVE").select(
         "contract_id", "cloud_provider", F.col("start_date").alias("contract_start"), F.col("end_date").alias("contract_end"),
         F.col("total_value").alias("contract_value"),
     )
+    unknown = F.col("beyond_horizon") & F.col("exhaustion_date_p90").isNull() & (F.coalesce("days_to_exhaustion", F.lit(1)) != 0)
     status = (
         F.when(F.col("exhaustion_date_p50") < F.col("contract_end"), "AT RISK")
         .when(F.col("exhaustion_date_p90") < F.col("contract_end"), "WATCH")
+        .when(unknown, "BEYOND HORIZON")
         .otherwise("ON TRACK")
     )
     return forecast.join(terms, "contract_id").withColumn("forecast_status", status)
@@ -302,8 +297,8 @@ def cumulative_band(forecast: DataFrame, burndown: DataFrame) -> DataFrame:
     window = W.partitionBy("contract_id").orderBy("forecast_date").rowsBetween(*RUNNING)
     return forecast.join(spent_so_far(burndown).select("contract_id", "spent"), "contract_id").select(
         "contract_id", "forecast_date", "predicted_cumulative",
-        (F.col("spent") + F.sum("lower_bound").over(window)).alias("cumulative_lower"),
-        (F.col("spent") + F.sum("upper_bound").over(window)).alias("cumulative_upper"),
+        (dbl("spent") + F.sum("lower_bound").over(window)).alias("cumulative_lower"),
+        (dbl("spent") + F.sum("upper_bound").over(window)).alias("cumulative_upper"),
     )
 
 

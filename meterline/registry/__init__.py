@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import cache
 
-from meterline.registry import commitment, contracts, cost, forecast, quality, reports, sources, whatif
+from meterline.registry import forecast  # isort: skip  (its tables come first)
+from meterline.registry import commitment, contracts, cost, quality, reports, sources, whatif
 from meterline.registry.base import Query
 
 

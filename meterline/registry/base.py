@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.functions.columns import plain
+from meterline.functions.columns import plain, rounded
 from meterline.registry.star import CLOUDS, PRICE_YEARS, SKU_SUFFIXES, VALUE_FACTORS, Star
 
 AS_OF = "DATE '2001-06-30'"
@@ -26,10 +26,10 @@ class Query:
 
 
 def tidy(df: DataFrame, digits: int) -> DataFrame:
-    """Plain types and doubles rounded, as sums of doubles differ in the last bits between engines."""
+    """Plain types and doubles rounded by their decimal value (see ``rn``), as sums of doubles differ in the last bits between engines."""
     df = plain(df)
     return df.select(*[
-        F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`")
+        rounded(F.col(f"`{f.name}`"), digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ])
 
@@ -233,11 +233,11 @@ FROM contracts c JOIN long_history d ON d.account_id = c.account_id AND d.cloud_
   AND d.usage_date BETWEEN c.start_date AND {AS_OF}
 WHERE c.status = 'ACTIVE' GROUP BY ALL"""),
     "spent": ("burndown", """
-SELECT contract_id, end_date, CAST(commitment AS DOUBLE) AS value, CAST(MAX(cumulative_cost) AS DOUBLE) AS spent, COUNT(*) AS n, MAX(usage_date) AS last_date
+SELECT contract_id, end_date, CAST(commitment AS DECIMAL(24,10)) AS value, CAST(MAX(cumulative_cost) AS DECIMAL(24,10)) AS spent, COUNT(*) AS n, MAX(usage_date) AS last_date
 FROM burndown WHERE daily_cost IS NOT NULL GROUP BY ALL"""),
     "flat": ("spent", f"""
-SELECT contract_id, last_date + CAST(i AS INT) AS ds, spent / n AS yhat, spent / n * 0.8 AS yhat_lower, spent / n * 1.2 AS yhat_upper, value, spent
-FROM (SELECT *, unnest(range(1, GREATEST({days('last_date', 'end_date')} + 90, 30) + 1)) AS i FROM spent)"""),
+SELECT contract_id, last_date + CAST(i AS INT) AS ds, yhat, yhat * 0.8 AS yhat_lower, yhat * 1.2 AS yhat_upper, value, spent
+FROM (SELECT *, CAST(CAST(spent AS DOUBLE) / n AS DECIMAL(24,10)) AS yhat, unnest(range(1, GREATEST({days('last_date', 'end_date')} + 90, 30) + 1)) AS i FROM spent)"""),
     "exhaustion": ("flat", f"""
 SELECT contract_id, MIN(CASE WHEN left_over > 0 AND cu >= left_over THEN ds END) AS exhaustion_date_p10,
   MIN(CASE WHEN left_over > 0 AND cm >= left_over THEN ds END) AS exhaustion_date_p50,
@@ -246,15 +246,10 @@ SELECT contract_id, MIN(CASE WHEN left_over > 0 AND cu >= left_over THEN ds END)
 FROM (SELECT contract_id, ds, value - spent AS left_over, SUM(yhat) OVER w AS cm, SUM(yhat_upper) OVER w AS cu, SUM(yhat_lower) OVER w AS cl
       FROM flat WINDOW w AS (PARTITION BY contract_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 GROUP BY contract_id"""),
-    "forecast": ("flat exhaustion", """
-SELECT f.contract_id, f.ds AS forecast_date, 'linear_fallback' AS model_version, f.yhat AS predicted_daily_cost, f.yhat_lower AS lower_bound,
-  f.yhat_upper AS upper_bound, e.exhaustion_date_p10, e.exhaustion_date_p50, e.exhaustion_date_p90, e.days_to_exhaustion,
-  f.spent + SUM(f.yhat) OVER (PARTITION BY f.contract_id ORDER BY f.ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS predicted_cumulative
-FROM flat f JOIN exhaustion e ON e.contract_id = f.contract_id"""),
 }
 
 _ORDER = ["usage", "prices", "accounts", "tiers", "dashboard", "long_history", "contracts", "burndown", "summary", "contract_days", "features",
-          "spent", "flat", "exhaustion", "forecast"]
+          "spent", "flat", "exhaustion"]
 TABLES["features"] = ("contract_days", TABLES["features"][1])
 
 
@@ -275,5 +270,5 @@ def sql(needs: str, body: str) -> str:
 
     for name in needs.split():
         add(name)
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({TABLES[n][1]})" for n in _ORDER if n in wanted)
-    return f"WITH {ctes}\n{body}" if ctes else body
+    ctes = ",\n".join(f"{n} AS {'' if f'FROM {n})' in TABLES[n][1] else 'MATERIALIZED '}({TABLES[n][1]})" for n in _ORDER if n in wanted)
+    return f"WITH RECURSIVE {ctes}\n{body}" if ctes else body

@@ -11,7 +11,7 @@ from meterline.registry.base import AS_OF, Query, days, extend, last, num, r, ra
 from meterline.registry.star import Star
 
 TERM = "contract_id, account_id, cloud_provider, contract_start, contract_end"
-FC = "contract_id, forecast_date, model_version, exhaustion_date_p10, exhaustion_date_p50, exhaustion_date_p90, days_to_exhaustion"
+FC = "contract_id, forecast_date, model_version, exhaustion_date_p10, exhaustion_date_p50, exhaustion_date_p90, days_to_exhaustion, beyond_horizon"
 FC_MONEY = "predicted_daily_cost lower_bound upper_bound predicted_cumulative"
 
 extend("feature_summary", "features", f"""
@@ -31,22 +31,61 @@ SELECT s.contract_id, COUNT(*) AS training_points, MIN(s.ds) AS training_start_d
   AVG(ABS(s.y - t.m) / s.y) FILTER (s.y > 0) * 100 AS mape, SQRT(AVG((s.y - t.m) * (s.y - t.m))) AS rmse, AVG(ABS(s.y - t.m)) AS mae
 FROM series s JOIN (SELECT contract_id, AVG(y) AS m FROM series GROUP BY contract_id) t ON t.contract_id = s.contract_id GROUP BY s.contract_id""")
 
-FACTOR = "CASE WHEN AVG(y / NULLIF(v, 0)) FILTER (v > 0) > 0 THEN AVG(y / NULLIF(v, 0)) FILTER (v > 0) ELSE 1 END"
+def _design() -> str:
+    """Intercept, trend and the harmonics of 7 days (3), 30.5 days (5) and, from two years on, 365.25 days (10), times the level."""
+    columns = ["1.0::DOUBLE", "(x - first_x) / GREATEST(last_x - first_x, 1)"]
+    for period, order, span in ((7, 3, 0), (30.5, 5, 0), (365.25, 10, 730)):
+        for k in range(1, order + 1):
+            weight = f"(CASE WHEN last_x - first_x >= {span} THEN level ELSE 0 END)"
+            columns += [f"{weight} * {wave}(2 * pi() * {k} * x / {period})" for wave in ("sin", "cos")]
+    return "[" + ", ".join(columns) + "]"
+
+
+SIZE = 38
 extend("past", "features", f"""
 SELECT contract_id, ds, CAST(y AS DOUBLE) AS y, contract_end, CAST({days("DATE '1970-01-01'", 'ds')} AS DOUBLE) AS x FROM features WHERE ds <= contract_end""")
 extend("lines", "past", """
-SELECT contract_id, AVG(y) AS mean, AVG(x) AS center, COALESCE(CASE WHEN COUNT(*) > 1 THEN regr_slope(y, x) END, 0) AS slope, MAX(ds) AS last, MAX(contract_end) AS contract_end FROM past GROUP BY contract_id""")
-extend("whole", "past lines", f"""
-SELECT p.contract_id, p.ds, p.y, TRUE AS fitted, GREATEST(mean + slope * (p.x - center), mean * 0.1) AS v FROM past p JOIN lines l ON l.contract_id = p.contract_id
-UNION ALL SELECT contract_id, ds, NULL, FALSE, GREATEST(mean + slope * ({days("DATE '1970-01-01'", 'ds')} - center), mean * 0.1)
-FROM (SELECT *, last + CAST(unnest(range(1, LEAST(GREATEST({days('last', 'contract_end')}, 0) + 90, 365) + 1)) AS INT) AS ds FROM lines)""")
-for _name, _from, _part in (("weekly", "whole", "dayofweek"), ("monthly", "weekly", "dayofmonth"), ("yearly", "monthly", "month")):
-    extend(_name, _from, f"""
-SELECT h.contract_id, h.ds, h.y, h.fitted, h.v * COALESCE(k.factor, 1) AS v FROM {_from} h LEFT JOIN (
-  SELECT contract_id, {_part}(ds) AS part, {FACTOR} AS factor FROM {_from} WHERE fitted GROUP BY ALL) k ON k.contract_id = h.contract_id AND k.part = {_part}(h.ds)""")
-extend("seasonal", "yearly", """
-SELECT h.contract_id, ds, v AS yhat, v - 1.2816 * sigma AS yhat_lower, v + 1.2816 * sigma AS yhat_upper
-FROM yearly h JOIN (SELECT contract_id, STDDEV_POP(y - v) AS sigma FROM yearly WHERE fitted GROUP BY contract_id) d ON d.contract_id = h.contract_id WHERE NOT fitted""")
+SELECT contract_id, AVG(y) AS mean, AVG(x) AS center, COALESCE(CASE WHEN COUNT(*) > 1 THEN regr_slope(y, x) END, 0) AS slope, MIN(x) AS first_x, MAX(x) AS last_x, COUNT(*) AS n,
+  MAX(ds) AS last, MAX(contract_end) AS contract_end FROM past GROUP BY contract_id""")
+extend("design", "past lines", f"""
+SELECT contract_id, ds, y, fitted, mean, n, {_design()} AS v
+FROM (SELECT l.*, d.ds, d.y, d.x, d.fitted, GREATEST(mean + slope * (d.x - center), mean * 0.1) AS level FROM lines l JOIN (
+  SELECT contract_id, ds, y, x, TRUE AS fitted FROM past
+  UNION ALL SELECT contract_id, last + CAST(i AS INT), NULL, last_x + i, FALSE
+  FROM (SELECT *, unnest(range(1, LEAST(GREATEST({days('last', 'contract_end')}, 0) + 90, 365) + 1)) AS i FROM lines)) d ON d.contract_id = l.contract_id)""")
+extend("gram", "design", f"""
+SELECT contract_id, i, list(s ORDER BY j) AS line FROM (
+  SELECT contract_id, i, j, SUM(v[i] * (CASE WHEN j <= {SIZE} THEN v[j] ELSE y END))
+    + CASE WHEN i = j THEN CASE WHEN i <= 2 THEN MAX(n) * 1e-9 ELSE MAX(n) * MAX(mean) * MAX(mean) * 0.01 + 1e-6 END ELSE 0 END AS s
+  FROM design, unnest(range(1, {SIZE + 1})) a(i), unnest(range(1, {SIZE + 2})) b(j) WHERE fitted GROUP BY contract_id, i, j) GROUP BY contract_id, i""")
+# Elimination by Gauss and Jordan: in step k line k is made one at place k, all others zero there.
+extend("eliminated", "gram", f"""
+SELECT 0 AS k, contract_id, i, line FROM gram
+UNION ALL
+SELECT k + 1, contract_id, i, CASE WHEN i = k + 1 THEN [x / head[k + 1] FOR x IN head] ELSE list_transform(list_zip(line, head), lambda z: z[1] - z[2] * line[k + 1] / head[k + 1]) END
+FROM (SELECT *, MAX(CASE WHEN i = k + 1 THEN line END) OVER (PARTITION BY contract_id) AS head FROM eliminated) WHERE k < {SIZE}""")
+extend("seasonal", "design eliminated", f"""
+SELECT contract_id, ds, v AS yhat, v - 1.2816 * sigma AS yhat_lower, v + 1.2816 * sigma AS yhat_upper
+FROM (SELECT contract_id, ds, fitted, v, STDDEV_POP(y - v) FILTER (fitted) OVER (PARTITION BY contract_id) AS sigma
+  FROM (SELECT d.contract_id, ds, y, fitted, list_dot_product(d.v, b.beta) AS v FROM design d
+    JOIN (SELECT contract_id, list(line[{SIZE + 1}] ORDER BY i) AS beta FROM eliminated WHERE k = {SIZE} GROUP BY contract_id) b ON b.contract_id = d.contract_id)) WHERE NOT fitted""")
+
+
+def _assembled(source: str, model: str, chosen: str) -> str:
+    double = lambda x, name: f"CAST({x} AS DOUBLE) AS {name}"
+    return f"""
+SELECT contract_id, ds AS forecast_date, '{model}' AS model_version, {double('GREATEST(yhat, 0)', 'predicted_daily_cost')}, {double('GREATEST(yhat_lower, 0)', 'lower_bound')}, {double('GREATEST(yhat_upper, 0)', 'upper_bound')},
+ p10 AS exhaustion_date_p10, p50 AS exhaustion_date_p50, p90 AS exhaustion_date_p90, CASE WHEN remaining <= 0 THEN 0 ELSE date_diff('day', first_ds, p50) END AS days_to_exhaustion, end_date > last_ds AS beyond_horizon,
+ {double('spent + SUM(GREATEST(yhat, 0)) OVER (PARTITION BY contract_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'predicted_cumulative')}
+ FROM (SELECT *, MIN(ds) OVER k AS first_ds, MAX(ds) OVER k AS last_ds, MIN(CASE WHEN remaining > 0 AND cu >= remaining THEN ds END) OVER k AS p10, MIN(CASE WHEN remaining > 0 AND cm >= remaining THEN ds END) OVER k AS p50,
+   MIN(CASE WHEN remaining > 0 AND cl >= remaining THEN ds END) OVER k AS p90
+  FROM (SELECT s.contract_id, s.ds, s.yhat, s.yhat_lower, s.yhat_upper, t.end_date, t.spent, t.value - t.spent AS remaining, SUM(yhat) OVER w AS cm, SUM(yhat_upper) OVER w AS cu, SUM(yhat_lower) OVER w AS cl
+   FROM {source} s JOIN spent t ON t.contract_id = s.contract_id WHERE {chosen} WINDOW w AS (PARTITION BY s.contract_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  WINDOW k AS (PARTITION BY contract_id))"""
+
+
+ENOUGH = "(SELECT contract_id FROM features GROUP BY contract_id HAVING COUNT(*) >= 30)"
+extend("forecast", "features seasonal flat spent", _assembled("seasonal", "seasonal", f"s.contract_id IN {ENOUGH}") + "\nUNION ALL" + _assembled("flat", "linear_fallback", f"s.contract_id NOT IN {ENOUGH}"))
 
 
 def _daily(s: Star):
@@ -102,15 +141,7 @@ QUERIES = [
  FROM (SELECT contract_id, i, GREATEST(m + b * i, 0) AS v, COALESCE(sd, 0) AS sd FROM trend, unnest(range(0, 90)) t(i))""")),
     Query("seasonal_forecast", lambda s: f.seasonal_forecast(s.features), sql("seasonal", f"SELECT contract_id, ds, {num('yhat yhat_lower yhat_upper')} FROM seasonal")),
     Query("exhaustion_dates", _exhaustion, sql("exhaustion", "SELECT * FROM exhaustion")),
-    Query("forecast_output", lambda s: f.forecast_output(s.burndown, s.contracts, s.features), sql(
-        "seasonal spent", f"""SELECT contract_id, ds AS forecast_date, 'seasonal' AS model_version, {rn('GREATEST(yhat, 0)')} AS predicted_daily_cost, {rn('GREATEST(yhat_lower, 0)')} AS lower_bound, {rn('GREATEST(yhat_upper, 0)')} AS upper_bound,
- p10 AS exhaustion_date_p10, p50 AS exhaustion_date_p50, p90 AS exhaustion_date_p90, CASE WHEN remaining <= 0 THEN 0 ELSE date_diff('day', first_ds, p50) END AS days_to_exhaustion,
- {rn('spent + SUM(GREATEST(yhat, 0)) OVER (PARTITION BY contract_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS predicted_cumulative
- FROM (SELECT *, MIN(ds) OVER k AS first_ds, MIN(CASE WHEN remaining > 0 AND cu >= remaining THEN ds END) OVER k AS p10, MIN(CASE WHEN remaining > 0 AND cm >= remaining THEN ds END) OVER k AS p50,
-   MIN(CASE WHEN remaining > 0 AND cl >= remaining THEN ds END) OVER k AS p90
-  FROM (SELECT s.*, t.spent, t.value - t.spent AS remaining, SUM(yhat) OVER w AS cm, SUM(yhat_upper) OVER w AS cu, SUM(yhat_lower) OVER w AS cl
-   FROM seasonal s JOIN spent t ON t.contract_id = s.contract_id WINDOW w AS (PARTITION BY s.contract_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-  WINDOW k AS (PARTITION BY contract_id))""")),
+    Query("forecast_output", lambda s: f.forecast_output(s.burndown, s.contracts, s.features), sql("forecast", f"SELECT {FC}, {num(FC_MONEY)} FROM forecast")),
     Query("fit_metrics", _metrics, sql("metrics", f"SELECT contract_id, training_points, training_start_date, training_end_date, {num('mape rmse mae')} FROM metrics")),
     Query("model_metrics_table", _registry_rows, sql(
         "metrics", f"""SELECT contract_id || '-new' AS model_id, contract_id, {AS_OF} AS trained_at, training_points, {num('mape rmse')}, TRUE AS is_active FROM metrics
@@ -120,16 +151,17 @@ QUERIES = [
     Query("forecast_latest", lambda s: f.forecast_latest(s.forecast), sql(
         "forecast", f"SELECT {FC}, {num(FC_MONEY)} FROM forecast f WHERE forecast_date = (SELECT MAX(forecast_date) FROM forecast g WHERE g.contract_id = f.contract_id)")),
     Query("forecast_details", lambda s: f.forecast_details(s.forecast, s.contracts), sql(
-        "forecast contracts", f"""SELECT f.contract_id, f.forecast_date, f.model_version, f.exhaustion_date_p10, f.exhaustion_date_p50, f.exhaustion_date_p90, f.days_to_exhaustion,
+        "forecast contracts", f"""SELECT f.contract_id, f.forecast_date, f.model_version, f.exhaustion_date_p10, f.exhaustion_date_p50, f.exhaustion_date_p90, f.days_to_exhaustion, f.beyond_horizon,
  {num(' '.join('f.' + c for c in FC_MONEY.split()))}, c.cloud_provider, c.start_date AS contract_start, c.end_date AS contract_end, CAST(c.total_value AS DOUBLE) AS contract_value,
- CASE WHEN f.exhaustion_date_p50 < c.end_date THEN 'AT RISK' WHEN f.exhaustion_date_p90 < c.end_date THEN 'WATCH' ELSE 'ON TRACK' END AS forecast_status
+ CASE WHEN f.exhaustion_date_p50 < c.end_date THEN 'AT RISK' WHEN f.exhaustion_date_p90 < c.end_date THEN 'WATCH'
+   WHEN f.beyond_horizon AND f.exhaustion_date_p90 IS NULL AND COALESCE(f.days_to_exhaustion, 1) <> 0 THEN 'BEYOND HORIZON' ELSE 'ON TRACK' END AS forecast_status
  FROM forecast f JOIN contracts c ON c.contract_id = f.contract_id WHERE c.status = 'ACTIVE'""")),
     Query("forecast_summary", lambda s: f.forecast_summary(s.forecast, s.contracts), sql(
         "forecast contracts", """SELECT f.contract_id, CAST(c.total_value AS DOUBLE) AS contract_value, MAX(f.forecast_date) AS forecast_through, MAX(f.exhaustion_date_p10) AS exhaustion_optimistic,
  MAX(f.exhaustion_date_p50) AS exhaustion_median, MAX(f.exhaustion_date_p90) AS exhaustion_conservative, MAX(f.days_to_exhaustion) AS days_to_exhaustion, MAX(f.model_version) AS model_type
  FROM forecast f JOIN contracts c ON c.contract_id = f.contract_id GROUP BY ALL""")),
     Query("cumulative_band", _band, sql(
-        "forecast spent", f"SELECT f.contract_id, f.forecast_date, {num('f.predicted_cumulative')}, {rn(f's.spent + SUM(f.lower_bound) OVER ({RUN})')} AS cumulative_lower, {rn(f's.spent + SUM(f.upper_bound) OVER ({RUN})')} AS cumulative_upper FROM forecast f JOIN spent s ON s.contract_id = f.contract_id")),
+        "forecast spent", f"SELECT f.contract_id, f.forecast_date, {num('f.predicted_cumulative')}, {rn(f'CAST(s.spent AS DOUBLE) + SUM(f.lower_bound) OVER ({RUN})')} AS cumulative_lower, {rn(f'CAST(s.spent AS DOUBLE) + SUM(f.upper_bound) OVER ({RUN})')} AS cumulative_upper FROM forecast f JOIN spent s ON s.contract_id = f.contract_id")),
     Query("projection_30_365", lambda s: f.projection_30_365(s.dashboard, s.as_of), sql(
         "dashboard", f"SELECT {rd('m')} AS avg_daily_cost, {rd('m * 30')} AS projected_30_day_cost, {rd('m * 365')} AS projected_annual_cost FROM (SELECT {ratio('SUM(c)', 'COUNT(c)')} AS m FROM (SELECT SUM(actual_cost) AS c FROM dashboard WHERE {last(30)} GROUP BY usage_date))")),
     Query("annual_forecast", lambda s: f.annual_forecast(s.forecast, s.as_of), sql(

@@ -171,7 +171,7 @@ QUERIES = [
     Query("first_seen_recent", lambda s: n.first_seen_recent(s.long_history, s.as_of), sql(
         "long_history", f"SELECT workspace_id, MIN(usage_date) AS first_seen FROM long_history GROUP BY workspace_id HAVING MIN(usage_date) >= {ago(7)}")),
     Query("exhaustion_alert", lambda s: n.exhaustion_alert(s.forecast, s.as_of, 120), sql(
-        "exhaustion", f"SELECT contract_id, exhaustion_date_p50 AS predicted_exhaustion, {days(AS_OF, 'exhaustion_date_p50')} AS days_until_exhaustion, 'ALERT: Contract exhausting soon' AS alert_message FROM exhaustion WHERE {days(AS_OF, 'exhaustion_date_p50')} BETWEEN 1 AND 120")),
+        "forecast", f"SELECT DISTINCT contract_id, exhaustion_date_p50 AS predicted_exhaustion, {days(AS_OF, 'exhaustion_date_p50')} AS days_until_exhaustion, 'ALERT: Contract exhausting soon' AS alert_message FROM forecast WHERE {days(AS_OF, 'exhaustion_date_p50')} BETWEEN 1 AND 120")),
     Query("contract_overrun_alert", lambda s: n.contract_overrun_alert(s.contracts, s.long_history, s.as_of), sql(
         "contracts long_history", f"""SELECT contract_id, ROUND(spent * 100, 1) AS pct_spent, ROUND(elapsed * 100, 1) AS pct_elapsed,
  'CONTRACT ALERT: ' || contract_id || ' is consuming faster than expected. ' || ROUND(spent * 100, 1) || '% spent with ' || ROUND(elapsed * 100, 1) || '% time elapsed' AS alert_message

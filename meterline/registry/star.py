@@ -273,7 +273,7 @@ class Star:
 
     @cached_property
     def forecast(self) -> DataFrame:
-        return self.keep("contract_forecast", lambda: forecast.linear_contract_forecast(self.burndown, self.contracts))
+        return self.keep("contract_forecast", lambda: forecast.forecast_output(self.burndown, self.contracts, self.features))
 
     @cached_property
     def scenarios(self) -> DataFrame:

@@ -49,37 +49,36 @@ WINDOW w AS (PARTITION BY scenario_id ORDER BY usage_date {WIN})""")
 extend("ext", "scenarios burndown", f"""
 SELECT scenario_id, contract_id, last_date + CAST(i AS INT) AS usage_date, m AS original_daily_cost, m * k AS simulated_daily_cost, h * k + i * m * k AS simulated_cumulative, v AS scenario_commitment,
   GREATEST(v - (h * k + i * m * k), 0) AS simulated_remaining, m * (1 - k) AS daily_savings, h * (1 - k) + i * m * (1 - k) AS cumulative_savings
-FROM (SELECT s.scenario_id, s.contract_id, s.adjusted_end_date, CAST(s.adjusted_total_value AS DOUBLE) AS v, CAST(1 - s.discount_pct / CAST(100 AS DOUBLE) AS DOUBLE) AS k, t.last_date, t.h, t.m,
-        unnest(range(1, 2500)) AS i
-      FROM scenarios s JOIN (SELECT contract_id, MAX(usage_date) AS last_date, CAST(SUM(daily_cost) AS DOUBLE) AS h,
-          CAST(SUM(daily_cost) FILTER (n <= 90) AS DOUBLE) / COUNT(daily_cost) FILTER (n <= 90) AS m
+FROM (SELECT s.scenario_id, s.contract_id, s.adjusted_end_date, s.adjusted_total_value AS v, CAST(1 - s.discount_pct / CAST(100 AS DOUBLE) AS DECIMAL(5,4)) AS k, t.last_date, t.h, t.m,
+        CAST(unnest(range(1, 2500)) AS DECIMAL(5,0)) AS i
+      FROM scenarios s JOIN (SELECT contract_id, MAX(usage_date) AS last_date, CAST(SUM(daily_cost) AS DECIMAL(20,6)) AS h,
+          CAST(CAST(SUM(daily_cost) FILTER (n <= 90) AS DOUBLE) / COUNT(daily_cost) FILTER (n <= 90) AS DECIMAL(20,10)) AS m
         FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY contract_id ORDER BY usage_date DESC) AS n FROM burndown) GROUP BY contract_id) t ON t.contract_id = s.contract_id
       WHERE s.kind = 'extension')
 WHERE last_date + CAST(i AS INT) <= adjusted_end_date AND h * k + (i - 1) * m * k < v""")
 extend("all_sb", "sb ext", """
 SELECT scenario_id, contract_id, usage_date, CAST(simulated_daily_cost AS DOUBLE) AS simulated_daily_cost, CAST(simulated_cumulative AS DOUBLE) AS simulated_cumulative,
   CAST(scenario_commitment AS DOUBLE) AS scenario_commitment, CAST(cumulative_savings AS DOUBLE) AS cumulative_savings FROM sb
-UNION ALL SELECT scenario_id, contract_id, usage_date, simulated_daily_cost, simulated_cumulative, scenario_commitment, cumulative_savings FROM ext""")
+UNION ALL SELECT scenario_id, contract_id, usage_date, CAST(simulated_daily_cost AS DOUBLE), CAST(simulated_cumulative AS DOUBLE), CAST(scenario_commitment AS DOUBLE), CAST(cumulative_savings AS DOUBLE) FROM ext""")
 extend("sf", "scenarios forecast", f"""
 SELECT *, MIN(CASE WHEN cu >= v THEN forecast_date END) OVER (PARTITION BY scenario_id) AS p10, MIN(CASE WHEN predicted_cumulative >= v THEN forecast_date END) OVER (PARTITION BY scenario_id) AS p50,
   MIN(CASE WHEN cl >= v THEN forecast_date END) OVER (PARTITION BY scenario_id) AS p90
 FROM (SELECT scenario_id, contract_id, forecast_date, d AS predicted_daily_cost, l AS lower_bound, u AS upper_bound, base, original, v, model_version,
         SUM(d) OVER w AS predicted_cumulative, SUM(l) OVER w AS cl, SUM(u) OVER w AS cu
-      FROM (SELECT s.scenario_id, s.contract_id, f.forecast_date, CAST(s.adjusted_total_value AS DOUBLE) AS v, f.predicted_daily_cost * (1 - s.discount_pct / CAST(100 AS DOUBLE)) AS d,
-              f.lower_bound * (1 - s.discount_pct / CAST(100 AS DOUBLE)) AS l, f.upper_bound * (1 - s.discount_pct / CAST(100 AS DOUBLE)) AS u,
-              f.exhaustion_date_p50 AS base, f.predicted_cumulative AS original, f.model_version
-            FROM scenarios s JOIN forecast f ON f.contract_id = s.contract_id)
+      FROM (SELECT scenario_id, contract_id, forecast_date, v, CAST(predicted_daily_cost AS DECIMAL(24,10)) * k AS d, CAST(lower_bound AS DECIMAL(24,10)) * k AS l, CAST(upper_bound AS DECIMAL(24,10)) * k AS u,
+              exhaustion_date_p50 AS base, CAST(predicted_cumulative AS DECIMAL(24,10)) AS original, model_version
+            FROM (SELECT s.scenario_id, s.adjusted_total_value AS v, CAST(1 - s.discount_pct / CAST(100 AS DOUBLE) AS DECIMAL(5,4)) AS k, f.* FROM scenarios s JOIN forecast f ON f.contract_id = s.contract_id))
       WINDOW w AS (PARTITION BY scenario_id ORDER BY forecast_date {WIN}))""")
 extend("ss", "scenarios contracts sb ext sf", f"""
 SELECT *, CASE WHEN actual_cumulative >= break_even_consumption THEN 'ABOVE_BREAKEVEN' WHEN actual_cumulative >= break_even_consumption * 0.8 THEN 'AT_RISK' ELSE 'BELOW_BREAKEVEN' END AS break_even_status,
   CASE WHEN scenario_exhaustion_date IS NULL OR scenario_exhaustion_date > contract_end + 30 THEN 'EXTENDED' WHEN scenario_exhaustion_date < contract_end THEN 'EARLY_EXHAUSTION' ELSE 'ON_TRACK' END AS exhaustion_status
 FROM (SELECT s.scenario_id, s.contract_id, s.kind, s.scenario_name, s.description, s.discount_pct, CAST(c.total_value AS DOUBLE) AS base_commitment, c.start_date AS contract_start,
         CASE WHEN s.kind = 'extension' THEN s.adjusted_end_date ELSE c.end_date END AS contract_end, COALESCE(CAST(b.actual AS DOUBLE), 0) AS actual_cumulative,
-        COALESCE(GREATEST(CAST(b.sim AS DOUBLE), e.sim), 0) AS simulated_cumulative, COALESCE(GREATEST(CAST(b.sav AS DOUBLE), e.sav), 0) AS cumulative_savings, f.base AS baseline_exhaustion_date,
+        CAST(COALESCE(GREATEST(b.sim, e.sim), 0) AS DOUBLE) AS simulated_cumulative, CAST(COALESCE(GREATEST(b.sav, e.sav), 0) AS DOUBLE) AS cumulative_savings, f.base AS baseline_exhaustion_date,
         CASE WHEN s.kind = 'extension' THEN LEAST(b.hit, e.hit) ELSE f.p50 END AS scenario_exhaustion_date,
         CASE WHEN s.kind = 'extension' THEN {days('c.end_date', 's.adjusted_end_date')} ELSE {days('f.base', 'f.p50')} END AS days_extended,
         CAST(c.total_value AS DOUBLE) / (1 - s.discount_pct / CAST(100 AS DOUBLE)) AS break_even_consumption,
-        COALESCE(GREATEST(CAST(b.sim AS DOUBLE), e.sim), 0) / NULLIF(CAST(c.total_value AS DOUBLE), 0) * 100 AS utilization_pct,
+        CAST(COALESCE(GREATEST(b.sim, e.sim), 0) * 100 AS DOUBLE) / NULLIF(CAST(c.total_value AS DOUBLE), 0) AS utilization_pct,
         s.contract_duration_years, s.potential_duration_years, s.is_max_for_duration
       FROM scenarios s JOIN contracts c ON c.contract_id = s.contract_id
       LEFT JOIN (SELECT scenario_id, MAX(original_cumulative) AS actual, MAX(simulated_cumulative) AS sim, MAX(cumulative_savings) AS sav,
@@ -110,7 +109,7 @@ SELECT g.cloud_provider, g.cost AS on_demand_cost, g.commitment, g.duration, g.r
 FROM (SELECT s.cloud_provider, s.cost, r.commitment, r.duration, r.rate FROM (SELECT cloud_provider, CAST(SUM(list_cost) AS DOUBLE) * (365 / CAST(GREATEST({days('MIN(usage_date)', 'MAX(usage_date)')}, 1) AS DOUBLE)) AS cost
         FROM dashboard GROUP BY cloud_provider) s CROSS JOIN rates_grid r) g""")
 extend("even", "sized spent", """
-SELECT z.contract_id AS name, CAST(z.value AS DOUBLE) AS commitment, CAST(z.top AS DOUBLE) / 100 AS discount_rate, s.spent AS projected FROM sized z JOIN spent s ON s.contract_id = z.contract_id""")
+SELECT z.contract_id AS name, CAST(z.value AS DOUBLE) AS commitment, CAST(z.top AS DOUBLE) / 100 AS discount_rate, CAST(s.spent AS DOUBLE) AS projected FROM sized z JOIN spent s ON s.contract_id = z.contract_id""")
 
 
 def _terms(s: Star):
@@ -233,6 +232,7 @@ QUERIES = [
  {rn('projected * 2')} AS total_consumption_med, {rn('GREATEST(projected * 2 * (1 - discount_rate), commitment * 2)')} AS cost_med, {rn('projected * 1.2 * 2')} AS total_consumption_high,
  {rn('projected * 1.2 * 2 * (1 - discount_rate)')} AS cost_high FROM even""")),
     Query("days_extended_estimate", _estimate, sql(
-        "scenarios exhaustion", f"""SELECT s.scenario_id, s.contract_id, CAST(s.discount_pct AS DOUBLE) AS discount_pct, e.days_to_exhaustion AS baseline_days,
- {rn('e.days_to_exhaustion * CAST(s.discount_pct AS DOUBLE) / (100 - CAST(s.discount_pct AS DOUBLE))')} AS days_extended_estimate FROM scenarios s JOIN exhaustion e ON e.contract_id = s.contract_id""")),
+        "scenarios forecast", f"""SELECT s.scenario_id, s.contract_id, CAST(s.discount_pct AS DOUBLE) AS discount_pct, e.days_to_exhaustion AS baseline_days,
+ {rn('e.days_to_exhaustion * CAST(s.discount_pct AS DOUBLE) / (100 - CAST(s.discount_pct AS DOUBLE))')} AS days_extended_estimate FROM scenarios s
+ JOIN (SELECT contract_id, MAX(days_to_exhaustion) AS days_to_exhaustion FROM forecast GROUP BY contract_id) e ON e.contract_id = s.contract_id""")),
 ]
