@@ -60,11 +60,19 @@ def contract_burndown(contracts: DataFrame, dashboard: DataFrame, as_of: date) -
     rows = join_term(_active(contracts), daily_account_costs(dashboard), F.col("c.end_date")).filter(
         F.col("usage_date") <= day(as_of)
     )
-    running = F.sum("daily_cost").over(W.partitionBy("contract_id").orderBy("usage_date").rowsBetween(*RUNNING))
+    return burndown_columns(rows.withColumn("cumulative_cost", running_cost()))
+
+
+def running_cost() -> Column:
+    return F.sum("daily_cost").over(W.partitionBy("contract_id").orderBy("usage_date").rowsBetween(*RUNNING))
+
+
+def burndown_columns(rows: DataFrame) -> DataFrame:
+    """The burndown's columns from contract terms, ``usage_date``, ``daily_cost`` and ``cumulative_cost``."""
     elapsed = F.datediff("usage_date", "start_date")
     total = F.datediff("end_date", "start_date")
     safe_total = F.greatest(total, F.lit(1))
-    return rows.withColumn("cumulative_cost", running).select(
+    return rows.select(
         "contract_id", "cloud_provider", "start_date", "end_date", F.col("total_value").alias("commitment"), "currency",
         "commitment_type", "notes", "usage_date", "daily_cost", "cumulative_cost",
         (F.col("total_value") - F.col("cumulative_cost")).alias("remaining_budget"),

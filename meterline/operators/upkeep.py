@@ -12,9 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterline.functions.columns import before, day, since
 from meterline.params import ARCHIVE_AFTER_DAYS
+from meterline.sources.stored_table import StoredTable, Version
 
 INSERT, UPDATE, KEEP = "insert", "update", "unchanged"
 
@@ -160,3 +162,39 @@ def bulk_assign(accounts: DataFrame, teams: DataFrame, unit: str = "business_uni
 
 def drop_columns(df: DataFrame, *columns: str) -> DataFrame:
     return df.drop(*columns)
+
+
+# --- stored tables -----------------------------------------------------------
+
+def upsert_stored(table: StoredTable, source: DataFrame, keys: list[str], keep: tuple[str, ...] = ("created_at",), batch: str | None = None) -> Version:
+    """Upsert into a stored table: only partitions that hold source keys are read and written anew.
+
+    The partition column has to follow from the keys (one of them, or ``bucket`` of them)
+    and be in ``source``. A failure before the version is in place leaves the table as it
+    was. A ``batch`` that the table has already changes nothing.
+    """
+    old = table.current()
+    if batch is not None and batch in old.batches:
+        return old
+    touched = [r[0] for r in source.select(table.by).distinct().collect()]  # partitions, at most
+    if old.schema is None:
+        return table.replace(single_keys(source, keys), touched, batch)
+    merged = upsert(table.read(touched, old), source, keys, keep)
+    return table.replace(merged.drop("_action"), touched, batch)
+
+
+def add_up(table: StoredTable, delta: DataFrame, keys: list[str], sums: list[str], batch: str) -> Version:
+    """Add a batch of sums per key to a stored table of such sums, once; only the partitions of its keys are read and written anew.
+
+    Sums may be negative, and batches may come in any order. ``delta`` holds the keys, the
+    sums and the partition column, and nothing else.
+    """
+    old = table.current()
+    if batch in old.batches:
+        return old
+    touched = [r[0] for r in delta.select(table.by).distinct().collect()]  # partitions, at most
+    rows = delta if old.schema is None else table.read(touched, old).unionByName(delta)
+    kinds = {f.name: f.dataType for f in (delta.schema if old.schema is None else T.StructType.fromJson(old.schema)).fields}
+    by = list(dict.fromkeys([*keys, table.by]))
+    whole = rows.groupBy(*by).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in sums]).select(*kinds)
+    return table.replace(whole, touched, batch)

@@ -160,8 +160,10 @@ QUERIES = [
         "forecast contracts", """SELECT f.contract_id, CAST(c.total_value AS DOUBLE) AS contract_value, MAX(f.forecast_date) AS forecast_through, MAX(f.exhaustion_date_p10) AS exhaustion_optimistic,
  MAX(f.exhaustion_date_p50) AS exhaustion_median, MAX(f.exhaustion_date_p90) AS exhaustion_conservative, MAX(f.days_to_exhaustion) AS days_to_exhaustion, MAX(f.model_version) AS model_type
  FROM forecast f JOIN contracts c ON c.contract_id = f.contract_id GROUP BY ALL""")),
+    # As in the other running totals of forecasts, three digits: the model is solved by two methods, and a year of doubles is added up.
     Query("cumulative_band", _band, sql(
-        "forecast spent", f"SELECT f.contract_id, f.forecast_date, {num('f.predicted_cumulative')}, {rn(f'CAST(s.spent AS DOUBLE) + SUM(f.lower_bound) OVER ({RUN})')} AS cumulative_lower, {rn(f'CAST(s.spent AS DOUBLE) + SUM(f.upper_bound) OVER ({RUN})')} AS cumulative_upper FROM forecast f JOIN spent s ON s.contract_id = f.contract_id")),
+        "forecast spent", f"""SELECT f.contract_id, f.forecast_date, {rn('f.predicted_cumulative', 3)} AS predicted_cumulative, {rn(f'CAST(s.spent AS DOUBLE) + SUM(f.lower_bound) OVER ({RUN})', 3)} AS cumulative_lower,
+ {rn(f'CAST(s.spent AS DOUBLE) + SUM(f.upper_bound) OVER ({RUN})', 3)} AS cumulative_upper FROM forecast f JOIN spent s ON s.contract_id = f.contract_id"""), 3),
     Query("projection_30_365", lambda s: f.projection_30_365(s.dashboard, s.as_of), sql(
         "dashboard", f"SELECT {rd('m')} AS avg_daily_cost, {rd('m * 30')} AS projected_30_day_cost, {rd('m * 365')} AS projected_annual_cost FROM (SELECT {ratio('SUM(c)', 'COUNT(c)')} AS m FROM (SELECT SUM(actual_cost) AS c FROM dashboard WHERE {last(30)} GROUP BY usage_date))")),
     Query("annual_forecast", lambda s: f.annual_forecast(s.forecast, s.as_of), sql(

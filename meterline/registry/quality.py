@@ -190,7 +190,7 @@ QUERIES = [
  UNION ALL SELECT 'account_metadata', COUNT(*), COUNT(DISTINCT account_id), {NULL_SPAN}, 'OK' FROM accounts
  UNION ALL SELECT 'dashboard_data', COUNT(*), COUNT(DISTINCT usage_date), MIN(usage_date), MAX(usage_date), 'OK' FROM dashboard
  UNION ALL SELECT 'contract_burndown', COUNT(*), COUNT(DISTINCT contract_id), MIN(usage_date), MAX(usage_date), 'OK' FROM burndown
- UNION ALL SELECT 'contract_forecast', COUNT(*), COUNT(DISTINCT contract_id), MIN(forecast_date), MAX(forecast_date), 'WARNING - Using linear fallback' FROM forecast
+ UNION ALL SELECT 'contract_forecast', COUNT(*), COUNT(DISTINCT contract_id), MIN(forecast_date), MAX(forecast_date), CASE WHEN MAX(model_version) = 'seasonal' THEN 'OK - Seasonal model active' ELSE 'WARNING - Using linear fallback' END FROM forecast
  UNION ALL SELECT 'auto_commit_recommendations', COUNT(*) * 3, COUNT(DISTINCT account_id), {NULL_SPAN}, 'OK - Recommendations generated' FROM kstats""")),
     Query("validation_suite", _suite, sql(
         "usage accounts contracts dashboard", f"""SELECT check_name, CAST(m AS DOUBLE) AS measure, CASE check_name WHEN 'data_freshness' THEN m <= 5 WHEN 'yesterday_cost' THEN m IS NOT NULL ELSE m > 0 END AS passed FROM (
