@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,14 +24,20 @@ def price_interval_join(
     on: tuple[str, ...] = ("sku_name", "cloud", "usage_unit"),
     time: str = "usage_end_time",
     date_grain: bool = False,
+    index_months: int | None = None,
 ) -> DataFrame:
     """Left join usage to the price interval ``[start, end)`` that holds ``time``.
 
+    With ``index_months`` prices are indexed by spans of so many months (see
+    ``price_index``), which pays where a SKU has a long history of prices.
+
     No broadcast is forced: Catalyst broadcasts the price table while its known
     size is under ``autoBroadcastJoinThreshold``. Beyond that the equality keys
     make it a sort-merge join, in which AQE splits a SKU that holds a large part
     of the usage (the usage side of a left join may be split freely).
     """
+    if index_months:
+        return _indexed_join(usage, prices, on, time, date_grain, index_months)
     start, end = F.col("_p_start"), F.col("_p_end")
     side = prices.select(
         *[F.col(c).alias(f"_p_{c}") for c in on],
@@ -46,6 +52,43 @@ def price_interval_join(
     )
 
 
+def _span(moment: Column, months: int) -> Column:
+    return F.floor((F.year(moment) * 12 + F.month(moment) - 1) / months)
+
+
+def price_index(prices: DataFrame, on: tuple[str, ...], date_grain: bool = False, months: int = 12) -> tuple[DataFrame, int | None]:
+    """One row for each key and span of months with its intervals in order, and the last span, which never ends.
+
+    An interval is in every span it touches. ``disjoint`` tells whether the intervals of a
+    row leave at most one for any moment. A row is bounded by the price changes within its span.
+    """
+    grain = F.to_date if date_grain else (lambda c: F.col(c))
+    start, end = F.col("_p_start"), F.col("_p_end")
+    side = prices.select(*[F.col(c).alias(f"_p_{c}") for c in on], grain("price_start_time").alias("_p_start"), grain("price_end_time").alias("_p_end"), "default_price", "effective_price")
+    side = side.filter(start.isNotNull() & (end.isNull() | (end > start)))
+    last = side.agg(F.max(_span(start, months))).first()[0]
+    spans = F.sequence(_span(start, months), F.least(F.coalesce(_span(end, months), F.lit(last)), F.lit(last)))
+    interval = F.struct(start.alias("start"), end.alias("end"), "default_price", "effective_price")
+    rows = side.withColumn("_p_span", F.explode(spans)).groupBy(*[f"_p_{c}" for c in on], "_p_span").agg(F.array_sort(F.collect_list(interval)).alias("_p_intervals"))
+    n = F.size("_p_intervals")
+    follow = F.zip_with(F.slice("_p_intervals", 1, n - 1), F.slice("_p_intervals", 2, n), lambda a, b: F.coalesce(a.end <= b.start, b.start.isNull() & a.start.isNotNull()))
+    return rows.withColumn("_p_disjoint", F.when(n < 2, True).otherwise(F.forall(F.slice(follow, 1, n - 1), lambda x: x))), last
+
+
+def _indexed_join(usage: DataFrame, prices: DataFrame, on: tuple[str, ...], time: str, date_grain: bool, months: int) -> DataFrame:
+    """The interval join by equality of key and span, then bisection in the row: no usage row is compared with all prices of its SKU."""
+    index, last = price_index(prices, on, date_grain, months)
+    moment, intervals = F.col(time), F.col("_p_intervals")
+    keys = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_p_{c}") for c in on])
+    met = usage.join(index, keys & (F.least(_span(moment, months), F.lit(last)) == F.col("_p_span")), "left")
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    begun = F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= F.size(intervals)) & (F.element_at(intervals, low + step).start <= moment), low + step).otherwise(low))
+    holds = lambda p: (p.start <= moment) & (p.end.isNull() | (moment < p.end))
+    hit = F.when(F.col("_p_disjoint"), F.filter(F.slice(intervals, F.greatest(begun, F.lit(1)), 1), holds)).otherwise(F.filter(intervals, holds))
+    found = met.select(*usage.columns, F.explode_outer(hit).alias("_p"))
+    return found.select(*usage.columns, "_p.default_price", "_p.effective_price")
+
+
 def cost_columns(priced: DataFrame) -> DataFrame:
     """Unit price, list cost and actual cost; all null where no interval matched."""
     quantity = F.col("usage_quantity")

@@ -53,6 +53,8 @@ def _estimated(s: Star):
 QUERIES = [
     Query("price_interval_join", lambda s: _priced(s).select(*ROW, "default_price", "effective_price"), sql(
         "usage prices", f"SELECT {_row_ids()}, CAST(p.default_price AS DOUBLE) AS default_price, CAST(p.effective_price AS DOUBLE) AS effective_price FROM usage u {JOIN}")),
+    Query("price_index_join", lambda s: cost.price_interval_join(s.usage, s.prices, index_months=6).select(*ROW, "default_price", "effective_price"), sql(
+        "usage prices", f"SELECT {_row_ids()}, CAST(p.default_price AS DOUBLE) AS default_price, CAST(p.effective_price AS DOUBLE) AS effective_price FROM usage u {JOIN}")),
     Query("cost_columns", lambda s: cost.cost_columns(_priced(s)).select(*ROW, "price_per_unit", "list_cost", "actual_cost"), sql(
         "usage prices", f"SELECT {_row_ids()}, CAST(p.effective_price AS DOUBLE) AS price_per_unit, "
         f"{r('u.usage_quantity * p.default_price', 6)} AS list_cost, {r('u.usage_quantity * p.effective_price', 6)} AS actual_cost FROM usage u {JOIN}"), 6),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from meterline.operators import whatif as w
 from meterline.registry.base import AS_OF, Query, days, extend, grouped, num, r, ratio, rd, rn, sql
 from meterline.registry.star import Star
+from meterline.sources.tiers import default_tiers
 
 COMMITMENTS = [100000.0, 250000.0, 500000.0]
 WIN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -112,6 +113,30 @@ extend("even", "sized spent", """
 SELECT z.contract_id AS name, CAST(z.value AS DOUBLE) AS commitment, CAST(z.top AS DOUBLE) / 100 AS discount_rate, CAST(s.spent AS DOUBLE) AS projected FROM sized z JOIN spent s ON s.contract_id = z.contract_id""")
 
 
+# The published alternative sets, as code, lower and upper edge, and percent for one, two and three years; upper edges touch the next band.
+ALTERNATIVES = {
+    "market_aligned": "('50K', 50000, 100000, [10, 15, 20]), ('100K', 100000, 250000, [15, 20, 25]), ('250K', 250000, 500000, [20, 27, 33]), ('500K', 500000, 1000000, [25, 32, 37]), ('1M', 1000000, 5000000, [30, 37, 42]), ('5M', 5000000, NULL, [35, 42, 50])",
+    "aggressive": "('50K', 50000, 100000, [12, 18, 22]), ('100K', 100000, 250000, [18, 25, 30]), ('250K', 250000, 500000, [25, 32, 38]), ('500K', 500000, 1000000, [30, 37, 43]), ('1M', 1000000, 5000000, [35, 42, 48]), ('5M', 5000000, NULL, [40, 47, 55])",
+    "stackable_base": "('50K', 50000, 100000, [8, 12, 15]), ('100K', 100000, 250000, [12, 18, 22]), ('250K', 250000, 500000, [18, 24, 30]), ('500K', 500000, 1000000, [22, 30, 35]), ('1M', 1000000, 5000000, [28, 35, 40]), ('5M', 5000000, NULL, [33, 40, 45])",
+}
+
+
+def _edges(s: Star):
+    """Contract values, the edges of all bands and the cents beside them, for one to five years."""
+    tenth = [F.lit(x).cast("decimal(18,2)") for x in ("50000", "100000", "250000", "500000", "1000000", "5000000")]
+    near = [(e + d).cast("decimal(18,2)") for e in tenth for d in (F.lit("-0.01").cast("decimal(18,2)"), F.lit(0), F.lit("0.01").cast("decimal(18,2)"))]
+    return s.contracts.select("contract_id", F.explode(F.array("total_value", *near)).alias("value"))
+
+
+def _alternative(name: str) -> Query:
+    of = "(SELECT MAX(b.pct[{y}]) FROM bands b WHERE b.low <= e.value AND (b.high IS NULL OR b.high >= e.value))"
+    text = sql("contracts", f"""SELECT contract_id, CAST(value AS DOUBLE) AS value, CAST(y AS BIGINT) AS years,
+ COALESCE(CASE y WHEN 1 THEN {of.format(y=1)} WHEN 2 THEN {of.format(y=2)} ELSE {of.format(y=3)} END, 5) / 100 AS discount_rate
+FROM (SELECT contract_id, CAST(unnest(list_concat([total_value], [50000, 100000, 250000, 500000, 1000000, 5000000], [x - 0.01 FOR x IN [50000, 100000, 250000, 500000, 1000000, 5000000]], [x + 0.01 FOR x IN [50000, 100000, 250000, 500000, 1000000, 5000000]])) AS DECIMAL(18,2)) AS value FROM contracts) e,
+ unnest([1, 2, 3, 4, 5]) t(y)""").replace("WITH RECURSIVE ", f"WITH RECURSIVE bands(code, low, high, pct) AS (VALUES {ALTERNATIVES[name]}),\n", 1)
+    return Query(f"tier_lookup_{name}", lambda s: w.discount_by_duration(_edges(s), default_tiers(s.spark, name)), text)
+
+
 def _terms(s: Star):
     return w.contract_duration_years(s.contracts.filter("status = 'ACTIVE'")).select(
         "contract_id", F.col("total_value").alias("value"), F.col("duration_years").alias("years")
@@ -176,6 +201,7 @@ QUERIES = [
         "sized", "SELECT contract_id, CAST(value AS DOUBLE) AS value, CAST(term AS BIGINT) AS years, CAST(top AS DOUBLE) / 100 AS discount_rate FROM sized")),
     Query("discount_by_duration", lambda s: w.discount_by_duration(_terms(s), s.tiers), sql(
         "rates", "SELECT contract_id, CAST(value AS DOUBLE) AS value, CAST(years AS BIGINT) AS years, CAST(rate AS DOUBLE) AS discount_rate FROM rates")),
+    *[_alternative(name) for name in ALTERNATIVES],
     Query("contract_duration_years", lambda s: w.contract_duration_years(s.contracts).select("contract_id", "start_date", "end_date", "duration_years"), sql(
         "contracts", f"SELECT contract_id, start_date, end_date, CAST(LEAST(GREATEST(ROUND({days('start_date', 'end_date')} / CAST(365 AS DOUBLE)), 1), 5) AS BIGINT) AS duration_years FROM contracts")),
     Query("generate_scenarios", _scenario_columns, sql(
