@@ -96,3 +96,33 @@ def test_one_row_in_one_row_out_without_a_shuffle_of_values(spark):
     assert out.count() == 3 and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1  # the tiers, by duration
     nothing = w.tier_lookup(asked, default_tiers(spark).limit(0))
     assert {r.discount_rate for r in nothing.collect()} == {D("0.05")}
+
+
+def test_crossing_dates_by_bisection_equal_a_scan(spark):
+    rng = random.Random(5)
+    days = [(datetime(2024, 1, 1) + timedelta(days=i)).date() for i in range(300)]
+    paths = {c: [(d, *[D(rng.randrange(-40 if c == "dips" else 0, 100)) / 10 for _ in range(3)]) for d in days] for c in ("A", "B", "dips")}
+    rows = [(c, d, float(x), float(x), float(x), float(x), None, "m") for c, own in paths.items() for d, x, _, _ in own]
+    forecast = spark.createDataFrame(rows, "contract_id string, forecast_date date, predicted_daily_cost double, lower_bound double, upper_bound double, predicted_cumulative double, exhaustion_date_p50 date, model_version string").repartition(3)
+    _, curves = w.forecast_curves(forecast)
+    asked = curves.crossJoin(spark.createDataFrame([(D(g), D(f)) for g in ("-1", "0", "3.3", "250", "700", "99999") for f in ("1", "0.8", "0")], "goal decimal(24,10), factor decimal(5,4)"))
+    got = asked.select("contract_id", "goal", "factor", w.crossing_date(F.col("curve"), "median", F.col("factor"), F.col("goal")).alias("d")).collect()
+    for r in got:
+        total, want = D(0), None
+        for d, x, _, _ in paths[r.contract_id]:
+            total += x
+            if want is None and total * r.factor >= r.goal:
+                want = d
+        assert r.d == want or (r.factor == 0 and r.goal > 0 and r.d is None), (r, want)
+
+
+def test_scenario_dates_have_no_window_over_scenario_days(spark):
+    from tests.helpers import contract, contracts, daily_run, d
+    from meterline.operators import contracts as c
+    from meterline.operators import forecast as f
+
+    terms = contracts(spark, contract())
+    burn = c.contract_burndown(terms, daily_run(spark, "2024-01-01", 20, 10), d("2024-06-30"))
+    scenarios = w.generate_scenarios(terms, default_tiers(spark))
+    plan = w.scenario_forecast(scenarios, f.linear_contract_forecast(burn, terms), terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and not any("Window" in line and "scenario_id" in line for line in plan.splitlines())
