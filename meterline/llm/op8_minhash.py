@@ -7,10 +7,10 @@
    then full sets confirm the pair. Alternating large-star and small-star joins the links.
 3. Where a band still holds several components, a few members of each are tried against
    members of its largest one, so that the exact finish has few links left to find.
-4. What is left is finished exactly: members outside the largest component of a band are
-   compared with all members of other components. A pair sharing a band is thus either in
-   one component already or has been compared, so no link between candidates is lost,
-   and copies are never expanded into all pairs.
+4. What is left is finished exactly: classes of bands that still hold several components
+   meet by their rarest shingles, so many of each that two similar sets must share one. A
+   similar pair sharing a band is thus either in one component already or has been compared.
+   Copies are never expanded into all pairs, nor pages that share a large common part.
 
 Two parity signatures differ in no more bits than the sets differ in shingles, so the
 signature check never drops a similar pair. With 32 bands of 4 rows a pair at similarity
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm.tables import Run, small, table
+from meterline.llm.tables import Run, small, small_batches, table
 from meterline.llm.text_arrays import Words, mix, pieces, windows, words
 
 BANDS, ROWS, SHINGLE, PERCENT = 32, 4, 4, 80
@@ -59,6 +59,15 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
+def digests(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, zero for empty ones."""
+    some, out = np.diff(bounds) > 0, np.zeros((2, len(bounds) - 1), _U)
+    if some.any():
+        at = bounds[:-1][some]
+        out[0, some], out[1, some] = np.add.reduceat(mix(values), at), np.add.reduceat(mix(values ^ _U(0xA5A5A5A5A5A5A5A5)), at)
+    return out[0], out[1]
+
+
 def parity(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """For each set a bitmap of 4 to 8 bits a shingle, at least 64: which places an odd number of shingles falls on."""
     size = np.diff(bounds)
@@ -82,7 +91,7 @@ def sketch(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int = RO
             some = np.diff(bounds) > 0
             at = bounds[:-1][some]
             keys = np.empty((len(at), bands), _U)
-            low, high = np.zeros(len(some), _U), np.zeros(len(some), _U)
+            low, high = digests(values, bounds)
             if len(at):
                 x = (values >> _U(32)).astype(np.uint32)
                 for b in range(bands):
@@ -90,7 +99,6 @@ def sketch(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int = RO
                     for k in range(b * rows, b * rows + rows):
                         key = mix(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(x * times[k] + plus[k], at))
                     keys[:, b] = key
-                low[some], high[some] = np.add.reduceat(mix(values), at), np.add.reduceat(mix(values ^ _U(0xA5A5A5A5A5A5A5A5)), at)
             full = np.cumsum(np.concatenate([[0], some])) * bands
             yield pa.RecordBatch.from_arrays(
                 [
@@ -104,16 +112,17 @@ def sketch(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int = RO
 
 
 def full_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """All columns of ``docs`` but the text, and the whole set of shingle hashes as ``shingles``."""
+    """All columns of ``docs`` but the text, the whole set of shingle hashes as ``shingles``, and its digest (own_low, own_high)."""
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 19):
             values, bounds = shingle_sets(words(batch["text"]), n)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), _lists(values.view(np.int64), bounds)], [*rest, "shingles"])
+            digest = (pa.array(d.view(np.int64)) for d in digests(values, bounds))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), _lists(values.view(np.int64), bounds), *digest], [*rest, "shingles", "own_low", "own_high"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return docs.select(*rest, "text").mapInArrow(run, f"{kinds}, shingles array<long>")
+    return docs.select(*rest, "text").mapInArrow(run, f"{kinds}, shingles array<long>, own_low long, own_high long")
 
 
 def similar(a: Column, b: Column, percent: int = PERCENT) -> Column:
@@ -162,14 +171,37 @@ def components(run: Run, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _confirmed(run: Run, docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b), a > b, of a stored table whose whole sets are similar. Only the texts of documents in a pair become sets."""
-    ids = run.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    sets = full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(small(ids, 16), "doc_id"), n)
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+def _sets(run: Run, docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``wanted`` (cid, any other columns) with the whole set of each class as ``shingles``, made from the texts of its first document."""
+    named = small(run.keep(wanted.join(classes, "cid").withColumnRenamed("rep", "doc_id")), 48)
+    rest = wanted.columns
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(named, "doc_id").select("text", "low", "high", *rest)
+    own = (F.col("low") == F.col("own_low")) & (F.col("high") == F.col("own_high"))  # a document id may stand for several texts
+    return full_sets(rows, n).where(own).select(*rest, "shingles")
+
+
+def _confirmed(run: Run, docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b), a > b, of a stored table whose whole sets are similar. Only the texts of classes in a pair become sets."""
+    ids = run.keep(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct())
+    sets = _sets(run, docs, classes, ids, n).dropDuplicates(["cid"])
+    left, right = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     return pairs.join(left, "a").join(right, "b").where(similar(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
 
 
+def _rarest(run: Run, sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of each of ``sets`` (cid, part, n, shingles), so many that two similar sets share one of them; those that no other set has are left out.
+
+    Sets of which at least ``percent`` of the larger is common miss no more shingles than the
+    rest: in one order of all shingles, the first n - ceil(percent n / 100) + 1 of either have one in common.
+    """
+    each = run.keep(sets.select("cid", "part", "n", F.explode("shingles").alias("s")))
+    held = each.groupBy("s").agg(F.count("*").alias("sets"))
+    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
+    ranked = each.join(held, "s").groupBy("cid", "part", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "s"))).alias("order"))  # as long as the set
+    kept = ranked.select("cid", "part", "n", F.explode(F.slice("order", F.lit(1), first)).alias("o"))
+    return kept.where("o.sets > 1").select("cid", "part", "n", F.col("o.s").alias("s"))
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text, any other columns).
 
@@ -177,55 +209,67 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     doc_id are judged by their own texts; a null doc_id is kept, with no component. An
     empty table gives an empty result.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, n, percent)
+
+
+def _near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     run = Run(spark, "minhash")
     sketches = run.keep(sketch(docs, n))
-    classes = run.keep(sketches.where("low IS NOT NULL AND doc_id IS NOT NULL").groupBy("low", "high").agg(F.min("doc_id").alias("rep")))
-    heads = sketches.join(classes, ["low", "high"]).where("doc_id = rep").dropDuplicates(["rep"])
-
-    signed = heads.select("rep", F.col("n_shingles").alias("n"), "parity")
-    banded = heads.select("rep", F.explode("bands").alias("band"))
-    shared = run.keep(banded.groupBy("band").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    whole = sketches.where("low IS NOT NULL AND doc_id IS NOT NULL")
+    # A class is a set; it has a number of its own, as one document id may stand for several sets.
+    classes = run.keep(
+        whole.groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("parity").alias("parity"), F.any_value("bands").alias("bands"))
+        .withColumn("cid", F.monotonically_increasing_id())
+    )
+    named = classes.select("cid", "rep", "low", "high")
+    signed = classes.select("cid", "n", "parity")
+    banded = classes.select("cid", F.explode("bands").alias("band"))
+    shared = run.keep(banded.groupBy("band").agg(F.min("cid").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n"))
     met = run.keep(banded.join(shared, "band"))
 
     def promising(pairs: DataFrame) -> DataFrame:
         x, y = signed.alias("x"), signed.alias("y")
-        both = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
+        both = pairs.join(x, F.col("a") == F.col("x.cid")).join(y, F.col("b") == F.col("y.cid"))
         return run.keep(both.where(may_be_similar("x", "y", percent)).select("a", "b"))
 
     # The pairs of the first round form stars: whole sets travel to the center of the star, once each.
-    first = promising(met.groupBy(F.col("rep").alias("a")).agg(F.min("center").alias("b")).where("a != b"))
-    routes = run.keep(first.select(F.col("a").alias("doc_id"), "b").unionByName(first.select(F.col("b").alias("doc_id"), "b").distinct()))
-    sets = full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(small(routes, 24), "doc_id"), n)
-    spokes = sets.where("doc_id != b").select(F.col("doc_id").alias("a"), "b", "shingles")
-    hubs = sets.where("doc_id = b").select("b", F.col("shingles").alias("hub")).dropDuplicates(["b"])
+    first = promising(met.groupBy(F.col("cid").alias("a")).agg(F.min("center").alias("b")).where("a != b"))
+    routes = run.keep(first.select(F.col("a").alias("cid"), "b").unionByName(first.select(F.col("b").alias("cid"), "b").distinct()))
+    sets = _sets(run, docs, named, routes, n)
+    spokes = sets.where("cid != b").select(F.col("cid").alias("a"), "b", "shingles")
+    hubs = sets.where("cid = b").select("b", F.col("shingles").alias("hub")).dropDuplicates(["b"])
     labels = components(run, run.keep(spokes.join(hubs, "b").where(similar(F.col("shingles"), F.col("hub"), percent)).select("a", "b")))
 
     def joined_up(more: DataFrame) -> DataFrame:
         return components(run, labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     def placed() -> DataFrame:
-        return met.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("part"))
+        return met.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("band", "cid", F.coalesce("component", "cid").alias("part"))
 
     seeds = range(TRIES)
-    parts = placed().groupBy("band", "part").agg(F.count("*").alias("n"), F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in seeds]).alias("who"))
+    parts = placed().groupBy("band", "part").agg(F.count("*").alias("n"), F.array(*[F.min_by("cid", F.xxhash64("cid", F.lit(i))) for i in seeds]).alias("who"))
     main = parts.groupBy("band").agg(F.max(F.struct("n", "part", "who")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     tries = parts.join(main, "band").where("part != main.part").select(F.explode(F.arrays_zip("who", F.col("main.who").alias("other"))).alias("t"))
     tries = tries.select(F.greatest("t.who", "t.other").alias("a"), F.least("t.who", "t.other").alias("b")).distinct()
-    labels = joined_up(run.keep(_confirmed(run, docs, promising(tries), n, percent)))
-
-    # What the tries did not settle.
-    members = placed()
-    main = members.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("part", "n").alias("main"), F.count("*").alias("parts"))
-    open_bands = run.keep(members.join(main.where("parts > 1"), "band").join(signed, "rep"))
-    x, y = open_bands.where("part != main").alias("x"), open_bands.alias("y")
-    ahead = (F.col("y.part") == F.col("y.main")) | (F.col("x.rep") > F.col("y.rep"))
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & ahead & may_be_similar("x", "y", percent))
-    pairs = run.keep(cross.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct())
-    labels = joined_up(run.keep(_confirmed(run, docs, pairs, n, percent))).withColumnRenamed("node", "rep")
-
-    named = classes.join(labels, "rep", "left").select("low", "high", F.coalesce("component", "rep").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "low", "high").join(named, ["low", "high"], "left")
+    labels = joined_up(run.keep(_confirmed(run, docs, named, promising(tries), n, percent)))
+
+    # What the tries did not settle: classes of bands that still hold several components meet by their rarest shingles.
+    members = run.keep(placed())
+    split = members.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("band")
+    unsettled = run.keep(members.join(split, "band").select("cid", "part").distinct().join(signed.select("cid", "n"), "cid"))
+    rare = run.keep(_rarest(run, _sets(run, docs, named, unsettled, n).dropDuplicates(["cid"]), percent))
+    x, y = rare.alias("x"), rare.alias("y")
+    alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    cross = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.cid") > F.col("y.cid")) & (F.col("x.part") != F.col("y.part")) & alike)
+    pairs = promising(cross.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
+    labels = joined_up(run.keep(_confirmed(run, docs, named, pairs, n, percent))).withColumnRenamed("node", "cid")
+
+    joined = run.keep(named.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = joined.join(smallest, "component").select("low", "high", "component_id")
+    out = sketches.select("doc_id", "n_shingles", "low", "high").join(known, ["low", "high"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )

@@ -140,6 +140,25 @@ def test_parity_never_hides_a_similar_pair(spark):
         assert np.unpackbits((small ^ large).view(np.uint8)).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_rows_of_one_id_and_different_texts_keep_their_links(spark):
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "x"])), (9, " ".join([*b, "x"]))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in op8_minhash.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(5, 5), (5, 5), (7, 5), (9, 5)]
+
+
+def test_a_family_below_the_limit_meets_in_no_pairs(spark, monkeypatch):
+    """Pages of one common part and endings of their own share bands, but no rare shingle."""
+    common = [f"c{i}" for i in range(140)]
+    rows = [(i, " ".join([*common, *(f"e{i}x{j}" for j in range(45))])) for i in range(300)]
+    rows.append((1000, rows[7][1] + " more"))
+    met, plain = [], op8_minhash._rarest
+    monkeypatch.setattr(op8_minhash, "_rarest", lambda run, sets, percent: (met.append(run.keep(plain(run, sets, percent))), met[-1])[1])
+    monkeypatch.setattr(op8_minhash, "TRIES", 1)
+    got = {r["doc_id"]: r["component_id"] for r in op8_minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i for i in range(300)} | {1000: 7}
+    assert met[0].groupBy("s").count().where("count > 5").count() == 0
+
 # Benchmark leaks
 
 QUESTION = "Then Anna bought 12 apples for 3 dollars each and gave Anna's brother Peter 5 of them while the others walked home along the river. How many apples did Anna keep after 12 days of rain?"
