@@ -14,8 +14,9 @@ import json
 import os
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -192,7 +193,7 @@ class Lexicon:
         sizes = np.array([len(w) for w in words])
         data = np.frombuffer(b"".join(words), np.uint8)
         begin = np.cumsum(sizes) - sizes
-        keys = np.repeat(np.arange(self.states), np.diff(self.first)).astype(np.int64) * 256 + self.label
+        keys = self.keys
         state, rank, live = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.arange(len(words))
         step = 0
         while len(live) and len(keys):
@@ -206,9 +207,18 @@ class Lexicon:
             state[live] = self.target[at]
             step += 1
         known = (state >= 0) & (np.asarray(self.final, bool)[np.maximum(state, 0)])
-        starts, ids = np.asarray(self.starts), np.asarray(self.ids).tolist()
+        starts, ids = self.plain
         return [tuple(ids[starts[r] : starts[r + 1]]) if k else None for k, r in zip(known.tolist(), rank.tolist())]
 
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """State and label of every edge, in order."""
+        return np.repeat(np.arange(self.states), np.diff(self.first)).astype(np.int64) * 256 + self.label
+
+    @cached_property
+    def plain(self) -> tuple[list[int], list[int]]:
+        return np.asarray(self.starts).tolist(), np.asarray(self.ids).tolist()
+
     def save(self, path: str) -> None:
         sizes = np.array([len(getattr(self, n)) for n, _ in self.FIELDS], np.int64)
         with open(path, "wb") as f:
@@ -228,12 +238,12 @@ class Lexicon:
 
 
 class Coder:
-    """Encoder and decoder of one worker."""
+    """Encoder and decoder of one worker. Ids of remembered words are held as bytes of 32-bit numbers."""
 
     def __init__(self, vocab: str, lexicon: str | None):
-        self.merger = Merger(vocab)
+        self.merger = merger_of(vocab)
         self.lexicon = Lexicon.open(SparkFiles.get(lexicon)) if lexicon else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
@@ -242,7 +252,7 @@ class Coder:
         raw = [w.encode() for w in fresh]
         found = self.lexicon.find_all(raw) if self.lexicon and raw else [None] * len(raw)
         merge = self.merger.merge
-        self.known.update((w, ids if ids is not None else merge(r)) for w, r, ids in zip(fresh, raw, found))
+        self.known.update((w, array("i", ids if ids is not None else merge(r)).tobytes()) for w, r, ids in zip(fresh, raw, found))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         merger = self.merger
@@ -255,20 +265,20 @@ class Coder:
             self.learn(need)
         known, out = self.known.__getitem__, []
         for doc in split:
-            ids: list[int] = []
-            for part in doc:
-                if isinstance(part, str):
-                    ids.append(merger.special[part])
-                else:
-                    ids.extend(chain.from_iterable(map(known, part)))
-            out.append(ids)
+            ids = b"".join(array("i", [merger.special[part]]).tobytes() if isinstance(part, str) else b"".join(map(known, part)) for part in doc)
+            out.append(np.frombuffer(ids, np.int32).tolist())
         return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.merger.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
+def merger_of(vocab: str) -> Merger:
+    return Merger(vocab)
+
+
+@lru_cache(maxsize=1)
 def coder(vocab: str, lexicon: str | None) -> Coder:
     return Coder(vocab, lexicon)
 
@@ -295,7 +305,7 @@ def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
 
 def compile_lexicon(docs: DataFrame, vocab: str, max_words: int = MAX_WORDS) -> str:
     """Compile the frequent words, as they stand after a space, and hand the file to all executors. Returns the file's name."""
-    merger = Merger(vocab)
+    merger = merger_of(vocab)
     entries = {}
     for row in frequent_words(docs, max_words).collect():  # at most max_words short words
         word = b" " + bytes(row["word"])
