@@ -27,11 +27,12 @@ from meterline.llm.tables import Run, small, table
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Places of a list looked at in one step, and parts that search side by side.
-STRIDE, ABREAST = 8, 4096
+STRIDE, ABREAST = 16, 2048
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.einsum("...i,...i->...", a - b, a - b)
+    apart = a - b
+    return np.einsum("...i,...i->...", apart, apart)
 
 
 @dataclass
@@ -50,34 +51,39 @@ class Codebook:
 
     def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each point the index of its nearest entry, the lowest of equally near ones, and the squared distance."""
-        done = [self._search(points[i : i + ABREAST]) for i in range(0, len(points), ABREAST)]
+        entries = self.entries
+        most = max((int(np.abs(x).max()) for x in (points, entries) if x.size), default=0)
+        if entries.shape[1] * (2 * most) ** 2 < 2**31:  # the same numbers in half the memory
+            points, entries = points.astype(np.int32), entries.astype(np.int32)
+        done = [self._search(points[i : i + ABREAST], entries) for i in range(0, len(points), ABREAST)]
         return tuple(np.concatenate(x) if done else np.empty(0, np.int64) for x in (zip(*done) if done else ((), ())))
 
-    def _search(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, k = len(points), len(self.entries)
-        at, best = np.zeros(n, np.int64), squares(points, self.entries[0])
-        seen = np.zeros((n, k), bool)
-        seen[:, 0] = True
+    def _search(self, points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, k = len(points), len(entries)
+        at, best = np.zeros(n, np.int64), squares(points, entries[0]).astype(np.int64)
+        seen = np.zeros(n * k, bool)
+        seen[::k] = True
         place, live = np.zeros(n, np.int64), np.arange(n)
+        lists, apart, step = self.lists.reshape(-1), self.apart.reshape(-1), np.arange(STRIDE)[:, None]
         while len(live):
-            here = at[live][:, None]
-            columns = place[live][:, None] + np.arange(STRIDE)
+            # A row for each place of the list, a column for each point.
+            columns = place[live] + step
             inside = columns < k
-            columns = np.minimum(columns, k - 1)
-            entry = self.lists[here, columns]
-            near = inside & (self.apart[here, columns] <= 4 * best[live][:, None])
-            row, column = np.nonzero(near & ~seen[live[:, None], entry])
-            met = entry[row, column]
-            seen[live[row], met] = True
+            here = at[live] * k + np.minimum(columns, k - 1)
+            entry = lists[here]
+            near = inside & (apart[here] <= 4 * best[live])
+            marks = live * k + entry
+            new = np.flatnonzero(near & ~seen[marks])
+            seen[marks.reshape(-1)[new]] = True
             far = np.full(entry.shape, np.iinfo(np.int64).max)
-            far[row, column] = squares(points[live[row]], self.entries[met])
-            least = far.min(axis=1)
-            name = np.where(far == least[:, None], entry, k).min(axis=1)
+            far.reshape(-1)[new] = squares(points[live[new % len(live)]], entries[entry.reshape(-1)[new]])
+            least = far.min(axis=0)
+            name = np.where(far == least, entry, k).min(axis=0)
             jump = (least < best[live]) | ((least == best[live]) & (name < at[live]))
             moved = live[jump]
             at[moved], best[moved], place[moved] = name[jump], least[jump], 0
             place[live[~jump]] += STRIDE
-            live = live[jump | near.all(axis=1)]
+            live = live[jump | near.all(axis=0)]
         return at, best
 
 
