@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meterline.operators import anomalies as n
 from meterline.operators import reports as a
+from meterline.operators import rollup
 from meterline.operators.cost import cost_columns, price_interval_join
 from meterline.registry.base import AS_OF, Query, ago, days, extend, grouped, last, month, num, r, ratio, rd, sql
 from meterline.registry.cost import DAY_JOIN, JOIN
@@ -136,7 +137,7 @@ QUERIES = [
     Query("top_skus", lambda s: a.top_skus(s.dashboard, s.as_of), sql("dashboard", TOP_SKU)),
     Query("top_jobs", lambda s: a.top_jobs(s.dashboard, s.as_of), sql("dashboard", TOP_JOB)),
     Query("top_users", lambda s: a.top_users(s.dashboard, s.as_of), sql("dashboard", TOP_USER)),
-    Query("top_consumers_report", lambda s: a.top_consumers_report(*[f(s.dashboard, s.as_of) for f in (a.top_workspaces, a.top_skus, a.top_jobs, a.top_users)]), sql(
+    Query("top_consumers_report", lambda s: rollup.top_consumers(s.rollup, s.as_of), sql(
         "dashboard", f"""SELECT 'TOP WORKSPACES' AS report_section, workspace_id AS name, cloud_provider, active_days, unique_skus, total_dbu, total_cost, avg_daily_cost FROM ({TOP_WS})
  UNION ALL SELECT 'TOP SKUS', sku_name, cloud_provider, workspace_count, NULL, total_usage, total_cost, NULL FROM ({TOP_SKU})
  UNION ALL SELECT 'TOP JOBS', COALESCE(job_name, job_id), cloud_provider, run_days, NULL, total_dbu, total_cost, avg_run_cost FROM ({TOP_JOB})
@@ -181,13 +182,13 @@ QUERIES = [
     # monthly
     Query("prev_month_range", _month_range, sql(
         "dashboard", f"SELECT DATE '2001-05-01' AS month_start, DATE '2001-05-31' AS month_end, COUNT(*) AS records FROM dashboard WHERE {PREV_MONTH}")),
-    Query("monthly_stats", lambda s: a.monthly_stats(s.dashboard, s.as_of), sql("dashboard", MONTHLY)),
+    Query("monthly_stats", lambda s: rollup.monthly_stats(s.rollup, s.as_of), sql("dashboard", MONTHLY)),
     Query("product_breakdown", lambda s: a.product_breakdown(s.dashboard, s.as_of), sql(
         "dashboard", f"SELECT product_category, {r('SUM(actual_cost)')} AS cost, {rd(ratio('SUM(actual_cost) * 100', 'SUM(SUM(actual_cost)) OVER ()'), 1)} AS cost_pct FROM dashboard WHERE {PREV_MONTH} GROUP BY product_category")),
     Query("month_over_month", lambda s: a.month_over_month(s.dashboard, s.as_of), sql(
         "dashboard", f"""SELECT month, cloud_provider, CAST(m AS DOUBLE) AS monthly_cost, CAST(p AS DOUBLE) AS prev_month_cost, {r('m - p')} AS cost_change, {rd(ratio('m - p', 'p') + ' * 100', 1)} AS pct_change
  FROM (SELECT *, LAG(m) OVER (PARTITION BY cloud_provider ORDER BY month) AS p FROM (SELECT {month('usage_date')} AS month, cloud_provider, ROUND(SUM(actual_cost), 2) AS m FROM dashboard WHERE {last(90)} GROUP BY ALL)) WHERE p IS NOT NULL""")),
-    Query("monthly_report", lambda s: a.monthly_report(s.dashboard, s.as_of), sql(
+    Query("monthly_report", lambda s: rollup.monthly_report(s.rollup, s.as_of), sql(
         "dashboard", f"SELECT DATE '2001-05-01' AS report_month, 'MONTHLY SUMMARY' AS section, m.* FROM ({MONTHLY}) m")),
     Query("monthly_change_total", lambda s: a.monthly_change_total(s.dashboard, s.as_of), sql(
         "dashboard", f"""SELECT month, {r('m')} AS cost, {r('p')} AS prev_cost, {rd(ratio('m - p', 'p') + ' * 100', 1)} AS month_over_month_pct

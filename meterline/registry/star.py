@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from meterline.operators import contracts as contract_ops
-from meterline.operators import cost, forecast, whatif
+from meterline.operators import cost, forecast, rollup, whatif
 from meterline.plans import commitment as commitment_plan
 from meterline.session import shared_folder, stored
 from meterline.sources.readers import list_prices, usage_feed
@@ -255,6 +255,13 @@ class Star:
         return cost.dashboard_data(self.usage, self.prices, self.accounts, self.as_of, None)
 
     # stored stage results
+    @cached_property
+    def rollup(self) -> rollup.Rollup:
+        """Day measures and bitmaps of the dashboard, from one pass over it."""
+        cells = self.keep("rollup_cells", lambda: rollup.cells(self.dashboard))
+        ids = {m: self.keep(f"rollup_{m}", lambda m=m: rollup.dictionary(cells, m)) for m in rollup.MEMBERS}
+        return rollup.Rollup(self.keep("rollup_measures", lambda: rollup.measures(cells)), self.keep("rollup_members", lambda: rollup.members(cells, ids)))
+
     @cached_property
     def burndown(self) -> DataFrame:
         return self.keep("contract_burndown", lambda: contract_ops.contract_burndown(self.contracts, self.long_history, self.as_of))

@@ -6,7 +6,7 @@ snapshots, and is compared with the statement of the plain operator.
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from meterline.functions.columns import month_of
 from meterline.operators import upkeep as u
 from meterline.plans.burndown import BurndownStore
+from meterline.plans.daily_checks import DayChecks, checks
 from meterline.registry import contracts, cost, quality, sources
-from meterline.registry.base import Query, ago, num, sql
+from meterline.registry.base import AS_OF, Query, ago, days, last, num, r, ratio, rd, sql
+from meterline.registry.cost import JOIN
 from meterline.registry.star import Star
 from meterline.sources.stored_table import StoredTable, bucket
 from meterline.streaming.corrections import net_corrections_stream, net_of, net_table
@@ -95,6 +97,22 @@ def _restored(s: Star) -> DataFrame:
     return table.read().drop("bucket")
 
 
+def _checked(s: Star) -> DataFrame:
+    """All days at first, with the last ten still incomplete; then those ten again, as a daily run would."""
+    store, middle = DayChecks(s.spark, _folder(s, "checks")), s.as_of - timedelta(days=10)
+    store.refresh(s.usage.filter((F.col("usage_date") < F.lit(middle)) | (F.length("sku_name") % 2 == 0)), s.prices, date(2000, 1, 1), s.as_of)
+    store.refresh(s.usage, s.prices, middle, s.as_of)
+    return checks(store.read(), s.as_of)
+
+
+CHECKS = "\nUNION ALL\n".join(f"""SELECT CAST({w} AS BIGINT) AS window_days, COUNT(*) AS total_records, MIN(u.usage_date) AS first_date, MAX(u.usage_date) AS last_date, COUNT(DISTINCT u.usage_date) AS days_with_data,
+ MAX(u.usage_date) FILTER (u.record_type = 'ORIGINAL') AS latest_original, {days("MAX(u.usage_date) FILTER (u.record_type = 'ORIGINAL')", AS_OF)} AS days_behind,
+ CASE WHEN {days("MAX(u.usage_date) FILTER (u.record_type = 'ORIGINAL')", AS_OF)} <= 2 THEN 'OK' WHEN {days("MAX(u.usage_date) FILTER (u.record_type = 'ORIGINAL')", AS_OF)} <= 5 THEN 'WARNING' ELSE 'CRITICAL' END AS status,
+ {rd(ratio("100 * COUNT(p.effective_price) FILTER (u.record_type = 'ORIGINAL')", "COUNT(*) FILTER (u.record_type = 'ORIGINAL')"))} AS price_coverage_pct,
+ COUNT(*) FILTER (u.record_type = 'ORIGINAL' AND (u.usage_quantity <= 0 OR u.usage_quantity * p.effective_price <= 0)) AS non_positive,
+ {r("SUM(u.usage_quantity) FILTER (u.record_type = 'ORIGINAL')")} AS total_dbu, {r("SUM(u.usage_quantity * p.effective_price) FILTER (u.record_type = 'ORIGINAL')")} AS total_cost,
+ {w} + 1 - COUNT(DISTINCT u.usage_date) AS missing_days FROM usage u {JOIN} WHERE {last(w, 'u.usage_date')}""" for w in (7, 30, 365))
+
 QUERIES = [
     Query("burndown_refresh", _refreshed, _statement(contracts, "contract_burndown")),
     Query("net_corrections_stream", _streamed, _statement(cost, "net_corrections")),
@@ -102,5 +120,6 @@ QUERIES = [
     Query("merge_scenarios_stored", _merged, sql(
         "all_sb", f"SELECT scenario_id, usage_date, {num('simulated_cumulative', 7)}, CASE WHEN usage_date <= {ago(60)} THEN 1 ELSE -1 END * CAST(ROUND(CAST(simulated_daily_cost AS DECIMAL(30,10)), 7) AS DOUBLE) AS simulated_daily_cost FROM all_sb"), 7),
     Query("append_once", _ledger, _statement(sources, "append_results")),
+    Query("daily_checks", _checked, sql("usage prices", CHECKS)),
     Query("snapshot_manifest", _restored, _statement(sources, "snapshot_restore")),
 ]
