@@ -15,8 +15,9 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,20 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
+_UNPRINTABLE = bytes(b for b in range(256) if not (32 <= b < 127 or b in b"\t\r\n"))
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ONE_ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{18,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+\r?\n)++[A-Za-z0-9+/]+={0,2}")
+_SEPARATOR = re.compile(r"[/_+-]")
 _URL_SAFE = str.maketrans("-_", "+/")
-#: Compressed data is inflated and scanned in parts of this size, each with the end of the last before it.
+#: Compressed data is inflated and scanned in parts of this size. Each part has the end of the last before it: so much of it, or
+#: the whole of an encoded run that is still open there, up to a part. A longer run is cut, and found again by its alignment.
 PART_BYTES, OVERLAP = 4 << 20, 4096
+_RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\"
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -80,13 +86,10 @@ def _replaced(layer: Layer, runs: list[tuple[int, int, list[tuple[str, int, int]
 def _percent(layer: Layer) -> Iterator[Layer]:
     runs = []
     for m in _PERCENT.finditer(layer.text):
-        try:
-            plain = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-        except UnicodeDecodeError:
-            continue
         chars, at = [], m.start()
-        for c in plain:
-            chars.append((c, at, at + 3 * len(c.encode("utf-8"))))
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            lone = 0xDC80 <= ord(c) < 0xDD00  # a byte that is not UTF-8 stands for itself
+            chars.append((chr(ord(c) - 0xDC00) if lone else c, at, at + 3 * (1 if lone else len(c.encode("utf-8")))))
             at = chars[-1][2]
         runs.append((m.start(), m.end(), chars))
     if runs:
@@ -109,64 +112,119 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
         yield _replaced(layer, runs)
 
 
-def _inflated(raw: bytes) -> Iterator[bytes]:
-    """The parts of compressed data, each decoded with bounded memory; nothing where it is not compressed."""
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        d = zlib.decompressobj(47)
-    elif raw[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        d = lzma.LZMADecompressor()
-    else:
-        return
-    feed = raw
-    try:
-        while True:
-            part = d.decompress(feed, PART_BYTES)
-            feed = getattr(d, "unconsumed_tail", b"")
-            if not part:
+def _decompressor(head: bytes) -> Callable | None:
+    """What inflates data that begins so."""
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] & 0x8F == 8 and (head[0] * 256 + head[1]) % 31 == 0):
+        return lambda: zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00" or head[:3] == b"\x5d\x00\x00":
+        return lzma.LZMADecompressor
+    return None
+
+
+def _inflated(parts: Iterable[bytes], new: Callable) -> Iterator[bytes]:
+    """Inflated parts of bounded size, member after member; what follows the last whole member is left."""
+    d, fed = new(), False
+    for feed in parts:
+        while feed or fed:
+            if d.eof:
+                feed = (d.unused_data or feed).lstrip(b"\0") if fed else feed
+                d, fed = new(), False
+                if not feed:
+                    break
+            try:
+                out = d.decompress(feed, PART_BYTES)
+            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
                 return
-            yield part
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return
+            fed = True
+            if out:
+                yield out
+            if d.eof:
+                feed = b""
+                continue
+            feed = getattr(d, "unconsumed_tail", b"")
+            if not feed and len(out) < PART_BYTES and getattr(d, "needs_input", True):
+                break
 
 
-def _as_text(raw: bytes) -> str | None:
+def _raw_deflated(raw: bytes) -> Iterator[bytes]:
+    """Deflated data without any header: taken for that only if it goes through to its end, or fills a part."""
+    d = zlib.decompressobj(-15)
     try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    good = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and good >= 0.9 * len(text) else None
-
-
-def _from_bytes(raw: bytes, start: int, end: int) -> Iterator[Layer]:
-    """Layers of decoded bytes: the text they are, or what they inflate to, as deep as it goes."""
-    text = _as_text(raw)
-    if text is not None:
-        yield Layer(text, np.full(len(text), start), np.full(len(text), end))
+        first = d.decompress(raw, PART_BYTES)
+    except zlib.error:
         return
-    before = b""
-    for part in _inflated(raw):
-        whole = before + part
-        if not before and _as_text(part[:64]) is None:
-            yield from _from_bytes(part, start, end)
-        text = whole.decode("utf-8", "ignore")
+    if first and (len(first) == PART_BYTES or (d.eof and not d.unused_data)):
+        yield from _inflated([raw], lambda: zlib.decompressobj(-15))
+
+
+def _reading(raw: bytes, whole: bool) -> str:
+    """Bytes as text: UTF-16 if it looks like it, UTF-8 if it is, otherwise each byte a character. The ends of a part may cut a character."""
+    some = raw[:4096]
+    half = max(len(some) // 2, 1)
+    for zeros, kind in ((some[1::2].count(0), "utf-16-le"), (some[::2].count(0), "utf-16-be")):
+        if zeros > 0.4 * half and len(some) >= 8:
+            return raw.decode(kind, "ignore")
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError as error:
+        return raw.decode("utf-8", "ignore") if not whole and _plain(raw[error.start : error.start + 4096]) >= 0.9 else raw.decode("latin-1")
+
+
+def _plain(raw: bytes) -> float:
+    """The share of printable ASCII and white space in the first bytes."""
+    some = raw[:4096]
+    return len(some.translate(None, _UNPRINTABLE)) / len(some) if some else 0.0
+
+
+def _from_bytes(raw: Iterable[bytes], start: int, end: int) -> Iterator[Layer]:
+    """Layers of decoded bytes, given in parts: what they inflate to, as deep as it goes, or the text they are."""
+    parts, head = iter(raw), b""
+    for part in parts:
+        head += part
+        if len(head) >= 64:
+            break
+    new, before, whole = _decompressor(head), b"", True
+    if new:
+        inside = _inflated(chain([head], parts), new)
+        first = next(inside, None)
+        if first is not None:
+            yield from _from_bytes(chain([first], inside), start, end)
+            return
+    for part in chain([head], parts):
+        known = before + part
+        text = _reading(known, whole)
         if text:
             yield Layer(text, np.full(len(text), start), np.full(len(text), end))
-        before = whole[-OVERLAP:]
+        tail = known[-PART_BYTES:]
+        size = max(len(tail) - len(tail.rstrip(_RUN)), OVERLAP)
+        before, whole = known[-(size + size % 2) :], False
+
+
+def _decoded(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return binascii.a2b_base64(run.translate(_URL_SAFE) + "=" * (-len(run) % 4))
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = binascii.a2b_base64(run.translate(_URL_SAFE) + "=" * (-len(run) % 4))
-        except binascii.Error:
+    """A run is read from its start; where that gives no plain text, also from the places at which a prefix glued to it may end."""
+    runs = [(m.start(), m.end(), m[0].rstrip("=")) for m in _BASE64.finditer(layer.text)]
+    runs += [(m.start(), m.end(), re.sub(r"\s", "", m[0]).rstrip("=")) for m in _WRAPPED.finditer(layer.text)]
+    for start, end, run in runs:
+        at, first = layer.at(start, end), _decoded(run)
+        if _plain(first) >= 0.95:
+            yield from _from_bytes([first], *at)
             continue
-        yield from _from_bytes(raw, *layer.at(m.start(), m.end()))
+        found = False
+        for skip in sorted({0, 1, 2, 3, *(m.end() for m in _SEPARATOR.finditer(run[:16]))}):
+            raw = _decoded(run[skip:]) if skip else first
+            if _decompressor(raw) or _plain(raw) >= 0.7:
+                found = True
+                yield from _from_bytes([raw], *at)
+        if not found:
+            yield from _from_bytes([first], *at)
+            yield from _from_bytes(_raw_deflated(first), *at)
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
