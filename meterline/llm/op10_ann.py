@@ -2,9 +2,11 @@
 
 Trees are grown on a bounded sample of the vectors; every vector is then placed in a leaf
 of each tree. A query walks all trees through one priority queue, always opening the
-node whose border it is closest to, until it has reached its share of the leaves. Leaves are the
-join key: vectors and queries of a leaf meet in one group and the best of it are scored exactly. Equal
-vectors are one candidate with its few smallest ids, and equal queries search once.
+node whose border it is closest to, until it has reached its share of the leaves. Leaves are dealt
+over parts. A vector or query is sent once to each part that holds leaves of it; there queries stream
+past the vectors, the candidates of the opened leaves are scored exactly, and only the best of all
+leaves of the part go on. Equal vectors are one candidate with its few smallest ids, and equal
+queries search once.
 """
 
 from __future__ import annotations
@@ -27,6 +29,11 @@ TREES, LEAF, NEAREST, EVERY = 8, 256, 5, 50
 SHARE, VISITS = 0.12, 64
 #: The trees are grown on at most so many vectors, those with the least hash of their id.
 SAMPLE = 20_000
+#: Vectors of a leaf beyond so many are cut into blocks.
+BLOCK = 16_384
+#: A part holds about so many bytes of vectors: the number of parts follows the table.
+PART_BYTES = 32 << 20
+MEETING = "part long, asks boolean, id long, ids array<long>, v array<double>, cells array<long>"
 
 
 @dataclass
@@ -114,7 +121,101 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    """The vectors as rows, each times a power of two that brings its largest component near 1: no square overflows or vanishes, cosines stay."""
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    _, exponent = np.frexp(np.abs(rows).max(axis=1, initial=0, keepdims=True))
+    return np.ldexp(rows, -exponent)
+
+
+def by_part(owners: np.ndarray, cells: np.ndarray, parts: int, ids: pa.Array, same: pa.Array, v: pa.Array, asks: bool) -> pa.RecordBatch:
+    """One row for each owner and part, with the cells of that owner in that part: a vector is sent once to a part, whatever it shares there."""
+    part = (cells * 0x9E3779B1 >> 8) % parts
+    order = np.lexsort((cells, part, owners))
+    owners, part, cells = owners[order], part[order], cells[order]
+    first = np.flatnonzero(np.diff(owners, prepend=-1) | np.diff(part, prepend=-1))
+    own = pa.array(owners[first])
+    bounds = pa.array(np.append(first, len(cells)).astype(np.int32))
+    columns = [pa.array(part[first]), pa.array(np.full(len(first), asks)), ids.take(own), same.take(own), v.take(own), pa.ListArray.from_arrays(bounds, pa.array(cells))]
+    return pa.RecordBatch.from_arrays(columns, ["part", "asks", "id", "ids", "v", "cells"])
+
+
+def meet(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The ``most`` nearest vectors of each query within each part, over all cells the query opens there.
+
+    Rows come by part, vectors before queries. The vectors of one part are held, their number
+    is bounded by the number of parts; queries stream by in blocks.
+    """
+    part, held, cells = None, [], None
+    for batch in batches:
+        keys = batch["part"].to_numpy() * 2 + batch["asks"].to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.diff(keys, prepend=-1, append=-1))
+        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            at, asks = divmod(int(keys[start]), 2)
+            if at != part:
+                part, held, cells = at, [], None
+            rows = batch.slice(start, stop - start)
+            if not asks:
+                held.append(rows)
+                continue
+            if cells is None:
+                cells = Cells(held)
+            for block in range(0, rows.num_rows, 256):
+                yield cells.nearest(rows.slice(block, 256), most)
+
+
+class Cells:
+    """The vectors of one part by cell."""
+
+    def __init__(self, held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).combine_chunks() if held else None
+        self.count = table.num_rows if held else 0
+        if not self.count:
+            return
+        column = {name: table[name].chunk(0) for name in ("id", "ids", "v", "cells")}
+        self.ids, self.reps, self.v = column["ids"], column["id"].to_numpy(), matrix(column["v"])
+        self.norm = np.sqrt((self.v * self.v).sum(axis=1))
+        cells, rows = flat(column["cells"])
+        order = np.argsort(cells, kind="stable")
+        self.rows = rows[order]
+        self.names, self.first = np.unique(cells[order], return_index=True)
+        self.stop = np.append(self.first[1:], len(rows))
+
+    def nearest(self, queries: pa.RecordBatch, most: int) -> pa.RecordBatch:
+        out = [np.empty(0, int)], [np.empty(0, int)]
+        if self.count:
+            q = matrix(queries["v"])
+            q_norm = np.sqrt((q * q).sum(axis=1))
+            cells, asking = flat(queries["cells"])
+            order = np.argsort(cells, kind="stable")
+            cells, asking = cells[order], asking[order]
+            names, first = np.unique(cells, return_index=True)
+            place = np.searchsorted(self.names, names)
+            for n, p, a, b in zip(names.tolist(), place.tolist(), first.tolist(), [*first[1:].tolist(), len(cells)]):
+                if p == len(self.names) or self.names[p] != n:
+                    continue
+                c, who = self.rows[self.first[p] : self.stop[p]], asking[a:b]
+                near = (q[who] / q_norm[who, None]) @ (self.v[c] / self.norm[c, None]).T
+                keep = min(most, len(c))
+                least = np.partition(near, len(c) - keep, axis=1)[:, len(c) - keep]
+                i, j = np.nonzero(near >= least[:, None] - 1e-9)
+                out[0].append(who[i])
+                out[1].append(c[j])
+        pairs = np.unique(np.stack([np.concatenate(out[0]), np.concatenate(out[1])]), axis=1)
+        rows, cols, scores = pairs[0], pairs[1], np.empty(0)
+        if len(rows):
+            scores = (self.v[cols] * q[rows]).sum(axis=1) / (self.norm[cols] * q_norm[rows])
+            order = np.lexsort((self.reps[cols], -scores, rows))
+            rows, cols, scores = rows[order], cols[order], scores[order]
+            kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < most
+            rows, cols, scores = rows[kept], cols[kept], scores[kept]
+        found = pa.array(cols)
+        reps, same = (pa.array(self.reps).take(found), self.ids.take(found)) if self.count else (pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays([queries["id"].take(pa.array(rows)), reps, same, pa.array(scores)], ["q", "rep", "ids", "score"])
+
+
+def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all lists, and the row each comes from."""
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -154,39 +255,30 @@ def nearest(vectors: DataFrame, *, every: int = EVERY, k: int = NEAREST, trees:
     reach = max(visits, math.ceil(share * forest.size))
     shared = spark.sparkContext.broadcast(forest)  # bounded by the sample
 
+    # A leaf that outgrew the sample is cut into blocks by a hash of the id; a query opens all of them.
+    cuts = max(1, math.ceil(total * trees / max(forest.size, 1) / BLOCK))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * trees * width * 8 / PART_BYTES))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = shared.value.leaves(unit(matrix(batch["v"])))
-            for t in range(at.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(at[:, t]), batch["rep"], batch["ids"], batch["v"]], ["leaf", "rep", "ids", "v"])
+            reps = batch["rep"].to_numpy()
+            cells = shared.value.leaves(unit(matrix(batch["v"]))) * cuts + ((reps * 0x9E3779B1 >> 8) % cuts)[:, None]
+            owners = np.repeat(np.arange(len(reps)), cells.shape[1])
+            yield by_part(owners, cells.ravel(), parts, batch["rep"], batch["ids"], batch["v"], False)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 opened = shared.value.search(unit(matrix(part["v"])), reach)
-                owner = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in opened]))
-                yield pa.RecordBatch.from_arrays([pa.array([x for own in opened for x in own], pa.int64()), part["q"].take(owner), part["v"].take(owner)], ["leaf", "q", "v"])
-
-    def meet(found: pa.Table, queries: pa.Table) -> pa.Table:
-        rows = cols = np.empty(0, int)
-        scores = np.empty(0)
-        if found.num_rows and queries.num_rows:
-            c, q, reps = matrix(found["v"].combine_chunks()), matrix(queries["v"].combine_chunks()), found["rep"].to_numpy()
-            c_norm, q_norm = np.sqrt((c * c).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-            near, most = (q / q_norm[:, None]) @ (c / c_norm[:, None]).T, min(k + 1, len(c))
-            least = np.partition(near, len(c) - most, axis=1)[:, len(c) - most]
-            rows, cols = np.nonzero(near >= least[:, None] - 1e-9)
-            scores = (c[cols] * q[rows]).sum(axis=1) / (c_norm[cols] * q_norm[rows])
-            order = np.lexsort((reps[cols], -scores, rows))
-            rows, cols, scores = rows[order], cols[order], scores[order]
-            kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < most
-            rows, cols, scores = rows[kept], cols[kept], scores[kept]
-        return pa.table([queries["q"].take(pa.array(rows)), found["rep"].take(pa.array(cols)), found["ids"].take(pa.array(cols)), pa.array(scores)], names=["q", "rep", "ids", "score"])
+                owners = np.repeat(np.arange(part.num_rows), [len(x) * cuts for x in opened])
+                cells = (np.array([x for own in opened for x in own], np.int64)[:, None] * cuts + np.arange(cuts)).ravel()
+                none = pa.nulls(part.num_rows, pa.list_(pa.int64()))
+                yield by_part(owners, cells, parts, part["q"], none, part["v"], True)
 
-    index = distinct.select("rep", "ids", "v").mapInArrow(place, "leaf long, rep long, ids array<long>, v array<double>")
-    walks = searches.select("q", "v").mapInArrow(walk, "leaf long, q long, v array<double>")
-    met = index.groupBy("leaf").cogroup(walks.groupBy("leaf")).applyInArrow(meet, "q long, rep long, ids array<long>, score double")
+    index = distinct.select("rep", "ids", "v").mapInArrow(place, MEETING)
+    walks = searches.select("q", "v").mapInArrow(walk, MEETING)
+    met = index.union(walks).repartition(parts, "part").sortWithinPartitions("part", "asks").mapInArrow(lambda batches: meet(batches, k + 1), "q long, rep long, ids array<long>, score double")
     one = met.groupBy("q", "rep").agg(F.any_value("ids").alias("ids"), F.max("score").alias("score"))
     top = one.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("place") <= k + 1)
     pairs = asked.select("query_id", "q").join(top.select("q", "score", F.explode("ids").alias("vec_id")), "q").where("vec_id != query_id")

@@ -392,6 +392,32 @@ def test_few_neighbours(spark):
     assert op10_ann.nearest(table.limit(1)).count() == 0
 
 
+def test_neighbours_of_any_magnitude(spark):
+    tiny, huge = [1e-170, 2e-170], [1e200, 2e200]
+    table = spark.createDataFrame([(0, tiny), (1, huge), (2, [2.0, 1.0]), (50, huge), (51, [5e-324, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in op10_ann.nearest(table).collect()}
+    assert [got[0, i][0] for i in (1, 2, 3, 4)] == [1, 50, 2, 51] and [got[50, i][0] for i in (1, 2, 3, 4)] == [0, 1, 2, 51]
+    assert got[0, 1][1] == pytest.approx(1) and got[0, 3][1] == pytest.approx(0.8)
+
+
+def test_neighbours_in_cut_leaves_and_many_parts(spark, monkeypatch):
+    """Leaves beyond a block and parts beyond the shuffle's give the same rows; a query meets each part once."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 12)) * 4
+    vectors = centres[rng.integers(0, 40, 2500)] + rng.standard_normal((2500, 12))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    options = dict(leaf=60, share=0.05, visits=30)
+    whole = sorted(op10_ann.nearest(table, **options).collect())
+    monkeypatch.setattr(op10_ann, "BLOCK", 16)
+    monkeypatch.setattr(op10_ann, "PART_BYTES", 20_000)
+    assert sorted(op10_ann.nearest(table, **options).collect()) == whole
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit[::50] @ unit.T
+    near[np.arange(50), np.arange(0, 2500, 50)] = -2
+    exact = {(q * 50, int(c)) for q, row in enumerate(near) for c in np.argsort(-row)[:5]}
+    assert len(exact & {(r["query_id"], r["vec_id"]) for r in whole}) >= 0.9 * len(exact)
+
+
 def test_words_split_like_bytes():
     texts = ["", " a b ", "x", " y z\x1c", "", "é\tü", "  "]
     found = words(pa.array(texts, pa.large_string()))
