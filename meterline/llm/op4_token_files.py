@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterline.llm.tables import Run, small, table
-from meterline.llm.text_arrays import pieces
+from meterline.llm.text_arrays import pieces, resident
 
 END_ID = 2
 BLOCK, CHUNK_IDS = 16384, 1 << 18
@@ -103,9 +102,8 @@ class WordCoder:
         return [b"".join(map(get, ws)) for ws in split]
 
 
-@lru_cache(maxsize=2)
 def word_coder(path: str) -> WordCoder:
-    return WordCoder(path)
+    return resident(("words", path), lambda: WordCoder(path))
 
 
 def to_planes(ids: np.ndarray, kind: str, level: int = 3) -> tuple[list[int], bytes]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm.tables import table
-from meterline.llm.text_arrays import pieces, plain_words
+from meterline.llm.text_arrays import pieces, plain_words, resident
 
 MAX_WORDS = 50_000
 #: Words a worker remembers; it forgets all of them beyond that.
@@ -278,9 +278,8 @@ def merger_of(vocab: str) -> Merger:
     return Merger(vocab)
 
 
-@lru_cache(maxsize=1)
 def coder(vocab: str, lexicon: str | None) -> Coder:
-    return Coder(vocab, lexicon)
+    return resident(("bpe", vocab, lexicon), lambda: Coder(vocab, lexicon))
 
 
 def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:

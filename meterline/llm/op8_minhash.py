@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm.tables import Run, small, small_batches, table
-from meterline.llm.text_arrays import Words, mix, pieces, windows, words
+from meterline.llm.text_arrays import Words, mix, pieces, vacate, windows, words
 
 BANDS, ROWS, SHINGLE, PERCENT = 32, 4, 4, 80
 #: So many members of each component of a band are tried against its largest one before the exact finish.
@@ -74,8 +74,11 @@ def parity(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     bits = np.where(size > 0, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(4 * size, 1))).astype(int)), 0)
     ends = np.cumsum(bits)
     place = np.repeat(ends - bits, size) + (values & np.repeat(bits - 1, size).astype(_U)).astype(np.int64)
-    odd = np.bincount(place, minlength=int(ends[-1]) if len(ends) else 0) & 1
-    flat = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+    place.sort()
+    runs = np.flatnonzero(np.diff(place, prepend=-1))
+    odd = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    odd[place[runs[np.diff(runs, append=len(place)) % 2 == 1]]] = True
+    flat = np.packbits(odd, bitorder="little").view("<i8")
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends // 64]).astype(np.int32)), pa.array(flat))
 
 
@@ -86,6 +89,7 @@ def sketch(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int = RO
     plus = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in pieces(batches, "text", 1 << 19):
             values, bounds = shingle_sets(words(batch["text"]), n)
             some = np.diff(bounds) > 0
@@ -116,6 +120,7 @@ def full_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in pieces(batches, "text", 1 << 19):
             values, bounds = shingle_sets(words(batch["text"]), n)
             digest = (pa.array(d.view(np.int64)) for d in digests(values, bounds))

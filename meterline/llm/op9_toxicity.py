@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from meterline.llm.tables import Run, table
-from meterline.llm.text_arrays import Words, pieces, plain_words
+from meterline.llm.text_arrays import Words, pieces, plain_words, vacate
 
 #: At most so many labelled rows of each label are fitted on, those with the least hash of their id.
 SAMPLE_PER_LABEL = 5000
@@ -187,6 +187,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             scores = [model.scores(part["text"]) for part in pieces(iter([batch]), "text")]
             yield batch.append_column("score", pa.array(np.concatenate(scores) if scores else np.empty(0)))

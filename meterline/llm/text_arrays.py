@@ -7,7 +7,8 @@ between workers and runs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,17 +34,46 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+#: Words are hashed in runs of about so many bytes, so that one very long text needs no more memory than many short ones.
+_SPAN = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """The first n powers of a base; each worker keeps the longest run it has needed."""
+    """The first n powers of a base; each worker keeps the longest run it has needed, up to a megabyte of text."""
     have = _POWERS.get(base, np.ones(1, _U))
     while len(have) < n:
         have = np.concatenate([have, have[: max(n - len(have), 1 << 18)] * _U(pow(base, len(have), 1 << 64))])
-    _POWERS[base] = have
+    if len(have) <= 1 << 20:
+        _POWERS[base] = have
     return have[:n]
 
 
+_RESIDENT: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]) -> object:
+    """The large table this worker keeps between tasks: one at a time, as a worker serves one operator after another."""
+    if key not in _RESIDENT:
+        vacate()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def vacate() -> None:
+    """Let go of the table of an operator that is done."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        trim()
+
+
+def trim() -> None:
+    """Give free memory back to the system, where the C library can; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most ``max_bytes`` of text, or of one row where a text is longer. Null texts become empty."""
     for batch in batches:
@@ -59,6 +89,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 2
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
 
 
 @dataclass
@@ -81,11 +112,18 @@ class Words:
         """One 64-bit hash for each word; ``lower`` takes A-Z as a-z."""
         if not len(self.starts):
             return np.empty(0, _U)
-        n = len(self.data)
-        total = np.empty(len(self.data) + 1, _U)
-        total[0] = 0
-        np.cumsum((_LOWERED if lower else _VALUES)[self.data] * _powers(_RATIO, n), out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * _powers(_INVERSE, n)[self.starts])
+        out, values, at = np.empty(len(self.starts), _U), _LOWERED if lower else _VALUES, 0
+        while at < len(out):
+            base = int(self.starts[at])
+            stop = max(at + 1, int(np.searchsorted(self.ends, base + _SPAN, "right")))
+            data = self.data[base : int(self.ends[stop - 1])]
+            total = np.empty(len(data) + 1, _U)
+            total[0] = 0
+            np.cumsum(values[data] * _powers(_RATIO, len(data)), out=total[1:])
+            start = self.starts[at:stop] - base
+            out[at:stop] = mix((total[self.ends[at:stop] - base] - total[start]) * _powers(_INVERSE, len(data))[start])
+            at = stop
+        return out
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -424,3 +424,14 @@ def test_words_split_like_bytes():
     raw = found.data.tobytes()
     assert [raw[a:b] for a, b in zip(found.starts, found.ends)] == [w for t in texts for w in t.encode().split()]
     assert found.counts.tolist() == [len(t.encode().split()) for t in texts]
+
+
+def test_word_hashes_do_not_depend_on_the_text_around():
+    long = "z" * (1 << 18) + "y"
+    texts = ["Ab cd " * 60_000 + long, long + " cd", "ab", "cd"]
+    for lower in (False, True):
+        found = words(pa.array(texts, pa.large_string()))
+        hashes, first = found.hashes(lower), found.first
+        assert hashes[first[1]] == hashes[first[1] - 1] and hashes[first[1] + 1] == hashes[first[3]]
+        assert set(hashes[1 : 120_000 : 2].tolist()) == {hashes[first[3]]}
+        assert (set(hashes[0 : 120_000 : 2].tolist()) == {hashes[first[2]]}) == lower
