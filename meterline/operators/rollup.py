@@ -4,6 +4,8 @@ Enriched rows are read once and become cells, one for each day and combination o
 columns that reports group or count by. From the cells come two tables, a row for each day
 and key: measures that add up, and bitmaps that are or-ed. A bit stands for a value of a
 dictionary, so a distinct count over any days is exact without meeting the rows again.
+Bitmaps are kept in words of 64 bits, those with a bit set only: a key that meets few
+values takes few bytes, in the store as in the memory of a task.
 
 A key has up to three parts (name, label, cloud_provider) in a section of its own: the
 consumers of the top lists, and each cloud as a whole.
@@ -95,16 +97,16 @@ def members(rows: DataFrame, dictionaries: dict[str, DataFrame]) -> DataFrame:
 
     def of(section: str, member: str) -> DataFrame:
         no = F.col(f"{member}_no")
-        bucket, bit = F.bitmap_bucket_number(no), F.bitmap_bit_position(no)
+        bucket, bit = F.shiftright(no, 6), F.expr(f"shiftleft(1L, CAST({member}_no & 63 AS INT))")
         found = _of(rows, section).filter(no.isNotNull()).withColumns({"member": F.lit(member), "bucket": bucket, "bit": bit})
-        return found.groupBy("usage_date", *KEY, "member", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        return found.groupBy("usage_date", *KEY, "member", "bucket").agg(F.bit_or("bit").alias("bits"))
 
     return _union([of(s, m) for s, (_, _, own) in SECTIONS.items() for m in own])
 
 
 def distinct_counts(rollup: Rollup) -> DataFrame:
     """key and one column for each member: its distinct values over all days of ``rollup``."""
-    merged = rollup.members.groupBy(*KEY, "member", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    merged = rollup.members.groupBy(*KEY, "member", "bucket").agg(F.bit_count(F.bit_or("bits")).alias("n"))
     return merged.groupBy(*KEY).agg(*[F.sum(F.when(F.col("member") == m, F.col("n"))).alias(f"distinct_{m}") for m in MEMBERS])
 
 

@@ -66,6 +66,20 @@ def test_monthly_stats_equal_those_of_all_rows(dashboard, scratch):
     assert rows(rollup.monthly_report(merged, AS_OF)) == rows(reports.monthly_report(dashboard, AS_OF))
 
 
+def test_a_key_that_meets_one_value_takes_one_word_of_64_bits(spark, scratch):
+    """Bitmaps of a fixed 4 KB for each day and workspace filled the memory of a task."""
+    row = spark.range(200).select(
+        F.lit(AS_OF).alias("usage_date"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("workspace_id"), F.lit("s").alias("sku_name"), F.lit("AWS").alias("cloud_provider"),
+        *[F.lit(None).cast("string").alias(c) for c in ("product_category", "job_id", "job_name", "run_as")],
+        *[F.lit(1).cast("decimal(18,6)").alias(c) for c in ("usage_quantity", "actual_cost")],
+    )
+    merged, _ = built(row, scratch)
+    assert dict(merged.members.dtypes)["bits"] == "bigint" and merged.members.filter("section = 'workspace'").count() == 200
+    plan = rollup.members(rollup.cells(row), {m: rollup.dictionary(rollup.cells(row), m) for m in rollup.MEMBERS})._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert rollup.totals(merged).filter("section = 'cloud'").first().distinct_workspace_id == 200
+
+
 def test_days_added_later_merge_with_those_before(dashboard, scratch):
     late = F.col("usage_date") > F.lit(AS_OF - timedelta(days=20))
     renamed = dashboard.withColumn("workspace_id", F.when(late & (F.col("workspace_id") == "w7"), "new").otherwise(F.col("workspace_id")))
