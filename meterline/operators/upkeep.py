@@ -19,6 +19,9 @@ from meterline.params import ARCHIVE_AFTER_DAYS
 from meterline.sources.stored_table import StoredTable, Version
 
 INSERT, UPDATE, KEEP = "insert", "update", "unchanged"
+ROWS_A_TASK = 500_000
+#: A key's rows of one batch are summed by up to so many tasks before they meet.
+SPREAD = 8
 
 
 def single_keys(source: DataFrame, keys: list[str]) -> DataFrame:
@@ -187,14 +190,29 @@ def add_up(table: StoredTable, delta: DataFrame, keys: list[str], sums: list[str
     """Add a batch of sums per key to a stored table of such sums, once; only the partitions of its keys are read and written anew.
 
     Sums may be negative, and batches may come in any order. ``delta`` holds the keys, the
-    sums and the partition column, and nothing else.
+    sums and the partition column, and nothing else; its keys may repeat.
     """
     old = table.current()
     if batch in old.batches:
         return old
-    touched = [r[0] for r in delta.select(table.by).distinct().collect()]  # partitions, at most
-    rows = delta if old.schema is None else table.read(touched, old).unionByName(delta)
+    counted = delta.groupBy(table.by).count().collect()  # partitions, at most
+    touched, n = [r[0] for r in counted], sum(r[1] for r in counted)
+    rows = delta
+    if old.schema is not None:
+        stored = table.read(touched, old)
+        rows, n = stored.unionByName(delta), n + stored.count()
     kinds = {f.name: f.dataType for f in (delta.schema if old.schema is None else T.StructType.fromJson(old.schema)).fields}
     by = list(dict.fromkeys([*keys, table.by]))
-    whole = rows.groupBy(*by).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in sums]).select(*kinds)
-    return table.replace(whole, touched, batch)
+    return table.replace(summed(rows, by, kinds, sums, n).select(*kinds), touched, batch)
+
+
+def summed(rows: DataFrame, by: list[str], kinds: dict[str, T.DataType], sums: list[str], n: int) -> DataFrame:
+    """Sums of ``n`` rows by key. Tasks get about ``ROWS_A_TASK`` rows each, so that their memory does not grow with the table.
+
+    Rows meet in two steps: a key of very many rows is summed by several tasks first.
+    """
+    tasks = -(-n // ROWS_A_TASK) or 1
+    total = [F.sum(c).cast(kinds[c]).alias(c) for c in sums]
+    part = F.pmod(F.spark_partition_id(), F.lit(SPREAD)).alias("_part")
+    first = rows.select(*by, *sums, part).repartition(tasks, *by, "_part").groupBy(*by, "_part").agg(*total)
+    return first.repartition(tasks, *by).groupBy(*by).agg(*total)

@@ -262,3 +262,16 @@ def test_records_delivered_twice_count_once(spark, scratch):
     net_corrections_stream(stream, table, DIMS, f"{scratch}/check", buckets=2, record_id="record").awaitTermination()
     want = cost.net_corrections(once, DIMS)
     assert rows(net_of(table).select("record_count", *DIMS)) == rows(want.select("record_count", *DIMS))
+
+
+def test_sums_are_made_by_tasks_of_bounded_rows(spark, scratch, monkeypatch):
+    """More rows make more tasks, not larger ones; a batch need not be summed before."""
+    monkeypatch.setattr(upkeep, "ROWS_A_TASK", 100)
+    rows = spark.range(1000).select((F.col("id") % 300).alias("k"), F.lit(0).alias("bucket"), F.lit(Decimal(1)).cast("decimal(38,6)").alias("net_quantity"), F.lit(1).cast("long").alias("record_count"))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    made = upkeep.summed(rows, ["k", "bucket"], kinds, ["net_quantity", "record_count"], 1000)
+    assert made._jdf.queryExecution().executedPlan().toString().count(", 10)") == 2
+    table = net_table(spark, f"{scratch}/sums")
+    for batch in ("a", "b", "b"):
+        upkeep.add_up(table, rows, ["k"], ["net_quantity", "record_count"], batch)
+    assert sorted((r.k, int(r.net_quantity), r.record_count) for r in table.read().collect()) == [(k, 2 * n, 2 * n) for k in range(300) for n in [4 if k < 100 else 3]]
