@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -31,8 +32,8 @@ from meterline.llm.text_arrays import pieces, resident
 END_ID = 2
 BLOCK, CHUNK_IDS = 16384, 1 << 18
 _MARKS = b".,;:!?%$&*#()[]|"
-#: Words a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 300_000
+#: Words a worker remembers at least, and at most twice as many; it forgets those not met for the longest time.
+REMEMBERED = 400_000
 _CHUNKS = "shard int, chunk int, n_ids long, doc_ids array<long>, lengths array<int>, plane_bytes array<int>, planes binary"
 
 
@@ -55,6 +56,7 @@ class WordCoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def ask(self, words: list[bytes]) -> Iterator[bytes]:
         """The ids of each word on its own."""
@@ -74,30 +76,40 @@ class WordCoder:
         known, split, odd, stems, marks = self.known, [], [], set(), set()
         for w in fresh:
             stem = w.rstrip(_MARKS)
-            if stem.decode().isalpha():
-                mark = w[len(stem) :]
-                split.append((w, stem, mark))
+            if stem.isalpha() or stem.decode().isalpha():
+                if len(stem) < len(w):
+                    mark = w[len(stem) :]
+                    split.append((w, stem, mark))
+                    marks.add(mark)
                 stems.add(stem)
-                marks.add(mark)
             else:
                 odd.append(w)
-        new = [x for x in stems if x not in known]
+        new = self.missing(stems)
         for at in range(0, len(new), 2000):
             known.update(zip(new[at : at + 2000], self.ask_letters(new[at : at + 2000])))
-        odd += [x for x in marks if x not in known]
+        odd += self.missing(marks)
         for at in range(0, len(odd), 2000):
             known.update(zip(odd[at : at + 2000], self.ask(odd[at : at + 2000])))
-        known.update((w, known[stem] + known[mark]) for w, stem, mark in split if mark)
+        known.update((w, known[stem] + known[mark]) for w, stem, mark in split)
+
+    def missing(self, words: set[bytes]) -> list[bytes]:
+        """The words in neither generation; those of the older one are taken over."""
+        known, older = self.known, self.older
+        fresh = words.difference(known)
+        if older:
+            known.update((w, older[w]) for w in fresh if w in older)
+            fresh = fresh.difference(older)
+        return list(fresh)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         # A to Z are lower-cased by the vocabulary; only the names of special tokens depend on them.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        need = set().union(*split)
-        if not need <= self.known.keys():
-            if len(self.known) + len(need) > REMEMBERED:
-                self.known.clear()
-            self.learn([w for w in need if w not in self.known])
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        fresh = self.missing(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
+        if fresh:
+            self.learn(fresh)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
@@ -157,7 +169,7 @@ def write_ids(docs: DataFrame, folder: str, vocab: str | None = None, *, end_id:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], list(row))
 
         for batch in pieces(batches, "text"):
-            for owner, own in zip(batch["doc_id"].to_pylist(), coder.encode([t.encode() for t in batch["text"].to_pylist()])):
+            for owner, own in zip(batch["doc_id"].to_pylist(), coder.encode(batch["text"].cast(pa.large_binary()).to_pylist())):
                 ids.append(own + end)
                 owners.append(owner)
                 held += len(own) // 4 + 1
