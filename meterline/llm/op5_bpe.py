@@ -27,13 +27,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm.tables import table
-from meterline.llm.text_arrays import pieces, plain_words, resident
+from meterline.llm.tables import Run, small_batches, table
+from meterline.llm.text_arrays import pieces, plain_words, resident, vacate
 
 MAX_WORDS = 50_000
-#: Words a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 300_000
-_BUCKET_BYTES = 8 << 20
+#: Words a worker remembers at least, and at most twice as many; it forgets those not met for the longest time.
+REMEMBERED = 150_000
+_BUCKET_BYTES = 2 << 20
+#: Words of up to so many bytes are merged together; longer ones on their own.
+_WIDTHS = (6, 8, 10, 12, 16, 24, 40, 64)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -81,6 +83,73 @@ class Merger:
                 ranks[i] = get(new << 20 | ids[i + 1], none)
         return tuple(ids)
 
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of bytes, ranks of pairs of bytes, all pairs in ascending order, their ranks, and what each rank makes."""
+        single = np.array([self.single.get(b, -1) for b in range(256)], np.int32)
+        pairs = np.array(sorted(self.rank), np.int64)
+        ranks = np.array([self.rank[p] for p in pairs.tolist()], np.int32)
+        first = np.array([self.rank.get(int(a) << 20 | int(b), len(self.made)) for a in single for b in single], np.int32)
+        return single, first, pairs, ranks, np.array(self.made, np.int32)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` for many words at once, as bytes of 32-bit ids: a step merges one pair of every word that still has one."""
+        out, sizes = [b""] * len(words), np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in zip((0, *_WIDTHS), _WIDTHS):
+            own = np.flatnonzero((sizes > low) & (sizes <= high))
+            for at in range(0, len(own), 8192):
+                self._merge_matrix(words, own[at : at + 8192], sizes, high, out)
+        for i in np.flatnonzero(sizes > _WIDTHS[-1]).tolist():
+            out[i] = array("i", self.merge(words[i])).tobytes()
+        return out
+
+    def _merge_matrix(self, words: list[bytes], rows: np.ndarray, sizes: np.ndarray, width: int, out: list[bytes]) -> None:
+        single, first, pairs, pair_ranks, made = self.tables
+        none = len(made)
+
+        def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            if not none:
+                return np.full(len(a), none, np.int32)
+            key = a.astype(np.int64) << 20 | b  # -1 where b is behind the word
+            at = np.minimum(np.searchsorted(pairs, key), none_at)
+            return np.where(pairs[at] == key, pair_ranks[at], none)
+
+        def emit(done: np.ndarray, ids: np.ndarray) -> None:
+            raw, step = ids.tobytes(), 4 * ids.shape[1]
+            for k, (i, n) in enumerate(zip(done.tolist(), (ids >= 0).sum(1).tolist())):
+                out[i] = raw[k * step : k * step + 4 * n]
+
+        none_at = len(pairs) - 1
+        data = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in rows.tolist()]), np.uint8).reshape(-1, width)
+        behind = np.arange(width) >= sizes[rows][:, None]
+        ids = single[data]
+        if (ids[~behind] < 0).any():
+            raise KeyError("a byte is not in the vocabulary")
+        ids[behind] = -1
+        ranks = first[data[:, :-1].astype(np.int64) << 8 | data[:, 1:]]
+        ranks[behind[:, 1:]] = none
+        while ranks.shape[1]:
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(rows)), at]
+            going = best < none
+            if not going.all():
+                emit(rows[~going], ids[~going])
+                rows, ids, ranks, at, best = rows[going], ids[going], ranks[going], at[going], best[going]
+                if not len(rows):
+                    return
+            line, new = np.arange(len(rows)), made[best]
+            ids[line, at] = new
+            kept = np.ones(ids.shape, bool)
+            kept[line, at + 1] = False
+            ids = ids[kept].reshape(len(rows), -1)
+            kept = np.ones(ranks.shape, bool)
+            kept[line, at] = False
+            ranks = ranks[kept].reshape(len(rows), -1)
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < ranks.shape[1])
+            ranks[left, at[left] - 1] = rank(ids[left, at[left] - 1], new[left])
+            ranks[right, at[right]] = rank(new[right], ids[right, at[right] + 1])
+        emit(rows, ids)
+
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap over a linked list, so that long runs take n log n steps."""
         n, rank = len(ids), self.rank.get
@@ -244,15 +313,20 @@ class Coder:
         self.merger = merger_of(vocab)
         self.lexicon = Lexicon.open(SparkFiles.get(lexicon)) if lexicon else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
+        """Ids of words that are not in ``known``; all words of a batch stay there until the next."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        older = self.older
+        self.known.update((w, older[w]) for w in words if w in older)
         fresh = [w for w in words if w not in self.known]
         raw = [w.encode() for w in fresh]
         found = self.lexicon.find_all(raw) if self.lexicon and raw else [None] * len(raw)
-        merge = self.merger.merge
-        self.known.update((w, array("i", ids if ids is not None else merge(r)).tobytes()) for w, r, ids in zip(fresh, raw, found))
+        self.known.update((w, array("i", ids).tobytes()) for w, ids in zip(fresh, found) if ids is not None)
+        rare = [i for i, ids in enumerate(found) if ids is None]
+        self.known.update(zip([fresh[i] for i in rare], self.merger.merge_many([raw[i] for i in rare])))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         merger = self.merger
@@ -285,11 +359,12 @@ def coder(vocab: str, lexicon: str | None) -> Coder:
 def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """word, n of the words met most often in all texts.
 
-    Parts of 8 MB are counted in memory first. A word met once in a part leaves no count
+    Parts of 2 MB are counted in memory first. A word met once in a part leaves no count
     there, so a count is short by the number of parts at most (lossy counting).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in pieces(batches, "text", _BUCKET_BYTES):
             found = plain_words(batch["text"])
             hashes, at, n = np.unique(found.hashes(), return_index=True, return_counts=True)
@@ -345,7 +420,13 @@ def encode(docs: DataFrame, vocab: str | None = None, lexicon: str | None = None
 def digests(docs: DataFrame, vocab: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 from the real ids and texts."""
     vocab = vocab or public_tokenizers.path("byte_bpe_50k.json")
-    coded = encode(docs, vocab, compile_lexicon(docs, vocab))
+    spark = docs.sparkSession
+    with small_batches(spark):  # texts are counted and encoded in here, their digests kept
+        coded = encode(docs, vocab, compile_lexicon(docs, vocab))
+        return Run(spark, "bpe").keep(_digested(coded))
+
+
+def _digested(coded: DataFrame) -> DataFrame:
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

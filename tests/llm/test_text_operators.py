@@ -242,3 +242,36 @@ def test_empty_token_files(spark):
     folder = Run(spark, "test-empty").folder
     op4_token_files.write_ids(frame(spark, ["x"]).limit(0), folder)
     assert op4_token_files.read_ids(spark, folder).count() == 0
+
+
+def test_words_merged_together_equal_those_merged_alone():
+    """One word after the other cost more than the budget where words are rare."""
+    merger, rng = op5_bpe.merger_of(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    words = ["".join(rng.choice("aeth nг😀_9'") for _ in range(rng.randrange(1, 60))).encode() for _ in range(2000)]
+    words += [b"a", b"", b"aa" * 4, " Übergröße".encode(), b"x" * 500]
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in merger.merge_many(words)] == [list(merger.merge(w)) for w in words]
+
+
+@pytest.mark.parametrize("remembered", [0, 5, 10**6])
+def test_words_that_were_forgotten_are_learned_again(monkeypatch, remembered):
+    """Frequent words stay known when rare ones fill the memory; ids do not depend on what is remembered."""
+    monkeypatch.setattr(op4_token_files, "REMEMBERED", remembered)
+    monkeypatch.setattr(op5_bpe, "REMEMBERED", remembered)
+    four = op4_token_files.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
+    five = op5_bpe.Coder(public_tokenizers.path("byte_bpe_50k.json"), None)
+    library = four.library
+    for k in range(8):
+        text = f"The common words, and rare{k} {'x' * k}y. One's 3.5{k} Été!? ({k}) <|endoftext|>"
+        assert np.frombuffer(four.encode([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert five.decode(five.encode([text])[0]) == text
+        if remembered == 5:
+            assert len(four.known) < 60 and len(five.known) < 40 and (not k or four.older and five.older)
+
+
+def test_stages_of_the_pipeline_take_texts_in_small_batches(spark, monkeypatch):
+    """Batches of 10,000 rows took an executor's memory over its limit."""
+    sizes = []
+    monkeypatch.setattr(op5_bpe, "encode", lambda docs, *a, own=op5_bpe.encode: (sizes.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")), own(docs, *a))[1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = frame(spark, ["one two", "", "password = abcdefgh12"])
+    assert op5_bpe.digests(docs).count() == 3 and sizes == [str(8 << 20)] and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
