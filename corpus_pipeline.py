@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meterline.llm import op3_secrets, op5_bpe, op7_decontaminate, op8_minhash, op9_toxicity
-from meterline.llm.tables import Run, table
+from meterline.llm.tables import Run, small_batches, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
-    return op3_secrets.without_secrets(docs)
+    with small_batches(spark):
+        return Run(spark, "secrets").keep(op3_secrets.without_secrets(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

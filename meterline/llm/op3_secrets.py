@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm.tables import table
-from meterline.llm.text_arrays import pieces
+from meterline.llm.text_arrays import pieces, vacate
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -301,7 +301,8 @@ def without_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     others = [f for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        vacate()
+        for batch in pieces(batches, "text", nulls=True):
             at = batch.schema.get_field_index("text")
             texts = [t if t is None else redacted(t, scan_layers(t)[1], mark) for t in batch["text"].to_pylist()]
             yield batch.set_column(at, pa.field("text", batch.schema.field(at).type), pa.array(texts, batch.schema.field(at).type))

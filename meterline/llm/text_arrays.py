@@ -74,13 +74,14 @@ def trim() -> None:
         give(0)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most ``max_bytes`` of text, or of one row where a text is longer. Null texts become empty."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20, nulls: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``max_bytes`` of text, or of one row where a text is longer. Null texts become empty, or stay with ``nulls``."""
     for batch in batches:
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(text)
-        column = batch.column(at).cast(pa.large_string()).fill_null("")
+        column = batch.column(at).cast(pa.large_string())
+        column = column if nulls else column.fill_null("")
         batch = batch.set_column(at, pa.field(text, pa.large_string()), column)
         ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         start = 0
