@@ -33,11 +33,12 @@ def template(text: Column) -> Column:
     space belongs to its number. The first word of a
     sentence may be a name and is a slot too; one that is none keeps its value.
     """
-    named = F.regexp_replace(text, r"(?<![\p{L}\p{M}\p{N}])\p{Lu}[\p{L}\p{M}]*", "§n")
+    # What each match starts with is asked for first: a lookbehind at every character is what takes the time.
+    named = F.regexp_replace(text, r"(?=\p{Lu})(?<![\p{L}\p{M}\p{N}])\p{Lu}[\p{L}\p{M}]*", "§n")
     counted = F.regexp_replace(named, r"\p{N}+", "§d")
-    typed = F.regexp_replace(counted, rf"(?<=§d ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", "§u")
-    folded = F.regexp_replace(typed, r"(?<=§n[ '’-])§n|(?<=§d[.,])§d", "§e")
-    return tokens(F.regexp_replace(folded, r"(?<=§[de])§u", ""))
+    typed = F.regexp_replace(counted, rf"(§d ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", "$1§u")
+    folded = F.regexp_replace(typed, r"(?=§)(?:(?<=§n[ '’-])§n|(?<=§d[.,])§d)", "§e")
+    return tokens(F.regexp_replace(folded, r"(?=§)(?<=§[de])§u", ""))
 
 
 def tokens(text: Column) -> Column:
@@ -56,13 +57,41 @@ def steps(parts: Column, n: int) -> Column:
     return F.when(F.size(parts) >= n, F.sequence(F.lit(1), F.size(parts) - n + 1)).otherwise(F.array().cast("array<int>"))
 
 
-def plain_windows(n: int) -> Column:
-    return F.transform(steps(F.col("raw"), n), lambda i: F.struct(F.lit(n).alias("kind"), (i - 1).alias("at"), F.lit(-1).alias("part"), F.xxhash64(F.slice("raw", i, n)).alias("h")))
+def hashed(parts: Column) -> Column:
+    """The hash of each token; a window's is ``run_hash`` of those of its tokens."""
+    return F.transform(parts, lambda t: F.xxhash64(t))
 
 
-def template_windows(n: int) -> Column:
-    # Fields are taken from the slice: taken from the whole array, they would be copied for every window.
-    return F.transform(steps(F.col("places"), n), lambda i: F.struct(F.lit(0).alias("kind"), F.get("places", i - 1)["at"].alias("at"), (i - 1).alias("part"), F.xxhash64(F.slice("places", i, n)["kind"]).alias("h")))
+def run_hash(own: list[Column]) -> Column:
+    """The hash of a run of tokens from the hashes of its tokens; null where the last is missing."""
+    return F.when(own[-1].isNotNull(), F.xxhash64(*own))
+
+
+def windows_at(hashes: Column, start: Column, n: int) -> Column:
+    """The hash of the n tokens from ``start``, counted from 0."""
+    return run_hash([F.get(hashes, start + k) for k in range(n)])
+
+
+def document_windows(texts: DataFrame, n: int, lengths: list[int]) -> DataFrame:
+    """doc_id, copy, kind (0: n template tokens, otherwise so many plain ones), place, doc_part, h of all windows of the documents.
+
+    Lists moved by 0 to n - 1 places, side by side, hold a window in each row; what is
+    done with a row is then compiled, which a function over array elements is not.
+    """
+    marked = texts.select("doc_id", "copy", hashed(F.col("raw")).alias("raw"), F.col("places.at").alias("at"), hashed(F.col("places.kind")).alias("kinds"))
+
+    def moved(name: str) -> list[Column]:
+        return [F.slice(name, k + 1, F.size(name)).alias(f"{name}_{k}") if k else F.col(name).alias(f"{name}_0") for k in range(n)]
+
+    side = marked.select("doc_id", "copy", "at", *moved("raw"), *moved("kinds"))
+    names = [f"{name}_{k}" for name in ("raw", "kinds") for k in range(n)]
+    rows = side.select("doc_id", "copy", F.posexplode(F.arrays_zip("at", *names)).alias("i", "w")).select("doc_id", "copy", "i", "w.*")
+
+    def window(kind: int, place: str, part: Column, name: str, length: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(place).alias("place"), part.alias("doc_part"), run_hash([F.col(f"{name}_{k}") for k in range(length)]).alias("h"))
+
+    each = [window(0, "at", F.col("i"), "kinds", n), *(window(m, "i", F.lit(-1), "raw", m) for m in lengths)]
+    return rows.select("doc_id", "copy", F.inline(F.array(*each)))
 
 
 def item_windows(items: DataFrame, n: int) -> DataFrame:
@@ -71,13 +100,16 @@ def item_windows(items: DataFrame, n: int) -> DataFrame:
     Windows of mostly placeholders say too little and are left out. An item without any
     other has n_windows 0 and its first plain tokens, n at most: it must be met whole.
     """
-    spread = items.select("item_id", "raw", "parts", F.explode(template_windows(n)).alias("w"))
-    solid = spread.where(F.size(F.filter(F.slice("parts", F.col("w.part") + 1, n), lambda t: ~t.startswith("§"))) * 2 >= n)
-    same = F.struct(F.lit(n).alias("kind"), F.col("w.at").alias("at"), F.lit(-1).alias("part"), F.xxhash64(F.slice("raw", F.col("w.at") + 1, n)).alias("h"))
+    items = items.withColumn("own", hashed(F.col("raw"))).withColumn("typed", hashed(F.col("parts")))
+    spread = items.select("item_id", "own", "typed", "parts", "starts", F.explode(steps(F.col("parts"), n)).alias("i"))
+    solid = spread.where(F.size(F.filter(F.slice("parts", F.col("i"), n), lambda t: ~t.startswith("§"))) * 2 >= n).withColumn("at", F.get("starts", F.col("i") - 1))
+    form = F.struct(F.lit(0).alias("kind"), F.col("at").alias("at"), (F.col("i") - 1).alias("part"), windows_at(F.col("typed"), F.col("i") - 1, n).alias("h"))
+    same = F.struct(F.lit(n).alias("kind"), F.col("at").alias("at"), F.lit(-1).alias("part"), windows_at(F.col("own"), F.col("at"), n).alias("h"))
     count = solid.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    some = solid.select("item_id", F.explode(F.array("w", same)).alias("w")).join(count, "item_id").select("item_id", "n_windows", "w.*")
+    some = solid.select("item_id", F.explode(F.array(form, same)).alias("w")).join(count, "item_id").select("item_id", "n_windows", "w.*")
     size = F.least(F.size("raw"), F.lit(n))
-    whole = items.where(F.size("raw") > 0).join(count, "item_id", "left_anti").select("item_id", F.lit(0).cast("long").alias("n_windows"), size.alias("kind"), F.lit(0).alias("at"), F.lit(-1).alias("part"), F.xxhash64(F.slice("raw", 1, size)).alias("h"))
+    start = F.coalesce(*(windows_at(F.col("own"), F.lit(0), m) for m in range(n, 0, -1)))
+    whole = items.where(F.size("raw") > 0).join(count, "item_id", "left_anti").select("item_id", F.lit(0).cast("long").alias("n_windows"), size.alias("kind"), F.lit(0).alias("at"), F.lit(-1).alias("part"), start.alias("h"))
     return some.unionByName(whole)
 
 
@@ -122,7 +154,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, n: int = WINDOW, share: flo
     items = run.keep(parsed(items, "item_id").select("item_id", "raw", "places", F.col("places.kind").alias("parts"), F.col("places.at").alias("starts")))
     wanted = run.keep(item_windows(items, n))
     short = sorted(r["kind"] for r in wanted.where(F.col("kind").between(1, n - 1)).select("kind").distinct().collect())  # n - 1 at most
-    seen = parsed(docs, "doc_id", "copy").select("doc_id", "copy", F.explode(F.concat(template_windows(n), *map(plain_windows, [*short, n]))).alias("w")).select("doc_id", "copy", "w.kind", F.col("w.at").alias("place"), F.col("w.part").alias("doc_part"), "w.h")
+    seen = document_windows(parsed(docs, "doc_id", "copy"), n, [*short, n])
     met = seen.join(small(wanted, 48), ["kind", "h"]).select("doc_id", "copy", "item_id", "n_windows", F.struct("kind", "at", "part", "place", "doc_part").alias("hit"))
 
     def enough(hits: DataFrame) -> DataFrame:

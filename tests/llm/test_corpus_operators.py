@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from meterline.llm import op1_substrings, op6_quality, op7_decontaminate, op8_minhash, op9_toxicity, op10_ann
 from meterline.llm.text_arrays import words
@@ -267,6 +268,29 @@ def test_leaks_of_short_and_numeric_items(spark):
     assert all((r["n_hits"], r["coverage"], r["n_changed"]) == (1, 1, 0) for r in found.values()) and found[3, 2]["n_slots"] == 10
 
 
+def test_leak_windows_stand_for_their_tokens(spark):
+    texts = {1: "a b c a b c", 2: "c a b", 3: "x", 4: "", 5: "In Rome 5 km a b c"}
+    parts = op7_decontaminate.parsed(frame(spark, list(texts.items())).withColumn("copy", F.lit(0)), "doc_id", "copy")
+    made = op7_decontaminate.document_windows(parts, 3, [2, 3])
+    rows = made.where("h IS NOT NULL").collect()
+    raw = {r["doc_id"]: (r["raw"], [p["kind"] for p in r["places"]], [p["at"] for p in r["places"]]) for r in parts.collect()}
+    tokens, seen = {}, {}
+    for r in rows:
+        own, kinds, starts = raw[r["doc_id"]]
+        if r["kind"]:
+            run = tuple(own[r["place"] : r["place"] + r["kind"]])
+            assert len(run) == r["kind"] and r["doc_part"] == -1
+        else:
+            run = tuple(kinds[r["doc_part"] : r["doc_part"] + 3])
+            assert len(run) == 3 and starts[r["doc_part"]] == r["place"]
+        assert tokens.setdefault(r["h"], run) == run and seen.setdefault(run, r["h"]) == r["h"]
+    sizes = [(len(own), len(kinds)) for own, kinds, _ in raw.values()]
+    assert len(rows) == sum(max(0, k - 2) + max(0, n - 1) + max(0, n - 2) for n, k in sizes)
+    # A window is a row of hashes that are compared in compiled code, not a slice of strings in a function over elements.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan
+
+
 def test_leak_plan_is_native(spark):
     table = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     plan = op7_decontaminate.find_leaks(frame(spark, [(1, QUESTION)]), table)._jdf.queryExecution().toString()
