@@ -31,6 +31,8 @@ from meterline.llm.text_arrays import pieces, resident
 
 END_ID = 2
 BLOCK, CHUNK_IDS = 16384, 1 << 18
+#: Texts are looked up in slices of so many bytes, whose words are still at hand when their ids are joined.
+_SLICE = 1 << 17
 _MARKS = b".,;:!?%$&*#()[]|"
 #: Words a worker remembers at least, and at most twice as many; it forgets those not met for the longest time.
 REMEMBERED = 400_000
@@ -60,11 +62,11 @@ class WordCoder:
 
     def ask(self, words: list[bytes]) -> Iterator[bytes]:
         """The ids of each word on its own."""
-        return (np.array(c.ids, "<u4").tobytes() for c in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False))
+        return (np.array(c.ids, "<u4").tobytes() for c in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False))
 
     def ask_letters(self, stems: list[bytes]) -> Iterator[bytes]:
         """The same for words of letters only, as one text: each ends with a piece that ends a word."""
-        ids = np.array(self.library.encode(b" ".join(stems).decode(), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.library.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)[0].ids, "<u4")  # without places in the text
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(stems):  # a letter that lower-cases to more than letters
             return self.ask(stems)
@@ -168,7 +170,7 @@ def write_ids(docs: DataFrame, folder: str, vocab: str | None = None, *, end_id:
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], list(row))
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", _SLICE):
             for owner, own in zip(batch["doc_id"].to_pylist(), coder.encode(batch["text"].cast(pa.large_binary()).to_pylist())):
                 ids.append(own + end)
                 owners.append(owner)
