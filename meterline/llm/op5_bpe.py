@@ -34,6 +34,8 @@ MAX_WORDS = 50_000
 #: Words a worker remembers at least, and at most twice as many; it forgets those not met for the longest time.
 REMEMBERED = 150_000
 _BUCKET_BYTES = 2 << 20
+#: Texts are split and encoded in slices of so many bytes: a slice takes some forty times its size as words and ids.
+_SLICE = 1 << 18
 #: Words of up to so many bytes are merged together; longer ones on their own.
 _WIDTHS = (6, 8, 10, 12, 16, 24, 40, 64)
 
@@ -405,7 +407,7 @@ def encode(docs: DataFrame, vocab: str | None = None, lexicon: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocab, lexicon)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", _SLICE):
             ids = own.encode(batch["text"].to_pylist())
             bounds = np.cumsum([0, *map(len, ids)])
             flat = np.fromiter(chain.from_iterable(ids), np.int32, bounds[-1])

@@ -12,11 +12,13 @@ from urllib.parse import quote
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from meterline.llm import op2_token_counts, op3_secrets, op4_token_files, op5_bpe
 from meterline.llm.tables import Run
+from meterline.llm.text_arrays import pieces
 
 SCHEMA = "doc_id long, text string, score string"
 ODD = [
@@ -275,3 +277,29 @@ def test_stages_of_the_pipeline_take_texts_in_small_batches(spark, monkeypatch):
     before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     docs = frame(spark, ["one two", "", "password = abcdefgh12"])
     assert op5_bpe.digests(docs).count() == 3 and sizes == [str(8 << 20)] and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_new_words_are_asked_for_without_their_places():
+    coder = op4_token_files.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
+    library, texts = coder.library, ["Anna's naïve plan, twice; 42 ÉTÉ?", "", "plan İstanbul <|endoftext|> x.", "naïve naïve"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+    class Watched:
+        calls = []
+
+        def __getattr__(self, name):
+            self.calls.append(name)
+            return getattr(library, name)
+
+    coder.library = Watched()
+    got = [np.frombuffer(b, "<u4").tolist() for b in coder.encode([t.encode() for t in texts])]
+    assert got == want
+    assert set(Watched.calls) == {"encode_batch_fast"}
+
+
+def test_bpe_slices_are_small():
+    rng = random.Random(4)
+    text = " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(300)}" for _ in range(300))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 1500)], ["text"])
+    sizes = [sum(len(t) for t in part["text"].to_pylist()) for part in pieces(iter([batch]), "text", op5_bpe._SLICE)]
+    assert sum(sizes) == 1500 * len(text) and max(sizes) <= 1 << 18
