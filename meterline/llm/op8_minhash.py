@@ -8,9 +8,12 @@
 3. Where a band still holds several components, a few members of each are tried against
    members of its largest one, so that the exact finish has few links left to find.
 4. What is left is finished exactly: classes of bands that still hold several components
-   meet by their rarest shingles, so many of each that two similar sets must share one. A
-   similar pair sharing a band is thus either in one component already or has been compared.
-   Copies are never expanded into all pairs, nor pages that share a large common part.
+   meet by their rarest shingles, so many of each that two similar sets must share one, and
+   only where enough of both sets is left behind it. Sets outside a shingle's largest
+   component are first tried against one set of it, a pair a set, which finds most links;
+   then those of components that are still apart meet. A similar pair sharing a band is
+   thus either in one component already or has been compared. Copies are never expanded
+   into all pairs, nor pages that share a large common part.
 
 Two parity signatures differ in no more bits than the sets differ in shingles, so the
 signature check never drops a similar pair. With 32 bands of 4 rows a pair at similarity
@@ -194,7 +197,7 @@ def _confirmed(run: Run, docs: DataFrame, classes: DataFrame, pairs: DataFrame,
 
 
 def _rarest(run: Run, sets: DataFrame, percent: int) -> DataFrame:
-    """The rarest shingles of each of ``sets`` (cid, part, n, shingles), so many that two similar sets share one of them; those that no other set has are left out.
+    """The rarest shingles of each of ``sets`` (cid, part, n, shingles) and their places from 0, so many that two similar sets share one of them; those that no other set has are left out.
 
     Sets of which at least ``percent`` of the larger is common miss no more shingles than the
     rest: in one order of all shingles, the first n - ceil(percent n / 100) + 1 of either have one in common.
@@ -203,8 +206,48 @@ def _rarest(run: Run, sets: DataFrame, percent: int) -> DataFrame:
     held = each.groupBy("s").agg(F.count("*").alias("sets"))
     first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
     ranked = each.join(held, "s").groupBy("cid", "part", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "s"))).alias("order"))  # as long as the set
-    kept = ranked.select("cid", "part", "n", F.explode(F.slice("order", F.lit(1), first)).alias("o"))
-    return kept.where("o.sets > 1").select("cid", "part", "n", F.col("o.s").alias("s"))
+    kept = ranked.select("cid", "part", "n", F.posexplode(F.slice("order", F.lit(1), first)).alias("place", "o"))
+    return kept.where("o.sets > 1").select("cid", "part", "n", "place", F.col("o.s").alias("s"))
+
+
+def _enough(a: str, b: str, percent: int) -> Column:
+    """False only for rows (n, place) of a shingle that are not the first common one of two similar sets: so much must be left of either set from there on."""
+    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place"))
+    return left * (100 + percent) >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _reach(rare: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``rare`` (cid, n, place, s) without those for which no other set of the shingle is small enough.
+
+    Similar sets of n and m shingles have percent (n + m) / (100 + percent) in common, all of
+    them from their first common one on. In the smaller set that one's place is thus below
+    n (100 - percent) / (100 + percent) + 1, and the larger set must reach the smallest such.
+    """
+    left, n = (F.col("n") - F.col("place")) * (100 + percent), F.col("n") * percent
+    least = rare.groupBy("s").agg(F.min(F.when(left >= 2 * n, n)).alias("least"))
+    return rare.join(least, "s").where(left >= n + F.col("least")).select("cid", "n", "place", "s")
+
+
+def _parted(run: Run, reach: DataFrame, labels: DataFrame) -> DataFrame:
+    """``reach`` by shingles that still have several components: cid, part, n, place, s, the largest part (main) and the set of it that has the shingle earliest (hub)."""
+    rows = reach.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "place", "s", F.coalesce("component", "cid").alias("part"))
+    each = rows.groupBy("s", "part").agg(F.count("*").alias("rows"), F.min(F.struct((F.col("place") / F.col("n")).alias("at"), "cid", "n", "place")).alias("hub"))
+    main = each.groupBy("s").agg(F.max(F.struct("rows", "part", "hub")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return run.keep(rows.join(main, "s").select("cid", "part", "n", "place", "s", F.col("main.part").alias("main"), F.col("main.hub").alias("hub")))
+
+
+def _stars(parted: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a > b: each set outside the main part of a shingle and the hub of that part."""
+    rest = parted.where("part != main").select(F.struct("cid", "n", "place").alias("x"), "hub").where(_enough("x", "hub", percent))
+    return rest.select(F.greatest("x.cid", "hub.cid").alias("a"), F.least("x.cid", "hub.cid").alias("b")).distinct()
+
+
+def _meetings(parted: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a > b, of sets of two parts: all similar ones among them. One of the two is always outside the main part."""
+    x, y = parted.where("part != main").alias("x"), parted.alias("y")
+    once = (F.col("y.part") == F.col("y.main")) | (F.col("x.cid") > F.col("y.cid"))
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.part") != F.col("y.part")) & once & _enough("x", "y", percent))
+    return met.select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -265,10 +308,10 @@ def _near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     split = members.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("band")
     unsettled = run.keep(members.join(split, "band").select("cid", "part").distinct().join(signed.select("cid", "n"), "cid"))
     rare = run.keep(_rarest(run, _sets(run, docs, named, unsettled, n).dropDuplicates(["cid"]), percent))
-    x, y = rare.alias("x"), rare.alias("y")
-    alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    cross = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.cid") > F.col("y.cid")) & (F.col("x.part") != F.col("y.part")) & alike)
-    pairs = promising(cross.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
+    reach = run.keep(_reach(rare, percent))
+    near = promising(_stars(_parted(run, reach, labels), percent))
+    labels = joined_up(run.keep(_confirmed(run, docs, named, near, n, percent)))
+    pairs = promising(_meetings(_parted(run, reach, labels), percent))
     labels = joined_up(run.keep(_confirmed(run, docs, named, pairs, n, percent))).withColumnRenamed("node", "cid")
 
     joined = run.keep(named.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid")))

@@ -160,6 +160,25 @@ def test_a_family_below_the_limit_meets_in_no_pairs(spark, monkeypatch):
     assert got == {i: i for i in range(300)} | {1000: 7}
     assert met[0].groupBy("s").count().where("count > 5").count() == 0
 
+
+def test_edited_copies_of_one_page_meet_in_few_pairs(spark, monkeypatch):
+    """Copies around the limit share nearly all shingles; the pairs that are compared grow with the copies, not with their square."""
+    rng = random.Random(5)
+    base, rows = [f"c{i}" for i in range(150)], []
+    for i in range(240):
+        own = list(base[: rng.randrange(130, 151)])
+        for at in rng.sample(range(len(own)), rng.randrange(1, 7)):
+            own[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(own)))
+    met, plain = [], op8_minhash._confirmed
+    monkeypatch.setattr(op8_minhash, "may_be_similar", lambda a, b, percent: F.lit(True))
+    monkeypatch.setattr(op8_minhash, "_confirmed", lambda run, docs, classes, pairs, n, percent: (met.append(pairs.count()), plain(run, docs, classes, pairs, n, percent))[1])
+    monkeypatch.setattr(op8_minhash, "TRIES", 1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op8_minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert sum(met[1:]) < 4 * len(rows), met
+
+
 # Benchmark leaks
 
 QUESTION = "Then Anna bought 12 apples for 3 dollars each and gave Anna's brother Peter 5 of them while the others walked home along the river. How many apples did Anna keep after 12 days of rain?"
