@@ -13,15 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from meterline.llm import op3_secrets, op5_bpe, op7_decontaminate, op8_minhash, op9_toxicity
 from meterline.llm.tables import Run, small_batches, table
 
+#: Stages pass texts to Python in batches of so many bytes: an executor's JVM holds each several times over, outside its heap.
+BATCH_BYTES = 2 << 20
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    return op9_toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+    with small_batches(spark, BATCH_BYTES):
+        return Run(spark, "toxicity").keep(op9_toxicity.without_toxic(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates: five words, similarity 0.8."""
-    return op8_minhash.deduplicated(docs, n=5, percent=80)
+    with small_batches(spark, BATCH_BYTES):
+        return op8_minhash.deduplicated(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +36,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
-    with small_batches(spark):
+    with small_batches(spark, BATCH_BYTES):
         return Run(spark, "secrets").keep(op3_secrets.without_secrets(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of each document's token ids, and the digest of the text decoded from them."""
-    return op5_bpe.digests(docs)
+    with small_batches(spark, BATCH_BYTES):
+        return op5_bpe.digests(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

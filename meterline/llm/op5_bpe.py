@@ -32,7 +32,7 @@ from meterline.llm.text_arrays import pieces, plain_words, resident, vacate
 
 MAX_WORDS = 50_000
 #: Words a worker remembers at least, and at most twice as many; it forgets those not met for the longest time.
-REMEMBERED = 150_000
+REMEMBERED = 25_000
 _BUCKET_BYTES = 2 << 20
 #: Texts are split and encoded in slices of so many bytes: a slice takes some forty times its size as words and ids.
 _SLICE = 1 << 18

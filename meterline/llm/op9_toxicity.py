@@ -189,8 +189,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vacate()
         for batch in batches:
-            scores = [model.scores(part["text"]) for part in pieces(iter([batch]), "text")]
-            yield batch.append_column("score", pa.array(np.concatenate(scores) if scores else np.empty(0)))
+            done = 0
+            for part in pieces(iter([batch]), "text"):  # null texts are empty there, and stay null in what is sent back
+                yield batch.slice(done, part.num_rows).append_column("score", pa.array(model.scores(part["text"])))
+                done += part.num_rows
 
     return docs.mapInArrow(run, kind)
 

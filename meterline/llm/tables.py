@@ -38,10 +38,13 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
 
 @contextmanager
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
-    """Jobs run inside pass texts to Python in batches of this many bytes, or of one longer text, whatever their number of rows."""
+    """Jobs run inside pass texts to Python in batches of this many bytes, or of one longer text, whatever their number of rows.
+
+    A smaller limit around it holds.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(size))
+    spark.conf.set(name, str(min(size, int(before)) if before.isdigit() else size))
     try:
         yield
     finally:

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from meterline.llm import op3_secrets
+from meterline.llm.tables import Run
 from tests.llm.test_corpus_operators import VOCAB, brute_components, brute_leaks, prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,3 +78,17 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_pass_texts_to_python_in_batches_of_2_mb(spark, tmp_path, monkeypatch):
+    """Larger ones, held several times over outside the heap, took an executor's memory over its limit in the last stage."""
+    texts, toxic, items = corpus()
+    spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts[:90])], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    name, seen, keep = "spark.sql.execution.arrow.maxBytesPerBatch", set(), Run.keep
+    monkeypatch.setattr(Run, "keep", lambda self, df: (seen.add((self.folder.rsplit("/", 1)[1].rsplit("-", 1)[0], spark.conf.get(name))), keep(self, df))[1])
+    for step, stage in corpus_pipeline.STAGES:
+        if step != "decontaminate":  # no Python there
+            stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert seen == {(k, str(2 << 20)) for k in ("labelled", "toxicity", "minhash", "minhash-kept", "secrets", "bpe")}

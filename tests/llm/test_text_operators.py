@@ -14,10 +14,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from meterline.llm import op2_token_counts, op3_secrets, op4_token_files, op5_bpe
-from meterline.llm.tables import Run
+from meterline.llm import op2_token_counts, op3_secrets, op4_token_files, op5_bpe, op9_toxicity
+from meterline.llm.tables import Run, small_batches
 from meterline.llm.text_arrays import pieces
 
 SCHEMA = "doc_id long, text string, score string"
@@ -303,3 +304,43 @@ def test_bpe_slices_are_small():
     batch = pa.RecordBatch.from_arrays([pa.array([text] * 1500)], ["text"])
     sizes = [sum(len(t) for t in part["text"].to_pylist()) for part in pieces(iter([batch]), "text", op5_bpe._SLICE)]
     assert sum(sizes) == 1500 * len(text) and max(sizes) <= 1 << 18
+
+
+def test_a_smaller_limit_of_batches_holds_inside(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with small_batches(spark, 1000):
+        with small_batches(spark):
+            assert spark.conf.get(name) == "1000"
+        with small_batches(spark, 500):
+            assert spark.conf.get(name) == "500"
+        assert spark.conf.get(name) == "1000"
+    assert spark.conf.get(name) == before
+
+
+def test_scored_texts_go_back_in_small_parts():
+    """Whole batches of 10,000 rows went back to the JVM, which held them outside its heap."""
+    texts = [None if i % 50 == 7 else f"word{i} " * 300 for i in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    hashes = np.unique(op9_toxicity.features(op9_toxicity.plain_words(pa.array(["word8 word700"], pa.large_string())))[1])
+    model = op9_toxicity.Model(hashes, np.arange(1.0, len(hashes) + 1), -1.0)
+
+    class Docs:
+        schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
+
+        def mapInArrow(self, run, kind):
+            return list(run(iter([batch, batch.slice(0, 0)])))
+
+    parts = op9_toxicity.score(Docs(), model)
+    assert max(sum(len(t or "") for t in p["text"].to_pylist()) for p in parts) <= 1 << 20
+    got = pa.Table.from_batches(parts)
+    assert got["doc_id"].to_pylist() == list(range(1500)) and got["text"].to_pylist() == texts
+    want = model.scores(pa.array([t or "" for t in texts], pa.large_string()))
+    assert got["score"].to_pylist() == want.tolist() and len(set(want)) > 2
+
+
+def test_rare_words_do_not_fill_a_worker():
+    coder = op5_bpe.Coder(public_tokenizers.path("byte_bpe_50k.json"), None)
+    for k in range(0, 120_000, 8000):
+        coder.encode([" ".join(f"w{i:x}q" for i in range(k, k + 8000))])
+    assert len(coder.known) + len(coder.older) < 80_000
