@@ -342,5 +342,5 @@ def test_scored_texts_go_back_in_small_parts():
 def test_rare_words_do_not_fill_a_worker():
     coder = op5_bpe.Coder(public_tokenizers.path("byte_bpe_50k.json"), None)
     for k in range(0, 120_000, 8000):
-        coder.encode([" ".join(f"w{i:x}q" for i in range(k, k + 8000))])
+        coder.encode([" ".join("".join(chr(97 + i // 18**e % 18) for e in range(5)) for i in range(k, k + 8000))])
     assert len(coder.known) + len(coder.older) < 80_000
